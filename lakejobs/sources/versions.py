@@ -1,0 +1,59 @@
+"""Append-only tables that can be read as of an earlier append.
+
+Rows are Parquet under ``path/data/_version=N``; ``path/log`` has one row per finished append.
+A version counts only once it is in the log, so an append that dies half-way stays unseen and
+the next one overwrites its folder. One writer at a time is assumed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+LOG_SCHEMA = "version bigint, appended_at timestamp"
+
+
+def create_version_table(spark: SparkSession, path: str) -> None:
+    """An empty table; does nothing when it exists already."""
+    spark.createDataFrame([], LOG_SCHEMA).write.mode("ignore").parquet(f"{path}/log")
+
+
+def list_versions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LOG_SCHEMA).parquet(f"{path}/log")
+
+
+def newest_version(spark: SparkSession, path: str) -> int:
+    """The number of the last finished append, 0 before the first."""
+    return list_versions(spark, path).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+
+def append_version(df: DataFrame, path: str) -> int:
+    """Appends the rows as one new version and returns its number."""
+    spark = df.sparkSession
+    create_version_table(spark, path)
+    version = newest_version(spark, path) + 1
+    df.write.mode("overwrite").parquet(f"{path}/data/_version={version}")
+    entry = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.current_timestamp().alias("appended_at"))
+    entry.write.mode("append").parquet(f"{path}/log")
+    return version
+
+
+def read_version(
+    spark: SparkSession,
+    path: str,
+    version: int | None = None,
+    schema: StructType | str | None = None,
+) -> DataFrame:
+    """The table as it was after append ``version``, by default after the newest one.
+
+    The version is a partition column: folders of later appends are not scanned.
+    """
+    newest = newest_version(spark, path)
+    if version is None:
+        version = newest
+    if not 1 <= version <= newest:
+        raise ValueError(f"version {version} is not among 1..{newest}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    data = reader.option("basePath", f"{path}/data").parquet(f"{path}/data")
+    return data.where(F.col("_version") <= version)
