@@ -6,11 +6,9 @@ exploded into cells.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.functions.units import band
-
 
 def day_slice(df: DataFrame, time: str, day: str) -> DataFrame:
     """Steps from ``day 00:00`` to ``day 23:59``, both included."""
@@ -62,7 +60,7 @@ def mesh(axes: DataFrame, lats: str = "lats", lons: str = "lons") -> DataFrame:
     return rows.select(*other, "lat_i", "lat", F.posexplode(lons).alias("lon_i", "lon"))
 
 
-def band_counts(df: DataFrame, col: str, first: float, step: float, bands: int, keys: list[str] | None = None) -> DataFrame:
-    """Cells per value band; values outside of all bands are left out."""
-    banded = df.withColumn("band", band(col, first, step, bands)).where(F.col("band").isNotNull())
+def band_counts(df: DataFrame, bands: Column, keys: list[str] | None = None) -> DataFrame:
+    """Cells per value band, given the band of each row; rows outside of all bands are left out."""
+    banded = df.withColumn("band", bands).where(F.col("band").isNotNull())
     return banded.groupBy(*(keys or []), "band").agg(F.count("*").alias("cells"))

@@ -42,23 +42,30 @@ def file_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def key_ranges(df: DataFrame, key: str) -> DataFrame:
-    """(path, rows, low, high): the range of ``key`` in each file."""
-    return with_path(df).groupBy("path").agg(
-        F.count("*").alias("rows"), F.min(key).alias("low"), F.max(key).alias("high")
+    """(path, rows, bytes, low, high): size and range of ``key`` of each file."""
+    sized = with_path(df).withColumn("size", F.col("_metadata.file_size"))
+    return sized.groupBy("path").agg(
+        F.count("*").alias("rows"), F.max("size").alias("bytes"), F.min(key).alias("low"), F.max(key).alias("high")
     )
 
 
 def files_touched(df: DataFrame, key: str, values: list) -> DataFrame:
-    """For each value the number of files it can be in by their key ranges, and of all files."""
+    """For each value the number and bytes of the files it can be in, and those of all files."""
     ranges = key_ranges(df, key)
-    touched = ranges.agg(
-        F.count("*").alias("files"),
-        *[F.count_if(F.lit(v).between(F.col("low"), F.col("high"))).alias(f"_{i}") for i, v in enumerate(values)],
-    )
-    entries = F.array(
-        *[F.struct(F.lit(v).alias(key), F.col(f"_{i}").alias("files_touched")) for i, v in enumerate(values)]
-    )
-    return touched.select(F.inline(entries), "files").select(key, "files_touched", "files")
+    aggregates = [F.count("*").alias("files"), F.sum("bytes").alias("bytes")]
+    entries = []
+    for i, value in enumerate(values):
+        inside = F.lit(value).between(F.col("low"), F.col("high"))
+        aggregates += [F.count_if(inside).alias(f"_n{i}"), F.sum(F.when(inside, F.col("bytes"))).alias(f"_b{i}")]
+        entries.append(
+            F.struct(
+                F.lit(value).alias(key),
+                F.col(f"_n{i}").alias("files_touched"),
+                F.coalesce(f"_b{i}", F.lit(0)).alias("bytes_touched"),
+            )
+        )
+    touched = ranges.agg(*aggregates).select("files", "bytes", F.inline(F.array(*entries)))
+    return touched.select(key, "files_touched", "bytes_touched", "files", "bytes")
 
 
 def compare_layouts(layouts: dict[str, DataFrame], key: str, values: list) -> DataFrame:

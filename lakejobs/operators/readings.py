@@ -54,8 +54,8 @@ def latest_per(
 def latest_over_window(df: DataFrame, keys: list[str], value: str, order: list, name: str = "last_value") -> DataFrame:
     """The latest value of the station beside every row, as a window.
 
-    All rows of a station meet in one task; ``latest_by_station`` gives the same values
-    without that. Kept as the plain statement of what it computes.
+    All rows of a station meet in one task. ``latest_per`` gives the same values without
+    that; this is the plain statement of what it computes, for tables without hot stations.
     """
     frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return df.withColumn(name, F.last(value).over(frame))
@@ -67,17 +67,23 @@ def latest_by_place(
     place: list[str],
     value: str,
     time: Column | str,
-    tie: Column | str | None = None,
+    tie: Column | str,
 ) -> DataFrame:
     """Distinct (place, latest value of the station) rows.
 
     A station may report from several places, and each of them gets the station's latest
-    value. The distinct places and the latest values are both aggregated before they meet.
+    value. The rows are read and aggregated once, to one row per station and place; that
+    result is shuffled once and used on both sides of the join.
     """
-    latest = latest_per(df, [station], value, time, tie)
-    places = df.select(station, *place).distinct()
-    joined = places.join(latest, places[station].eqNullSafe(latest[station]), "inner")
-    return joined.select(*place, "last_value").distinct()
+    order = F.col(time) if isinstance(time, str) else time
+    last_key = F.col(tie) if isinstance(tie, str) else tie
+    reading = F.struct(order.alias("time"), last_key.alias("tie"), F.col(value).alias("value"))
+    per_place = df.groupBy(station, *place).agg(F.max(reading).alias("latest_here"))
+    per_station = per_place.groupBy(F.col(station).alias("_station")).agg(F.max("latest_here").alias("latest"))
+    joined = per_place.join(per_station, F.col(station).eqNullSafe(F.col("_station")), "inner")
+    # Equal to `latest`; naming both keeps the two sides the same plan, so one shuffle serves them.
+    latest = F.greatest("latest_here", "latest")
+    return joined.select(*place, latest["value"].alias("last_value")).distinct()
 
 
 def avg_per_region(df: DataFrame, region: str, value: str, name: str = "avg_value") -> DataFrame:

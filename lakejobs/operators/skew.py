@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Rows that make one output file or sort partition.
+ROWS_PER_PART = 5_000_000
+
 # A side of a join is broadcast only when it was counted to be no larger than this.
 BROADCAST_WEIGHT = 2_000_000
 
@@ -28,6 +31,11 @@ def salted(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
     return marked.select(*[df[c] for c in df.columns], F.when(F.col("_hot"), spread).otherwise(0).alias(name))
 
 
+def parts_for(df: DataFrame, least: int = 1, rows_per_part: int = ROWS_PER_PART) -> int:
+    """How many parts to split the rows into, by a count of them; at least ``least``."""
+    return max(least, -(-df.count() // rows_per_part))
+
+
 def broadcast_if_small(df: DataFrame, weight: Column | None = None, limit: int = BROADCAST_WEIGHT) -> DataFrame:
     """``df`` marked for broadcast when its weight, by default its rows, is at most ``limit``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.operators.skew import BROADCAST_WEIGHT, broadcast_if_small
+from lakejobs.operators.skew import BROADCAST_WEIGHT
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -93,18 +93,43 @@ def locate_first(
 ) -> DataFrame:
     """Adds ``id_col`` of the first polygon, by ``ord``, that holds or touches each point.
 
-    Points in no polygon, or with a NULL coordinate, get NULL. Every distinct coordinate is
-    looked up once. The polygon cells are broadcast when their sides are counted to be few;
-    otherwise the join on cells is shuffled and hot cells are split by adaptive execution.
-    ``cell_size`` should be near the width of a typical polygon.
+    Points in no polygon, or with a NULL coordinate, get NULL. ``cell_size`` should be near
+    the width of a typical polygon. When the polygon cells are counted to have at most
+    ``broadcast_weight`` sides they are broadcast, and points are not shuffled at all. Larger
+    ones are joined to the distinct coordinates by a shuffle on cells.
     """
     x = F.col(lon) if isinstance(lon, str) else lon
     y = F.col(lat) if isinstance(lat, str) else lat
     rows = points.withColumns({"_x": x, "_y": y})
-    places = rows.select("_x", "_y").dropna().distinct()
-    located = places.withColumns({"cx": _cell(F.col("_x"), cell_size), "cy": _cell(F.col("_y"), cell_size)})
-    cells = broadcast_if_small(polygon_cells(polygons, cell_size), F.size("edges"), broadcast_weight)
-    hits = located.join(cells, ["cx", "cy"], "inner").where(covers(F.col("edges"), F.col("_x"), F.col("_y")))
+    cells = polygon_cells(polygons, cell_size)
+    weight = cells.agg(F.coalesce(F.sum(F.size("edges")), F.lit(0)).alias("w")).first()["w"]
+    locate = _locate_by_broadcast if weight <= broadcast_weight else _locate_by_shuffle
+    return locate(rows, polygons.select("ord", id_col), cells, id_col, cell_size).drop("_x", "_y")
+
+
+def _with_cell(rows: DataFrame, size: float) -> DataFrame:
+    return rows.withColumns({"_cx": _cell(F.col("_x"), size), "_cy": _cell(F.col("_y"), size)})
+
+
+def _locate_by_broadcast(rows: DataFrame, ids: DataFrame, cells: DataFrame, id_col: str, size: float) -> DataFrame:
+    """For cells of proven small size: one row per cell with its polygons in order."""
+    named = cells.join(ids, "ord").select(
+        F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.struct("ord", F.col(id_col).alias("id"), "edges").alias("p")
+    )
+    per_cell = named.groupBy("_cx", "_cy").agg(F.sort_array(F.collect_list("p")).alias("_polygons"))
+    joined = _with_cell(rows, size).join(F.broadcast(per_cell), ["_cx", "_cy"], "left")
+    holding = F.filter("_polygons", lambda p: covers(p["edges"], F.col("_x"), F.col("_y")))
+    return joined.withColumn(id_col, F.get(holding, 0)["id"]).drop("_cx", "_cy", "_polygons")
+
+
+def _locate_by_shuffle(rows: DataFrame, ids: DataFrame, cells: DataFrame, id_col: str, size: float) -> DataFrame:
+    """For cells of any size: every distinct coordinate is looked up once.
+
+    Both joins are shuffled inner or left joins, whose hot keys adaptive execution splits; the
+    smallest ``ord`` of a point is aggregated before the shuffle.
+    """
+    places = _with_cell(rows.select("_x", "_y").dropna().distinct(), size)
+    keyed = cells.withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
+    hits = places.join(keyed, ["_cx", "_cy"]).where(covers(F.col("edges"), F.col("_x"), F.col("_y")))
     first = hits.groupBy("_x", "_y").agg(F.min("ord").alias("ord"))
-    found = first.join(polygons.select("ord", id_col), "ord", "inner").drop("ord")
-    return rows.join(found, ["_x", "_y"], "left").drop("_x", "_y")
+    return rows.join(first.join(ids, "ord").drop("ord"), ["_x", "_y"], "left")

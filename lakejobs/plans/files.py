@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakejobs import constants as K
 from lakejobs.operators.layout import file_counts
 from lakejobs.operators.reports import top_counts, top_rated
+from lakejobs.operators.skew import ROWS_PER_PART, parts_for
 from lakejobs.plans import stored, views
 from lakejobs.session import new_path
 from lakejobs.sinks.files import write_csv_n, write_escaped, write_parquet_n
@@ -20,7 +21,7 @@ from lakejobs.sources.files import (
     read_path_like,
 )
 
-N_FILES = 10
+N_FILES = 10  # at least; large tables get more
 
 
 def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +36,11 @@ def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tsv_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tab-separated gz text with a header, all strings, converted to a set number of Parquet files."""
+    """Tab-separated gz text with a header, all strings, converted to ten or more Parquet files."""
     source, target = new_path(spark, "lines_gz"), new_path(spark, "lines_parquet")
     lines = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity")
-    write_csv_n(lines, source, 1, sep="\t", header=True, compression="gzip")
-    write_parquet_n(read_path_like(read_delimited(spark, source), "%.csv.gz"), target, N_FILES)
+    write_csv_n(lines, source, sep="\t", header=True, compression="gzip")
+    write_parquet_n(read_path_like(read_delimited(spark, source), "%.csv.gz"), target, parts_for(lines, N_FILES))
     per_file = file_counts(spark.read.parquet(target), "l_returnflag")
     return per_file.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.count_distinct("path").alias("files"))
 
@@ -47,15 +48,16 @@ def tsv_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leading columns of CSV lines without a header, named and typed."""
     path = stored.once(
-        spark, sf_dir, "customer_csv", lambda out: write_csv_n(views.table(spark, sf_dir, "customer"), out, 2)
+        spark, sf_dir, "customer_csv", lambda out: write_csv_n(views.table(spark, sf_dir, "customer"), out)
     )
     return read_leading(spark, path, {"key": "bigint", "name": "string", "nation": "int"})
 
 
 def n_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and files after a split into a set number of CSV files."""
+    """Rows and files after a split into ten CSV files, or more when ten would be too large."""
     path = new_path(spark, "orders_csv")
-    write_csv_n(views.table(spark, sf_dir, "orders"), path, N_FILES)
+    orders = views.table(spark, sf_dir, "orders")
+    write_csv_n(orders, path, parts_for(orders, N_FILES))
     counts = file_counts(read_leading(spark, path, {"o_orderkey": "bigint"}))
     return counts.agg(F.sum("n").alias("total_rows"), F.count("*").alias("files"))
 
@@ -111,11 +113,15 @@ QUERIES = {
     "preview_rows": preview_rows,
 }
 
+_FILES_SQL = f"CAST(greatest({N_FILES}, ceil(count(*) / {ROWS_PER_PART})) AS BIGINT)"
+
 SQL = {
     "tsv_roundtrip": f"WITH {views.REVIEWS_SQL} SELECT {', '.join(views.REVIEW_COLUMNS)} FROM reviews",
-    "tsv_convert": f"SELECT l_returnflag, count(*) AS n, CAST({N_FILES} AS BIGINT) AS files FROM lineitem GROUP BY 1",
+    "tsv_convert": f"""
+        SELECT l_returnflag, count(*) AS n, (SELECT {_FILES_SQL} FROM lineitem) AS files FROM lineitem GROUP BY 1
+    """,
     "csv_leading": "SELECT c_custkey AS key, c_name AS name, c_nationkey AS nation FROM customer",
-    "n_files": f"SELECT count(*) AS total_rows, CAST({N_FILES} AS BIGINT) AS files FROM orders",
+    "n_files": f"SELECT count(*) AS total_rows, {_FILES_SQL} AS files FROM orders",
     "pruned_top10": f"""
         WITH {views.REVIEWS_SQL}
         SELECT product_id, count(*) AS n FROM reviews WHERE marketplace = 'AMERICA' AND review_year = 1997

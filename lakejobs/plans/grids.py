@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakejobs import constants as K
-from lakejobs.functions.units import kelvin_to_fahrenheit, pa_to_hpa
+from lakejobs.functions.units import band, kelvin_to_fahrenheit, pa_to_hpa
 from lakejobs.operators.filters import in_box
 from lakejobs.operators.grid import align, band_counts, explode_grid, mesh, nth_step
 from lakejobs.operators.skew import broadcast_if_small
@@ -68,11 +68,11 @@ def grid_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells per temperature band (°F) and per pressure band (hPa), over all steps."""
     cells = explode_grid(views.grid(spark, sf_dir), "values", views.GRID_NLON)
-    temperature = cells.where(F.col("measure") == TEMPERATURE).withColumn("value", kelvin_to_fahrenheit("value"))
-    pressure = cells.where(F.col("measure") == PRESSURE).withColumn("value", pa_to_hpa("value"))
-    return band_counts(temperature, "value", *K.TEMPERATURE_LEVELS, keys=["measure"]).unionByName(
-        band_counts(pressure, "value", *K.PRESSURE_LEVELS, keys=["measure"])
-    )
+    measure = F.col("measure")
+    bands = F.when(
+        measure == TEMPERATURE, band(kelvin_to_fahrenheit("value"), *K.TEMPERATURE_LEVELS)
+    ).when(measure == PRESSURE, band(pa_to_hpa("value"), *K.PRESSURE_LEVELS))
+    return band_counts(cells.where(measure.isin(TEMPERATURE, PRESSURE)), bands, ["measure"])
 
 
 QUERIES = {

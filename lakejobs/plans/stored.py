@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakejobs.operators.skew import parts_for
 from lakejobs.plans import views
 from lakejobs.session import new_path
 from lakejobs.sinks.files import write_partitioned, write_ranged, write_sorted
@@ -14,7 +15,7 @@ from lakejobs.sinks.tables import write_bucketed, write_partitioned_table
 from lakejobs.sources.catalog import mark_time_column
 
 BUCKETS = 30
-RANGES = 30
+RANGES = 30  # at least; large tables get more
 RANGED_COLUMNS = ("marketplace", "customer_id", "review_id", "product_id", "product_parent", "star_rating")
 RANGED_SCHEMA = (
     "marketplace string, customer_id string, review_id string, product_id string, "
@@ -98,12 +99,11 @@ def by_bucket(spark: SparkSession, sf_dir: str) -> str:
 
 
 def by_range(spark: SparkSession, sf_dir: str) -> str:
-    return once(
-        spark,
-        sf_dir,
-        "reviews_ranged",
-        lambda path: write_ranged(stored_reviews(spark, sf_dir).select(*RANGED_COLUMNS), path, "product_id", RANGES),
-    )
+    def write(path: str) -> None:
+        reviews = stored_reviews(spark, sf_dir).select(*RANGED_COLUMNS)
+        write_ranged(reviews, path, "product_id", parts_for(reviews, RANGES))
+
+    return once(spark, sf_dir, "reviews_ranged", write)
 
 
 def names_by_day(spark: SparkSession, sf_dir: str) -> str:

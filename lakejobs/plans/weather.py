@@ -37,7 +37,7 @@ def daily_max_wind_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         sf_dir,
         "weather_csv",
-        lambda out: write_csv_n(views.weather(spark, sf_dir), out, 8, header=True),
+        lambda out: write_csv_n(views.weather(spark, sf_dir), out, header=True),
     )
     return top_days(read_delimited(spark, path, views.WEATHER_SCHEMA, sep=","), BBOX)
 

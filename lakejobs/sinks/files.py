@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.operators.skew import salted
+from lakejobs.operators.skew import parts_for, salted
 
 
 def write_parquet_n(df: DataFrame, out: str, n: int, compression: str = "snappy") -> None:
@@ -13,9 +13,17 @@ def write_parquet_n(df: DataFrame, out: str, n: int, compression: str = "snappy"
     df.repartition(n).write.mode("overwrite").parquet(out, compression=compression)
 
 
-def write_csv_n(df: DataFrame, out: str, n: int, sep: str = ",", header: bool = False, compression: str | None = None) -> None:
-    """Splits the rows into ``n`` delimited files."""
-    df.repartition(n).write.mode("overwrite").csv(out, sep=sep, header=header, compression=compression)
+def write_csv_n(
+    df: DataFrame,
+    out: str,
+    n: int | None = None,
+    sep: str = ",",
+    header: bool = False,
+    compression: str | None = None,
+) -> None:
+    """Splits the rows into ``n`` delimited files, or by default one per input partition."""
+    parts = df if n is None else df.repartition(n)
+    parts.write.mode("overwrite").csv(out, sep=sep, header=header, compression=compression)
 
 
 def write_escaped(df: DataFrame, out: str, sep: str = "\t", null_text: str = "\\N", header: bool = False) -> None:
@@ -32,22 +40,12 @@ def write_escaped(df: DataFrame, out: str, sep: str = "\t", null_text: str = "\\
             value = F.replace(value, F.lit(raw), F.lit(escaped))
         return F.coalesce(value, F.lit(null_text))
 
-    # A text file has one column; its name becomes the header line of the CSV writer.
     line = F.concat_ws(sep, *[text(c) for c in df.columns])
-    if not header:
-        df.select(line.alias("value")).write.mode("overwrite").text(out, lineSep="\n")
-        return
-    (
-        df.select(line.alias(sep.join(df.columns)))
-        .write.mode("overwrite")
-        .option("header", True)
-        .option("sep", "\u0003")
-        .option("quote", "")
-        .option("escape", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(out)
-    )
+    if header:
+        # The low 33 bits of the id are the row's place in its partition, that is, in its file.
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)) == 0
+        line = F.when(first, F.concat(F.lit(sep.join(df.columns) + "\n"), line)).otherwise(line)
+    df.select(line.alias("value")).write.mode("overwrite").option("lineSep", "\n").text(out)
 
 
 def write_partitioned(df: DataFrame, out: str, columns: list[str], compression: str = "snappy") -> None:
@@ -64,12 +62,9 @@ def write_sorted(df: DataFrame, out: str, key: str, parts: int | None = None, co
     """Overwrites ``out`` with Parquet files sorted by ``key`` as a whole.
 
     A key is in one file, unless it holds more than 1/``parts`` of all rows: such a key is
-    spread over several neighbouring files. ``parts`` is the number of sort partitions.
+    spread over several neighbouring files. ``parts`` defaults to a number sized by the rows.
     """
-    if parts is None:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = salted(df, key, parts, "_salt").orderBy(key, "_salt").drop("_salt")
-    ordered.write.mode("overwrite").parquet(out, compression=compression)
+    write_ranged(df, out, key, parts or parts_for(df, least=8), compression)
 
 
 def write_ranged(df: DataFrame, out: str, key: str, n: int, compression: str = "gzip") -> None:
