@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakejobs.operators.skew import broadcast_if_small
+
 
 def day_slice(df: DataFrame, time: str, day: str) -> DataFrame:
     """Steps from ``day 00:00`` to ``day 23:59``, both included."""
@@ -18,11 +20,12 @@ def day_slice(df: DataFrame, time: str, day: str) -> DataFrame:
 def nth_step(df: DataFrame, k: int, time: str = "time", keys: list[str] | None = None) -> DataFrame:
     """The rows of the ``k``-th (from 0) distinct time of each measure, over the rows given.
 
-    Meant for a day slice: only its distinct times are gathered, one small array per measure.
+    Meant for a day slice: only its distinct times are gathered, one small array per measure,
+    and the array rows are not shuffled to find the chosen ones.
     """
     keys = keys or ["measure"]
     times = df.groupBy(*keys).agg(F.get(F.sort_array(F.collect_set(time)), k).alias(time))
-    return df.join(times, [*keys, time], "inner")
+    return df.join(broadcast_if_small(times), [*keys, time], "inner")
 
 
 def explode_grid(df: DataFrame, values: str, nlon: int, name: str = "value") -> DataFrame:

@@ -74,8 +74,7 @@ def compare_layouts(layouts: dict[str, DataFrame], key: str, values: list) -> Da
     return reduce(DataFrame.unionByName, named)
 
 
-def keys_in_one_file(df: DataFrame, key: str) -> DataFrame:
-    """(keys, keys_in_one_file): how many keys there are and how many are whole in one file."""
-    pairs = with_path(df).groupBy(key, "path").agg(F.count("*").alias("n"))
-    files = pairs.groupBy(key).agg(F.count("*").alias("files"))
-    return files.agg(F.count("*").alias("keys"), F.count_if(F.col("files") == 1).alias("keys_in_one_file"))
+def files_per_key(df: DataFrame, key: str) -> DataFrame:
+    """(key, rows, files): how many rows a key has, and in how many files they are."""
+    pairs = file_counts(df, key, "rows")
+    return pairs.groupBy(key).agg(F.sum("rows").alias("rows"), F.count("*").alias("files"))

@@ -18,11 +18,11 @@ def dense_ids(df: DataFrame, col: str, name: str, buckets: int = ID_BUCKETS) ->
     """(col, name): the distinct texts numbered 0..n-1 without gaps or collisions.
 
     Texts are numbered inside hash buckets and shifted by the size of the buckets before, so
-    no task sees all of them. The ids depend on the data alone. The offset table, at most
-    ``buckets`` rows, is broadcast.
+    no task sees all of them. The ids depend on the data alone. ``buckets`` is a power of two;
+    the offset table has at most that many rows and is broadcast.
     """
     keys = df.select(col).where(F.col(col).isNotNull()).distinct()
-    keys = keys.withColumn("_bucket", F.pmod(F.xxhash64(col), F.lit(buckets)))
+    keys = keys.withColumn("_bucket", F.xxhash64(col).bitwiseAND(F.lit(buckets - 1)))
     sizes = keys.groupBy("_bucket").agg(F.count("*").alias("_n"))
     # The only unpartitioned window: over at most `buckets` rows.
     before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -26,13 +26,19 @@ def top_rated(
     count_rows: bool = True,
     avg_name: str = "avg_stars",
     count_name: str = "num_reviews",
+    weight: str | None = None,
 ) -> DataFrame:
     """The ``k`` groups with the most reviews and their average rating.
 
-    Counts rows, or with ``count_rows=False`` ratings that are not NULL.
+    Counts rows, or with ``count_rows=False`` ratings that are not NULL. A row may stand for
+    several equal reviews, whose number is in the ``weight`` column.
     """
-    counted = F.count("*") if count_rows else F.count(rating)
-    grouped = df.groupBy(*keys).agg(F.avg(rating).alias(avg_name), counted.alias(count_name))
+    stars = F.col(rating)
+    number = F.lit(1) if weight is None else F.col(weight)
+    rated = F.sum(F.when(stars.isNotNull(), number))
+    average = F.avg(stars) if weight is None else F.sum(stars * number) / rated
+    counted = F.sum(number) if count_rows else F.coalesce(rated, F.lit(0))
+    grouped = df.groupBy(*keys).agg(average.alias(avg_name), counted.alias(count_name))
     return grouped.orderBy(F.desc(count_name), *keys).limit(k)
 
 

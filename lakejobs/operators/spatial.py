@@ -32,19 +32,20 @@ def _edges(rings: Column, size: float) -> Column:
     return F.flatten(F.transform(rings, ring_sides))
 
 
-def polygon_cells(polygons: DataFrame, size: float) -> DataFrame:
-    """(cx, cy, ord, edges): the cells a polygon's box covers and the sides that matter there.
+def polygon_cells(polygons: DataFrame, size: float, id_col: str) -> DataFrame:
+    """(cx, cy, ord, id, edges): the cells a polygon's box covers and the sides that matter there.
 
     A point is tested by a ray to the right, so a cell keeps only the sides that reach its
     row and do not end left of it. A cell without any is outside the polygon and dropped.
     """
-    sides = polygons.select("ord", _edges(F.col("rings"), size).alias("sides"))
+    sides = polygons.select("ord", F.col(id_col).alias("id"), _edges(F.col("rings"), size).alias("sides"))
     xs = F.transform("sides", lambda s: F.least(s["x1"], s["x2"]))
     ys_from = F.transform("sides", lambda s: s["row_from"])
     ys_to = F.transform("sides", lambda s: s["row_to"])
     xs_to = F.transform("sides", lambda s: s["column_to"])
     rows = sides.where(F.size("sides") > 0).select(
         "ord",
+        "id",
         "sides",
         _cell(F.array_min(xs), size).alias("cx_from"),
         F.array_max(xs_to).alias("cx_to"),
@@ -52,13 +53,13 @@ def polygon_cells(polygons: DataFrame, size: float) -> DataFrame:
     )
     in_row = rows.withColumn("sides", F.filter("sides", lambda s: F.col("cy").between(s["row_from"], s["row_to"])))
     cells = in_row.select(
-        "ord", "sides", "cy", F.explode(F.sequence(F.col("cx_from"), F.col("cx_to"))).alias("cx")
+        "ord", "id", "sides", "cy", F.explode(F.sequence(F.col("cx_from"), F.col("cx_to"))).alias("cx")
     )
     kept = F.filter("sides", lambda s: s["column_to"] >= F.col("cx"))
     edges = F.transform(
         kept, lambda s: F.struct(s["x1"].alias("x1"), s["y1"].alias("y1"), s["x2"].alias("x2"), s["y2"].alias("y2"))
     )
-    return cells.select("cx", "cy", "ord", edges.alias("edges")).where(F.size("edges") > 0)
+    return cells.select("cx", "cy", "ord", "id", edges.alias("edges")).where(F.size("edges") > 0)
 
 
 def covers(edges: Column, x: Column, y: Column) -> Column:
@@ -101,28 +102,28 @@ def locate_first(
     x = F.col(lon) if isinstance(lon, str) else lon
     y = F.col(lat) if isinstance(lat, str) else lat
     rows = points.withColumns({"_x": x, "_y": y})
-    cells = polygon_cells(polygons, cell_size)
+    cells = polygon_cells(polygons, cell_size, id_col)
     weight = cells.agg(F.coalesce(F.sum(F.size("edges")), F.lit(0)).alias("w")).first()["w"]
     locate = _locate_by_broadcast if weight <= broadcast_weight else _locate_by_shuffle
-    return locate(rows, polygons.select("ord", id_col), cells, id_col, cell_size).drop("_x", "_y")
+    return locate(rows, cells, id_col, cell_size).drop("_x", "_y")
 
 
 def _with_cell(rows: DataFrame, size: float) -> DataFrame:
     return rows.withColumns({"_cx": _cell(F.col("_x"), size), "_cy": _cell(F.col("_y"), size)})
 
 
-def _locate_by_broadcast(rows: DataFrame, ids: DataFrame, cells: DataFrame, id_col: str, size: float) -> DataFrame:
+def _locate_by_broadcast(rows: DataFrame, cells: DataFrame, id_col: str, size: float) -> DataFrame:
     """For cells of proven small size: one row per cell with its polygons in order."""
-    named = cells.join(ids, "ord").select(
-        F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.struct("ord", F.col(id_col).alias("id"), "edges").alias("p")
+    polygon = F.struct("ord", "id", "edges")
+    per_cell = cells.groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy")).agg(
+        F.sort_array(F.collect_list(polygon)).alias("_polygons")
     )
-    per_cell = named.groupBy("_cx", "_cy").agg(F.sort_array(F.collect_list("p")).alias("_polygons"))
     joined = _with_cell(rows, size).join(F.broadcast(per_cell), ["_cx", "_cy"], "left")
     holding = F.filter("_polygons", lambda p: covers(p["edges"], F.col("_x"), F.col("_y")))
     return joined.withColumn(id_col, F.get(holding, 0)["id"]).drop("_cx", "_cy", "_polygons")
 
 
-def _locate_by_shuffle(rows: DataFrame, ids: DataFrame, cells: DataFrame, id_col: str, size: float) -> DataFrame:
+def _locate_by_shuffle(rows: DataFrame, cells: DataFrame, id_col: str, size: float) -> DataFrame:
     """For cells of any size: every distinct coordinate is looked up once.
 
     Both joins are shuffled inner or left joins, whose hot keys adaptive execution splits; the
@@ -131,5 +132,5 @@ def _locate_by_shuffle(rows: DataFrame, ids: DataFrame, cells: DataFrame, id_col
     places = _with_cell(rows.select("_x", "_y").dropna().distinct(), size)
     keyed = cells.withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
     hits = places.join(keyed, ["_cx", "_cy"]).where(covers(F.col("edges"), F.col("_x"), F.col("_y")))
-    first = hits.groupBy("_x", "_y").agg(F.min("ord").alias("ord"))
-    return rows.join(first.join(ids, "ord").drop("ord"), ["_x", "_y"], "left")
+    first = hits.groupBy("_x", "_y").agg(F.min_by("id", "ord").alias(id_col))
+    return rows.join(first, ["_x", "_y"], "left")

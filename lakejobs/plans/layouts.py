@@ -5,26 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.operators.layout import compare_layouts, file_counts, file_stats, keys_in_one_file
+from lakejobs.operators.layout import compare_layouts, file_counts, file_stats, files_per_key
 from lakejobs.operators.reports import row_count
+from lakejobs.operators.skew import ROWS_PER_PART, parts_for
 from lakejobs.plans import stored, views
+from lakejobs.sinks.files import SORTED_PARTS
 
 KEY = "42"
 STAT_COLUMNS = ["star_rating", "helpful_votes", "review_date", "review_year"]
 
 
-def _layout_report(df: DataFrame, key: str) -> DataFrame:
-    """(n, keys, keys_in_one_file); both sides are single rows, so they meet as a scalar."""
-    n = row_count(df).scalar()
-    return keys_in_one_file(df, key).select(n.alias("n"), "keys", "keys_in_one_file")
+def _layout_report(df: DataFrame, key: str, least: int) -> DataFrame:
+    """Rows, keys, ordinary keys, and how many of those are whole in one file.
+
+    Ordinary keys hold no more than their share of one file; the others may be spread.
+    """
+    total = row_count(df).scalar()
+    ordinary = F.col("rows") * parts_for(df, least) <= total
+    return files_per_key(df, key).agg(
+        F.sum("rows").alias("n"),
+        F.count("*").alias("keys"),
+        F.count_if(ordinary).alias("ordinary_keys"),
+        F.count_if(ordinary & (F.col("files") == 1)).alias("whole_in_one_file"),
+    )
 
 
 def sorted_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layout_report(spark.read.parquet(stored.by_sort(spark, sf_dir)), "product_id")
+    return _layout_report(spark.read.parquet(stored.by_sort(spark, sf_dir)), "product_id", SORTED_PARTS)
 
 
 def ranged_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layout_report(spark.read.parquet(stored.by_range(spark, sf_dir)), "product_id")
+    return _layout_report(spark.read.parquet(stored.by_range(spark, sf_dir)), "product_id", stored.RANGES)
 
 
 def bucketed_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +92,14 @@ QUERIES = {
     "files_touched_by_layout": files_touched_by_layout,
 }
 
-_LAYOUT_SQL = """
-SELECT count(*) AS n, count(DISTINCT l_partkey) AS keys, count(DISTINCT l_partkey) AS keys_in_one_file FROM lineitem
-"""
+def _layout_sql(least: int) -> str:
+    return f"""
+    WITH total AS (SELECT count(*) AS n, greatest({least}, ceil(count(*) / {ROWS_PER_PART})) AS parts FROM lineitem),
+    per_key AS (SELECT l_partkey, count(*) AS k FROM lineitem GROUP BY 1)
+    SELECT CAST(sum(k) AS BIGINT) AS n, count(*) AS keys,
+           count(*) FILTER (k * parts <= n) AS ordinary_keys, count(*) FILTER (k * parts <= n) AS whole_in_one_file
+    FROM per_key, total
+    """
 
 
 def _stat_sql(column: str) -> str:
@@ -92,8 +108,8 @@ def _stat_sql(column: str) -> str:
 
 
 SQL = {
-    "sorted_layout": _LAYOUT_SQL,
-    "ranged_layout": _LAYOUT_SQL,
+    "sorted_layout": _layout_sql(SORTED_PARTS),
+    "ranged_layout": _layout_sql(stored.RANGES),
     "bucketed_layout": f"""
         SELECT count(*) AS n, count(*) AS in_right_file, CAST({stored.BUCKETS} AS BIGINT) AS buckets FROM lineitem
     """,

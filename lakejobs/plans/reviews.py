@@ -21,12 +21,13 @@ def total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_products_count_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reviews = views.reviews(spark, sf_dir, "product_id", "product_title", "product_category", "star_rating")
-    return top_rated(reviews.where(F.col("product_category") == CATEGORY), ["product_id", "product_title"], "star_rating", 100)
+    ratings = views.rating_counts(spark, sf_dir, "product_id", "product_title", "product_category")
+    chosen = ratings.where(F.col("product_category") == CATEGORY)
+    return top_rated(chosen, ["product_id", "product_title"], "star_rating", 100, weight="n")
 
 
 def top_products_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same report as SQL text, grouped and sorted by position."""
+    """The same report as SQL text over single reviews, grouped and sorted by position."""
     reviews = views.reviews(spark, sf_dir, "product_id", "product_title", "product_category", "star_rating")
     return run_sql(
         spark,
@@ -39,27 +40,27 @@ def top_products_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _top_by_id(reviews: DataFrame) -> DataFrame:
-    ids = reviews.select(text_id("product_id").alias("product_id_int"), "product_title", "star_rating")
+def _top_by_id(ratings: DataFrame) -> DataFrame:
     top = top_rated(
-        ids,
+        ratings.withColumn("product_id_int", text_id("product_id")),
         ["product_id_int", "product_title"],
         "star_rating",
         25,
         count_rows=False,
         avg_name="avg_rating",
         count_name="count",
+        weight="n",
     )
     return readable(top, "product_title", "avg_rating", K.TITLE_PREFIX, K.RATING_DIGITS)
 
 
 def top_products_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top_by_id(views.reviews(spark, sf_dir, "product_id", "product_title", "star_rating"))
+    return _top_by_id(views.rating_counts(spark, sf_dir, "product_id", "product_title"))
 
 
 def keyword_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reviews = views.reviews(spark, sf_dir, "product_id", "product_title", "star_rating", "review_body")
-    return _top_by_id(reviews.where(contains_any("review_body", K.KEYWORDS)))
+    ratings = views.rating_counts(spark, sf_dir, "product_id", "product_title", "review_body")
+    return _top_by_id(ratings.where(contains_any("review_body", K.KEYWORDS)))
 
 
 def count_since_year(spark: SparkSession, sf_dir: str) -> DataFrame:

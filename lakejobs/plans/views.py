@@ -126,6 +126,21 @@ def reviews(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return rows.select(*[F.expr(sources[c]).alias(c) for c in columns])
 
 
+def rating_counts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Reviews of equal product and rating as one row with their number ``n``.
+
+    The lines are counted before they meet the products, so the join moves at most one row
+    per product, rating and task instead of every line. The columns are those of a product.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    counted = lines.groupBy("l_partkey", F.expr(_FROM_LINE["star_rating"]).alias("star_rating")).agg(
+        F.count("*").alias("n")
+    )
+    sold = counted.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    sources = _FROM_PART | {"product_id": _FROM_LINE["product_id"]}
+    return sold.select(*[F.expr(sources[c]).alias(c) for c in columns], "star_rating", "n")
+
+
 REVIEWS_SQL = """
 reviews AS (
     SELECT r_name AS marketplace,

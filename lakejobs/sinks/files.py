@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lakejobs.operators.skew import parts_for, salted
 
+# Fewest parts of a global sort; large tables get more.
+SORTED_PARTS = 8
+
 
 def write_parquet_n(df: DataFrame, out: str, n: int, compression: str = "snappy") -> None:
     """Overwrites ``out`` with ``n`` Parquet files of equal size, also after an unsplittable read."""
@@ -64,7 +67,7 @@ def write_sorted(df: DataFrame, out: str, key: str, parts: int | None = None, co
     A key is in one file, unless it holds more than 1/``parts`` of all rows: such a key is
     spread over several neighbouring files. ``parts`` defaults to a number sized by the rows.
     """
-    write_ranged(df, out, key, parts or parts_for(df, least=8), compression)
+    write_ranged(df, out, key, parts or parts_for(df, SORTED_PARTS), compression)
 
 
 def write_ranged(df: DataFrame, out: str, key: str, n: int, compression: str = "gzip") -> None:
