@@ -12,8 +12,8 @@ def _cell(value: Column, size: float) -> Column:
     return F.floor(value / size)
 
 
-def _edges(rings: Column, size: float) -> Column:
-    """All sides of all rings, each with the cell rows it spans and its last cell column."""
+def _sides(rings: Column, size: float) -> Column:
+    """All sides of all rings, each with the cell columns and rows its box spans."""
 
     def side(a: Column, b: Column) -> Column:
         return F.struct(
@@ -21,9 +21,10 @@ def _edges(rings: Column, size: float) -> Column:
             a["y"].alias("y1"),
             b["x"].alias("x2"),
             b["y"].alias("y2"),
+            _cell(F.least(a["x"], b["x"]), size).alias("column_from"),
+            _cell(F.greatest(a["x"], b["x"]), size).alias("column_to"),
             _cell(F.least(a["y"], b["y"]), size).alias("row_from"),
             _cell(F.greatest(a["y"], b["y"]), size).alias("row_to"),
-            _cell(F.greatest(a["x"], b["x"]), size).alias("column_to"),
         )
 
     def ring_sides(ring: Column) -> Column:
@@ -33,33 +34,37 @@ def _edges(rings: Column, size: float) -> Column:
 
 
 def polygon_cells(polygons: DataFrame, size: float, id_col: str) -> DataFrame:
-    """(cx, cy, ord, id, edges): the cells a polygon's box covers and the sides that matter there.
+    """(cx, cy, ord, id, edges): the cells that a polygon meets, and the sides that matter there.
 
-    A point is tested by a ray to the right, so a cell keeps only the sides that reach its
-    row and do not end left of it. A cell without any is outside the polygon and dropped.
+    A point is tested by a ray to the right, so a cell keeps the sides that reach its row and
+    do not end left of it. A cell that no side passes is all inside or all outside: inside it
+    gets an empty list, outside it is dropped.
     """
-    sides = polygons.select("ord", F.col(id_col).alias("id"), _edges(F.col("rings"), size).alias("sides"))
-    xs = F.transform("sides", lambda s: F.least(s["x1"], s["x2"]))
-    ys_from = F.transform("sides", lambda s: s["row_from"])
-    ys_to = F.transform("sides", lambda s: s["row_to"])
-    xs_to = F.transform("sides", lambda s: s["column_to"])
+
+    def lowest(field: str) -> Column:
+        return F.array_min(F.transform("sides", lambda s: s[field]))
+
+    def highest(field: str) -> Column:
+        return F.array_max(F.transform("sides", lambda s: s[field]))
+
+    sides = polygons.select("ord", F.col(id_col).alias("id"), _sides(F.col("rings"), size).alias("sides"))
     rows = sides.where(F.size("sides") > 0).select(
         "ord",
         "id",
         "sides",
-        _cell(F.array_min(xs), size).alias("cx_from"),
-        F.array_max(xs_to).alias("cx_to"),
-        F.explode(F.sequence(F.array_min(ys_from), F.array_max(ys_to))).alias("cy"),
+        F.sequence(lowest("column_from"), highest("column_to")).alias("columns"),
+        F.explode(F.sequence(lowest("row_from"), highest("row_to"))).alias("cy"),
     )
     in_row = rows.withColumn("sides", F.filter("sides", lambda s: F.col("cy").between(s["row_from"], s["row_to"])))
-    cells = in_row.select(
-        "ord", "id", "sides", "cy", F.explode(F.sequence(F.col("cx_from"), F.col("cx_to"))).alias("cx")
-    )
-    kept = F.filter("sides", lambda s: s["column_to"] >= F.col("cx"))
+    cells = in_row.select("ord", "id", "sides", "cy", F.explode("columns").alias("cx"))
+    cells = cells.withColumn("sides", F.filter("sides", lambda s: s["column_to"] >= F.col("cx")))
+    passed = F.exists("sides", lambda s: s["column_from"] <= F.col("cx"))
+    centre_inside = covers(F.col("sides"), (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size)
     edges = F.transform(
-        kept, lambda s: F.struct(s["x1"].alias("x1"), s["y1"].alias("y1"), s["x2"].alias("x2"), s["y2"].alias("y2"))
+        "sides", lambda s: F.struct(s["x1"].alias("x1"), s["y1"].alias("y1"), s["x2"].alias("x2"), s["y2"].alias("y2"))
     )
-    return cells.select("cx", "cy", "ord", "id", edges.alias("edges")).where(F.size("edges") > 0)
+    kept = cells.where(passed | centre_inside)
+    return kept.select("cx", "cy", "ord", "id", F.when(passed, edges).otherwise(F.array()).alias("edges"))
 
 
 def covers(edges: Column, x: Column, y: Column) -> Column:
@@ -95,15 +100,15 @@ def locate_first(
     """Adds ``id_col`` of the first polygon, by ``ord``, that holds or touches each point.
 
     Points in no polygon, or with a NULL coordinate, get NULL. ``cell_size`` should be near
-    the width of a typical polygon. When the polygon cells are counted to have at most
-    ``broadcast_weight`` sides they are broadcast, and points are not shuffled at all. Larger
+    a part of the width of a typical polygon: points in cells that no side passes need no test.
+    When the polygon cells and their sides are counted to be at most ``broadcast_weight`` they are broadcast, and points are not shuffled at all. Larger
     ones are joined to the distinct coordinates by a shuffle on cells.
     """
     x = F.col(lon) if isinstance(lon, str) else lon
     y = F.col(lat) if isinstance(lat, str) else lat
     rows = points.withColumns({"_x": x, "_y": y})
     cells = polygon_cells(polygons, cell_size, id_col)
-    weight = cells.agg(F.coalesce(F.sum(F.size("edges")), F.lit(0)).alias("w")).first()["w"]
+    weight = cells.agg(F.coalesce(F.sum(F.size("edges") + 1), F.lit(0)).alias("w")).first()["w"]
     locate = _locate_by_broadcast if weight <= broadcast_weight else _locate_by_shuffle
     return locate(rows, cells, id_col, cell_size).drop("_x", "_y")
 
@@ -112,6 +117,11 @@ def _with_cell(rows: DataFrame, size: float) -> DataFrame:
     return rows.withColumns({"_cx": _cell(F.col("_x"), size), "_cy": _cell(F.col("_y"), size)})
 
 
+def _in_cell(edges: Column) -> Column:
+    """Whether the point (_x, _y) of a cell is inside the polygon that left these sides there."""
+    return (F.size(edges) == 0) | covers(edges, F.col("_x"), F.col("_y"))
+
+
 def _locate_by_broadcast(rows: DataFrame, cells: DataFrame, id_col: str, size: float) -> DataFrame:
     """For cells of proven small size: one row per cell with its polygons in order."""
     polygon = F.struct("ord", "id", "edges")
@@ -119,7 +129,7 @@ def _locate_by_broadcast(rows: DataFrame, cells: DataFrame, id_col: str, size: f
         F.sort_array(F.collect_list(polygon)).alias("_polygons")
     )
     joined = _with_cell(rows, size).join(F.broadcast(per_cell), ["_cx", "_cy"], "left")
-    holding = F.filter("_polygons", lambda p: covers(p["edges"], F.col("_x"), F.col("_y")))
+    holding = F.filter("_polygons", lambda p: _in_cell(p["edges"]))
     return joined.withColumn(id_col, F.get(holding, 0)["id"]).drop("_cx", "_cy", "_polygons")
 
 
@@ -131,6 +141,6 @@ def _locate_by_shuffle(rows: DataFrame, cells: DataFrame, id_col: str, size: flo
     """
     places = _with_cell(rows.select("_x", "_y").dropna().distinct(), size)
     keyed = cells.withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
-    hits = places.join(keyed, ["_cx", "_cy"]).where(covers(F.col("edges"), F.col("_x"), F.col("_y")))
+    hits = places.join(keyed, ["_cx", "_cy"]).where(_in_cell(F.col("edges")))
     first = hits.groupBy("_x", "_y").agg(F.min_by("id", "ord").alias(id_col))
     return rows.join(first, ["_x", "_y"], "left")

@@ -10,8 +10,9 @@ from lakejobs.operators.readings import attach_attributes, avg_per_region, lates
 from lakejobs.operators.spatial import locate_first
 from lakejobs.plans import stored, views
 from lakejobs.sources.files import read_json_day
+from lakejobs.sources.polygons import read_polygons
 
-CELL = 4.0
+CELL = 1.0
 JSON_DAY = "2024-01-15"
 
 
@@ -62,18 +63,22 @@ def latest_json_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per(wanted(day), ["location"], "value", utc(), "event_id")
 
 
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_polygons(spark, stored.regions(spark, sf_dir), ["geoid", "name", "stusps"])
+
+
 def points_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = views.order_places(spark, sf_dir)
-    return locate_first(places, views.regions(spark, sf_dir), "lon", "lat", "geoid", CELL)
+    return locate_first(places, _regions(spark, sf_dir), "lon", "lat", "geoid", CELL)
 
 
 def region_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    averages = region_averages(views.readings(spark, sf_dir), views.regions(spark, sf_dir), CELL)
+    averages = region_averages(views.readings(spark, sf_dir), _regions(spark, sf_dir), CELL)
     return averages.withColumn("avg_value", F.round("avg_value", 6))
 
 
 def region_avg_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attributes = views.regions(spark, sf_dir).select("geoid", "name", "stusps")
+    attributes = _regions(spark, sf_dir).select("geoid", "name", "stusps")
     return attach_attributes(region_avg(spark, sf_dir), attributes, "geoid", "stusps", K.EXCLUDED_STATES)
 
 

@@ -116,6 +116,31 @@ def names_by_day(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
+def regions(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the region polygons as lines of GeoJSON features."""
+
+    def write(path: str) -> None:
+        points = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+        # The second ring is a hole in some polygons and a part of its own in the others.
+        parts = F.col("ord") % 5 == 2
+        coordinates = F.when(parts, F.to_json(F.transform(points, lambda ring: F.array(ring)))).otherwise(F.to_json(points))
+        kind = F.when(parts, "MultiPolygon").otherwise("Polygon")
+        line = F.concat(
+            F.lit('{"type":"Feature","ord":'),
+            F.col("ord"),
+            F.lit(',"properties":'),
+            F.to_json(F.struct("geoid", "name", "stusps")),
+            F.lit(',"geometry":{"type":"'),
+            kind,
+            F.lit('","coordinates":'),
+            coordinates,
+            F.lit("}}"),
+        )
+        views.regions(spark, sf_dir).select(line.alias("value")).write.text(path)
+
+    return once(spark, sf_dir, "regions", write)
+
+
 def grid_store(spark: SparkSession, sf_dir: str) -> str:
     """The grid in folders of measure, year and month; the time column is marked as such."""
     def write(path: str) -> None:
