@@ -16,11 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _longitude(key: Column) -> Column:
-    return (key * 53 % 1200) / 10 - 180
+    return (key * 457 % 1200) / 10 - 180
 
 
 def _latitude(key: Column) -> Column:
-    return (key * 37 % 480) / 10 + 10
+    return (key * 137 % 480) / 10 + 10
 
 
 def _quarter(value: Column) -> Column:
@@ -56,8 +56,8 @@ WEATHER_SCHEMA = "DATE string, LATITUDE string, LONGITUDE string, NAME string, W
 WEATHER_SQL = """
 weather AS (
     SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "DATE",
-           (user_id * 37 % 480) / 10 + 10 AS lat,
-           (user_id * 53 % 1200) / 10 - 180 AS lon,
+           (user_id * 137 % 480) / 10 + 10 AS lat,
+           (user_id * 457 % 1200) / 10 - 180 AS lon,
            CASE WHEN event_type = 'error' THEN '9999'
                 ELSE lpad(CAST(CAST(floor(value * 10) AS BIGINT) AS VARCHAR), 4, '0') END AS packed
     FROM events
@@ -206,8 +206,8 @@ readings AS (
            CASE WHEN event_type = 'click' THEN 'pm25' ELSE event_type END AS parameter,
            'S' || CAST(user_id AS VARCHAR) AS location,
            value,
-           floor(((user_id * 37 % 480) / 10 + 10) * 4) / 4 AS lat,
-           floor(((user_id * 53 % 1200) / 10 - 180) * 4) / 4
+           floor(((user_id * 137 % 480) / 10 + 10) * 4) / 4 AS lat,
+           floor(((user_id * 457 % 1200) / 10 - 180) * 4) / 4
                + CASE WHEN user_id % 10 = 0 THEN event_id % 3 * 0.25 ELSE 0 END AS lon,
            ts, event_id
     FROM events
@@ -302,8 +302,8 @@ def order_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER_PLACES_SQL = """
 order_places AS (
     SELECT o_orderkey,
-           floor(((o_orderkey * 53 % 1200) / 10 - 180) * 4) / 4 AS lon,
-           floor(((o_custkey * 37 % 480) / 10 + 10) * 4) / 4 AS lat
+           floor(((o_orderkey * 457 % 1200) / 10 - 180) * 4) / 4 AS lon,
+           floor(((o_custkey * 137 % 480) / 10 + 10) * 4) / 4 AS lat
     FROM orders
 )"""
 
