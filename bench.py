@@ -28,6 +28,7 @@ STORES = {
     "write_ranged": stored.by_range,
     "write_names_by_day": stored.names_by_day,
     "write_grid": stored.grid_store,
+    "write_regions": stored.region_cells,
 }
 
 

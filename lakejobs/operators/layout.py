@@ -11,7 +11,7 @@ from lakejobs.sources.files import with_path
 
 
 def file_counts(df: DataFrame, key: str | None = None, name: str = "n") -> DataFrame:
-    """Rows per file, or per file and key. ``df`` must be a file scan."""
+    """Rows per file, or per file and key. ``df`` must be a file scan, columns added or not."""
     keys = ["path"] if key is None else ["path", key]
     return with_path(df).groupBy(*keys).agg(F.count("*").alias(name))
 

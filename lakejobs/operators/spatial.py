@@ -101,13 +101,29 @@ def locate_first(
 
     Points in no polygon, or with a NULL coordinate, get NULL. ``cell_size`` should be near
     a part of the width of a typical polygon: points in cells that no side passes need no test.
-    When the polygon cells and their sides are counted to be at most ``broadcast_weight`` they are broadcast, and points are not shuffled at all. Larger
-    ones are joined to the distinct coordinates by a shuffle on cells.
+    """
+    cells = polygon_cells(polygons, cell_size, id_col)
+    return locate_in_cells(points, cells, lon, lat, id_col, cell_size, broadcast_weight)
+
+
+def locate_in_cells(
+    points: DataFrame,
+    cells: DataFrame,
+    lon: Column | str,
+    lat: Column | str,
+    id_col: str,
+    cell_size: float,
+    broadcast_weight: int = BROADCAST_WEIGHT,
+) -> DataFrame:
+    """``locate_first`` with the ``polygon_cells`` at hand, such as a table written once.
+
+    When the cells and their sides are counted to be at most ``broadcast_weight`` they are
+    broadcast, and points are not shuffled at all. Larger ones are joined to the distinct
+    coordinates by a shuffle on cells.
     """
     x = F.col(lon) if isinstance(lon, str) else lon
     y = F.col(lat) if isinstance(lat, str) else lat
     rows = points.withColumns({"_x": x, "_y": y})
-    cells = polygon_cells(polygons, cell_size, id_col)
     weight = cells.agg(F.coalesce(F.sum(F.size("edges") + 1), F.lit(0)).alias("w")).first()["w"]
     locate = _locate_by_broadcast if weight <= broadcast_weight else _locate_by_shuffle
     return locate(rows, cells, id_col, cell_size).drop("_x", "_y")

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from lakejobs import constants as K
 from lakejobs.operators.readings import attach_attributes, avg_per_region, latest_by_place, latest_per
-from lakejobs.operators.spatial import locate_first
+from lakejobs.operators.spatial import locate_in_cells
 from lakejobs.plans import stored, views
 from lakejobs.sources.files import read_json_day
 from lakejobs.sources.polygons import read_polygons
 
-CELL = 1.0
 JSON_DAY = "2024-01-15"
 
 
@@ -36,9 +35,9 @@ def latest_values(readings: DataFrame) -> DataFrame:
     return latest_by_place(flat, "location", ["lon", "lat"], "value", utc(), "event_id")
 
 
-def region_averages(readings: DataFrame, regions: DataFrame, cell_size: float) -> DataFrame:
+def region_averages(readings: DataFrame, cells: DataFrame, cell_size: float) -> DataFrame:
     """(geoid, avg_value) with a NULL group for stations in no region."""
-    located = locate_first(latest_values(readings), regions, "lon", "lat", "geoid", cell_size)
+    located = locate_in_cells(latest_values(readings), cells, "lon", "lat", "geoid", cell_size)
     return avg_per_region(located, "geoid", "last_value")
 
 
@@ -63,22 +62,22 @@ def latest_json_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per(wanted(day), ["location"], "value", utc(), "event_id")
 
 
-def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_polygons(spark, stored.regions(spark, sf_dir), ["geoid", "name", "stusps"])
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(stored.region_cells(spark, sf_dir))
 
 
 def points_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = views.order_places(spark, sf_dir)
-    return locate_first(places, _regions(spark, sf_dir), "lon", "lat", "geoid", CELL)
+    return locate_in_cells(places, _cells(spark, sf_dir), "lon", "lat", "geoid", stored.CELL)
 
 
 def region_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    averages = region_averages(views.readings(spark, sf_dir), _regions(spark, sf_dir), CELL)
+    averages = region_averages(views.readings(spark, sf_dir), _cells(spark, sf_dir), stored.CELL)
     return averages.withColumn("avg_value", F.round("avg_value", 6))
 
 
 def region_avg_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attributes = _regions(spark, sf_dir).select("geoid", "name", "stusps")
+    attributes = read_polygons(spark, stored.regions(spark, sf_dir), ["geoid", "name", "stusps"]).drop("ord", "rings")
     return attach_attributes(region_avg(spark, sf_dir), attributes, "geoid", "stusps", K.EXCLUDED_STATES)
 
 

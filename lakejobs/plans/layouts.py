@@ -39,14 +39,14 @@ def ranged_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucketed_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per bucket file, by the bucket number each key must have."""
+    """Rows, those in a file of the bucket their key must have, and the buckets in use."""
     reviews = spark.table(stored.table_name(stored.by_bucket(spark, sf_dir)))
-    in_file = F.regexp_extract(F.col("_metadata.file_path"), r"_(\d{5})\.c", 1).cast("int")
     bucket = F.pmod(F.hash("review_id"), F.lit(stored.BUCKETS))
-    checked = reviews.select(bucket.alias("bucket"), (bucket == in_file).alias("right"))
-    return checked.agg(
-        F.count("*").alias("n"),
-        F.count_if("right").alias("in_right_file"),
+    per_file = file_counts(reviews.withColumn("bucket", bucket), "bucket")
+    in_file = F.regexp_extract("path", r"_(\d{5})\.c", 1).cast("int")
+    return per_file.agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("bucket") == in_file, F.col("n"))).alias("in_right_file"),
         F.count_distinct("bucket").alias("buckets"),
     )
 

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakejobs import constants as K
 from lakejobs.operators.skew import parts_for
+from lakejobs.operators.spatial import polygon_cells
 from lakejobs.plans import views
 from lakejobs.session import new_path
 from lakejobs.sinks.files import write_partitioned, write_ranged, write_sorted
 from lakejobs.sinks.tables import write_bucketed, write_partitioned_table
 from lakejobs.sources.catalog import mark_time_column
+from lakejobs.sources.polygons import read_polygons
 
+CELL = 1.0  # cell width in degrees for lookups in regions
 BUCKETS = 30
 RANGES = 30  # at least; large tables get more
 RANGED_COLUMNS = ("marketplace", "customer_id", "review_id", "product_id", "product_parent", "star_rating")
@@ -141,11 +145,29 @@ def regions(spark: SparkSession, sf_dir: str) -> str:
     return once(spark, sf_dir, "regions", write)
 
 
+def region_cells(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the regions' cells, ready for lookups."""
+
+    def write(path: str) -> None:
+        polygons = read_polygons(spark, regions(spark, sf_dir), ["geoid"])
+        polygon_cells(polygons, CELL, "geoid").write.parquet(path)
+
+    return once(spark, sf_dir, "region_cells", write)
+
+
 def grid_store(spark: SparkSession, sf_dir: str) -> str:
-    """The grid in folders of measure, year and month; the time column is marked as such."""
+    """The grid in folders of measure, year and month; each measure has its own time column."""
+
     def write(path: str) -> None:
-        grid = views.grid(spark, sf_dir).withColumnRenamed("time", "time0")
-        dated = grid.withColumns({"year": F.year("time0"), "month": F.month("time0")})
-        write_partitioned(mark_time_column(dated, "time0"), path, ["measure", "year", "month"])
+        for measure in K.GRID_MEASURES:
+            name = "time1" if measure.startswith("precipitation") else "time0"
+            steps = views.grid(spark, sf_dir).where(F.col("measure") == measure)
+            dated = steps.select(
+                F.col("time").alias(name),
+                "values",
+                F.date_format("time", "yyyy").alias("year"),
+                F.date_format("time", "MM").alias("month"),
+            )
+            write_partitioned(mark_time_column(dated, name), f"{path}/measure={measure}", ["year", "month"])
 
     return once(spark, sf_dir, "grid", write)

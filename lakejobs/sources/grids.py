@@ -1,16 +1,18 @@
-"""Grid tables: one row per measure and time step, its cells in an array.
+"""Grid tables: one row per time step, its cells in an array.
 
-Columns: ``measure``, ``year`` and ``month`` (folders), a time column, ``values array<...>`` in
-row order (latitude first, then longitude).
+Folders: ``measure=M/year=Y/month=MM``. Columns: a time column, whose name may differ between
+measures, and ``values array<...>`` in row order (latitude first, then longitude).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lakejobs.operators.grid import day_slice
 from lakejobs.sources.catalog import time_column
+from lakejobs.sources.files import read_partitioned
 
 
 def read_grid_day(
@@ -20,15 +22,16 @@ def read_grid_day(
     measures: list[str] | tuple[str, ...],
     time_name: str = "time",
 ) -> DataFrame:
-    """The steps of one day for the given measures.
+    """The steps of one day (``Y-m-d``) for the given measures.
 
-    Measure, year and month are folders, so only those of the day are listed and read. The
-    time column is found by its metadata, whatever its name, and returned as ``time_name``.
+    Only the folder of that month is listed and read for each measure. The time column is
+    found by its metadata, whatever its name, and returned as ``time_name``.
     """
-    grid = spark.read.parquet(path)
     year, month, _ = day.split("-")
-    chosen = grid.where(
-        F.col("measure").isin(list(measures)) & (F.col("year") == int(year)) & (F.col("month") == int(month))
-    )
-    found = time_column(grid.schema)
-    return day_slice(chosen, found, day).withColumnRenamed(found, time_name)
+
+    def steps(measure: str) -> DataFrame:
+        grid = read_partitioned(spark, path, f"measure={measure}/year={year}/month={month}", keep_partition=True)
+        found = time_column(grid.schema)
+        return day_slice(grid, found, day).withColumnRenamed(found, time_name)
+
+    return reduce(DataFrame.unionByName, [steps(m) for m in measures])
