@@ -65,8 +65,7 @@ def air_averages(spark: SparkSession, args: argparse.Namespace) -> None:
         country string, parameter string, unit string, location string, value double,
         coordinates struct<latitude:double,longitude:double>, date struct<utc:string,local:string>
     """
-    # Equal times are settled by value: the feed has no row number.
-    readings = read_json_day(spark, args.readings, args.date, schema).withColumn("event_id", F.lit(0))
+    readings = read_json_day(spark, args.readings, args.date, schema)
     polygons = read_polygons(spark, args.regions, ["GEOID", "STUSPS", "NAME"]).withColumnRenamed("GEOID", "geoid")
     path = new_path(spark, "region_cells")
     polygon_cells(polygons, args.cell, "geoid").write.parquet(path)

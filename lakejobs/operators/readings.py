@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakejobs import constants as K
-from lakejobs.functions.fields import iso_day, packed_field, scaled, to_double
+from lakejobs.functions.fields import as_col, iso_day, packed_field, scaled, to_double
 from lakejobs.operators.filters import drop_sentinel, in_box, not_in
 
 
@@ -45,9 +45,9 @@ def latest_per(
     one row per task. Among equal times the largest ``tie`` wins. Give ``time`` as a timestamp
     rather than text: it compares and aggregates several times faster.
     """
-    order = F.col(time) if isinstance(time, str) else time
+    order = as_col(time)
     if tie is not None:
-        order = F.struct(order.alias("time"), (F.col(tie) if isinstance(tie, str) else tie).alias("tie"))
+        order = F.struct(order.alias("time"), as_col(tie).alias("tie"))
     return df.groupBy(*keys).agg(F.max_by(value, order).alias(name))
 
 
@@ -67,17 +67,17 @@ def latest_by_place(
     place: list[str],
     value: str,
     time: Column | str,
-    tie: Column | str,
+    tie: Column | str | None = None,
 ) -> DataFrame:
     """Distinct (place, latest value of the station) rows.
 
     A station may report from several places, and each of them gets the station's latest
     value. The rows are read and aggregated once, to one row per station and place; that
-    result is shuffled once and used on both sides of the join.
+    result is shuffled once and used on both sides of the join. Among equal times the largest
+    ``tie`` wins, then the largest value.
     """
-    order = F.col(time) if isinstance(time, str) else time
-    last_key = F.col(tie) if isinstance(tie, str) else tie
-    reading = F.struct(order.alias("time"), last_key.alias("tie"), F.col(value).alias("value"))
+    order = [as_col(time).alias("time")] + ([] if tie is None else [as_col(tie).alias("tie")])
+    reading = F.struct(*order, F.col(value).alias("value"))
     per_place = df.groupBy(station, *place).agg(F.max(reading).alias("latest_here"))
     per_station = per_place.groupBy(F.col(station).alias("_station")).agg(F.max("latest_here").alias("latest"))
     joined = per_place.join(per_station, F.col(station).eqNullSafe(F.col("_station")), "inner")

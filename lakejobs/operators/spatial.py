@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakejobs.functions.fields import as_col
 from lakejobs.operators.skew import BROADCAST_WEIGHT
 
 
@@ -121,9 +122,7 @@ def locate_in_cells(
     broadcast, and points are not shuffled at all. Larger ones are joined to the distinct
     coordinates by a shuffle on cells.
     """
-    x = F.col(lon) if isinstance(lon, str) else lon
-    y = F.col(lat) if isinstance(lat, str) else lat
-    rows = points.withColumns({"_x": x, "_y": y})
+    rows = points.withColumns({"_x": as_col(lon), "_y": as_col(lat)})
     weight = cells.agg(F.coalesce(F.sum(F.size("edges") + 1), F.lit(0)).alias("w")).first()["w"]
     locate = _locate_by_broadcast if weight <= broadcast_weight else _locate_by_shuffle
     return locate(rows, cells, id_col, cell_size).drop("_x", "_y")

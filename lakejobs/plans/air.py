@@ -15,12 +15,12 @@ from lakejobs.sources.polygons import read_polygons
 JSON_DAY = "2024-01-15"
 
 
-def wanted(readings: DataFrame) -> DataFrame:
+def wanted(readings: DataFrame, *more: str) -> DataFrame:
     """Readings of the country and measure of interest."""
     return (
         readings.where(F.col("country") == K.AIR_COUNTRY)
         .where(F.col("parameter") == K.AIR_PARAMETER)
-        .select("coordinates", "date", "parameter", "unit", "value", "location", "event_id")
+        .select("coordinates", "date", "parameter", "unit", "value", "location", *more)
     )
 
 
@@ -29,24 +29,26 @@ def utc() -> Column:
     return F.col("date.utc").try_cast("timestamp")
 
 
-def latest_values(readings: DataFrame) -> DataFrame:
+def latest_values(readings: DataFrame, tie: str | None = None) -> DataFrame:
     """Distinct (lon, lat, last_value) of the wanted stations."""
-    flat = wanted(readings).withColumns({"lon": F.col("coordinates.longitude"), "lat": F.col("coordinates.latitude")})
-    return latest_by_place(flat, "location", ["lon", "lat"], "value", utc(), "event_id")
+    flat = wanted(readings, *([tie] if tie else [])).withColumns(
+        {"lon": F.col("coordinates.longitude"), "lat": F.col("coordinates.latitude")}
+    )
+    return latest_by_place(flat, "location", ["lon", "lat"], "value", utc(), tie)
 
 
-def region_averages(readings: DataFrame, cells: DataFrame, cell_size: float) -> DataFrame:
+def region_averages(readings: DataFrame, cells: DataFrame, cell_size: float, tie: str | None = None) -> DataFrame:
     """(geoid, avg_value) with a NULL group for stations in no region."""
-    located = locate_in_cells(latest_values(readings), cells, "lon", "lat", "geoid", cell_size)
+    located = locate_in_cells(latest_values(readings, tie), cells, "lon", "lat", "geoid", cell_size)
     return avg_per_region(located, "geoid", "last_value")
 
 
 def latest_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_per(wanted(views.readings(spark, sf_dir)), ["location"], "value", utc(), "event_id")
+    return latest_per(wanted(views.readings(spark, sf_dir), "event_id"), ["location"], "value", utc(), "event_id")
 
 
 def latest_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_values(views.readings(spark, sf_dir))
+    return latest_values(views.readings(spark, sf_dir), "event_id")
 
 
 def latest_json_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def latest_json_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     root = stored.once(spark, sf_dir, "readings_json", write)
     day = read_json_day(spark, root, f"day={JSON_DAY}", views.READINGS_SCHEMA)
-    return latest_per(wanted(day), ["location"], "value", utc(), "event_id")
+    return latest_per(wanted(day, "event_id"), ["location"], "value", utc(), "event_id")
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +74,7 @@ def points_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    averages = region_averages(views.readings(spark, sf_dir), _cells(spark, sf_dir), stored.CELL)
+    averages = region_averages(views.readings(spark, sf_dir), _cells(spark, sf_dir), stored.CELL, "event_id")
     return averages.withColumn("avg_value", F.round("avg_value", 6))
 
 
