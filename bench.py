@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakejobs import plans
-from lakejobs.operators.layout import files_touched, key_ranges
+from lakejobs.operators.layout import file_counts, files_touched, key_ranges
+from lakejobs.operators.reports import top_counts
 from lakejobs.plans import layouts, stored
 from lakejobs.session import build_session
 
@@ -43,9 +44,10 @@ def timed(work: Callable[[], object]) -> float:
     return round(time.perf_counter() - start, 3)
 
 
-def ratios(spark: SparkSession, sf_dir: str) -> dict[str, float]:
-    """How much less a selective read touches: the numbers to compare with the baseline's."""
+def ratios(spark: SparkSession, sf_dir: str, times: dict[str, float]) -> dict[str, float]:
+    """How much less a selective read touches, and what layouts cost: the baseline's ratios."""
     market = spark.read.parquet(stored.by_market_year(spark, sf_dir))
+    pruned = market.where("marketplace = 'AMERICA' AND review_year = 1997")
 
     def size(df: DataFrame) -> int:
         return key_ranges(df, "product_id").agg(F.sum("bytes")).first()[0]
@@ -53,12 +55,20 @@ def ratios(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     def touched(path: str) -> int:
         return files_touched(spark.read.parquet(path), "product_id", [layouts.KEY]).first()["bytes_touched"]
 
-    pruned = size(market.where("marketplace = 'AMERICA' AND review_year = 1997"))
+    def top10(df: DataFrame) -> float:
+        return min(timed(lambda: run(top_counts(df, "product_id", 10))) for _ in range(3))
+
+    def lookup(path: str) -> float:
+        rows = spark.read.parquet(path).where(F.col("product_id") == layouts.KEY)
+        return min(timed(lambda: run(file_counts(rows, "product_id"))) for _ in range(3))
+
+    in_buckets, in_order = stored.by_bucket(spark, sf_dir), stored.by_sort(spark, sf_dir)
     return {
-        "bytes_all_over_pruned": round(size(market) / pruned, 2),
-        "key_bytes_bucketed_over_sorted": round(
-            touched(stored.by_bucket(spark, sf_dir)) / touched(stored.by_sort(spark, sf_dir)), 2
-        ),
+        "bytes_all_over_pruned": round(size(market) / size(pruned), 2),
+        "seconds_all_over_pruned": round(top10(market) / top10(pruned), 2),
+        "key_bytes_bucketed_over_sorted": round(touched(in_buckets) / touched(in_order), 2),
+        "key_seconds_bucketed_over_sorted": round(lookup(in_buckets) / lookup(in_order), 2),
+        "write_seconds_sorted_over_bucketed": round(times["write_sorted"] / times["write_bucketed"], 2),
     }
 
 
@@ -92,7 +102,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir).removeprefix("sf"),
     }
     if not chosen:
-        result["ratios"] = ratios(spark, sf_dir)
+        result["ratios"] = ratios(spark, sf_dir, times)
     print(json.dumps(result))
     spark.stop()
 

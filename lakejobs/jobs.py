@@ -146,7 +146,7 @@ def parser() -> argparse.ArgumentParser:
     air.add_argument("--cell", type=float, default=0.25)
 
     model = job("recommender", recommender, "input", "output")
-    model.add_argument("--blocks", type=int, default=10)
+    model.add_argument("--blocks", type=int)
 
     weather = job("weather-map", map_data, "input", "output")
     weather.add_argument("--date", default=K.DEFAULT_WEATHER_DAY)

@@ -9,9 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakejobs import constants as K
+from lakejobs.operators.skew import parts_for
 
 # Number of hash buckets in which distinct texts are numbered; also the rows of the offset table.
 ID_BUCKETS = 1024
+# Fewest blocks that users and items are split into.
+ALS_BLOCKS = 10
 
 
 def dense_ids(df: DataFrame, col: str, name: str, buckets: int = ID_BUCKETS) -> DataFrame:
@@ -59,12 +62,14 @@ def fit_als(
     max_iter: int = K.ALS_MAX_ITER,
     reg_param: float = K.ALS_REG_PARAM,
     seed: int = 0,
-    blocks: int = 10,
+    blocks: int | None = None,
 ) -> ALSModel:
     """Latent factors from explicit ratings; users and items unseen in training score nothing.
 
-    Ids must be whole numbers in the int range. Raise ``blocks`` with the number of ratings.
+    Ids must be whole numbers in the int range. ``blocks`` defaults to a number sized by the
+    ratings. Give it ratings that are stored: it reads them several times.
     """
+    blocks = blocks or parts_for(train, ALS_BLOCKS)
     als = ALS(
         maxIter=max_iter,
         regParam=reg_param,
