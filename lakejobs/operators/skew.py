@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakejobs.session import new_path
+
 # Rows that make one output file or sort partition.
 ROWS_PER_PART = 5_000_000
 
@@ -19,16 +22,33 @@ def hot_keys(df: DataFrame, key: str, parts: int) -> DataFrame:
     return counts.where(F.col("_n") * parts > total).select(key)
 
 
+def stored_rows(df: DataFrame) -> DataFrame:
+    """``df`` itself when it scans Parquet, so each row has a file and a number; else a stored copy.
+
+    Work that passes over the rows several times then reads files instead of repeating what
+    made them.
+    """
+    try:
+        df.select("_metadata.row_index")
+        return df
+    except AnalysisException:
+        path = new_path(df.sparkSession, "rows")
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
+
+
 def salted(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
-    """Adds ``name``: 0 for ordinary keys, 0..parts-1 by row content for hot ones.
+    """Adds ``name``: 0 for ordinary keys, 0..parts-1 for the rows of hot ones.
 
-    The salt depends on the row alone, so a task that is run again gives the same one. The
-    hot keys are broadcast: there are fewer than ``parts`` of them.
+    ``df`` must scan Parquet. The salt comes from the row's file and number, so exact copies
+    are spread like other rows, and a task that is run again gives the same salts. The hot
+    keys are broadcast: there are fewer than ``parts`` of them.
     """
     hot = hot_keys(df, key, parts).select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"))
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")
-    marked = df.join(F.broadcast(hot), df[key].eqNullSafe(F.col("_hot_key")), "left")
-    return marked.select(*[df[c] for c in df.columns], F.when(F.col("_hot"), spread).otherwise(0).alias(name))
+    place = F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(parts)).cast("int")
+    placed = df.withColumn(name, place)
+    marked = placed.join(F.broadcast(hot), placed[key].eqNullSafe(F.col("_hot_key")), "left")
+    return marked.select(*df.columns, F.when(F.col("_hot"), F.col(name)).otherwise(0).alias(name))
 
 
 def parts_for(df: DataFrame, least: int = 1, rows_per_part: int = ROWS_PER_PART) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.operators.skew import parts_for, salted
+from lakejobs.operators.skew import parts_for, salted, stored_rows
 
 # Fewest parts of a global sort; large tables get more.
 SORTED_PARTS = 8
@@ -67,15 +67,17 @@ def write_sorted(df: DataFrame, out: str, key: str, parts: int | None = None, co
     A key is in one file, unless it holds more than 1/``parts`` of all rows: such a key is
     spread over several neighbouring files. ``parts`` defaults to a number sized by the rows.
     """
-    write_ranged(df, out, key, parts or parts_for(df, SORTED_PARTS), compression)
+    rows = stored_rows(df)
+    write_ranged(rows, out, key, parts or parts_for(rows, SORTED_PARTS), compression)
 
 
 def write_ranged(df: DataFrame, out: str, key: str, n: int, compression: str = "gzip") -> None:
     """Overwrites ``out`` with ``n`` Parquet files, each holding its own range of ``key``.
 
     Rows are sorted inside a file too, so row groups can be skipped. A key with more than
-    1/``n`` of all rows is spread over several neighbouring files.
+    1/``n`` of all rows is spread over several neighbouring files. Rows that are not a scan of
+    Parquet files are stored first, because they are passed over three times.
     """
-    spread = salted(df, key, n, "_salt")
+    spread = salted(stored_rows(df), key, n, "_salt")
     ranged = spread.repartitionByRange(n, key, "_salt").sortWithinPartitions(key, "_salt").drop("_salt")
     ranged.write.mode("overwrite").parquet(out, compression=compression)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakejobs import constants as K
 from lakejobs.operators.layout import file_counts, files_per_key, files_touched, key_ranges
-from lakejobs.operators.skew import broadcast_if_small, hot_keys, parts_for, salted
+from lakejobs.operators.skew import broadcast_if_small, hot_keys, parts_for, salted, stored_rows
 from lakejobs.sinks import files as sink
 from lakejobs.sinks import tables
 from lakejobs.sources import catalog
@@ -118,12 +118,12 @@ def skewed(spark):
     return spark.range(3000).select(key.cast("int").alias("k"), F.col("id").alias("review_id"))
 
 
-def test_hot_keys_are_few_and_salted_by_content(spark):
+def test_hot_keys_are_few_and_salted(spark):
     df = skewed(spark)
     assert [r[0] for r in hot_keys(df, "k", 10).collect()] == [7]
     nulls = df.withColumn("k", F.when(F.col("k") != 7, F.col("k")))
     assert [r[0] for r in hot_keys(nulls, "k", 10).collect()] == [None]
-    for rows in (df, nulls):
+    for rows in (stored_rows(df), stored_rows(nulls)):
         marked = salted(rows, "k", 10, "s")
         assert marked.count() == 3000
         hot = F.col("k").isNull() | (F.col("k") == 7)
@@ -131,6 +131,19 @@ def test_hot_keys_are_few_and_salted_by_content(spark):
         assert marked.where(hot).select("s").distinct().count() == 10
 
 
+def test_exact_copies_are_spread_too(spark, out):
+    key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 300)
+    copies = spark.range(3000).select(key.cast("int").alias("k"), F.lit("same").alias("v"))
+    rows = stored_rows(copies.repartition(3))
+    assert stored_rows(rows) is rows
+    marked = salted(rows, "k", 10, "s").where("k = 7").groupBy("s").count()
+    assert marked.count() == 10 and marked.agg(F.max("count")).first()[0] < 200
+    sink.write_ranged(rows, out, "k", 10)
+    back = spark.read.parquet(out)
+    assert sorted(back.collect()) == sorted(copies.collect())
+    assert file_counts(back).agg(F.max("n")).first()[0] < 900
+
+
 @pytest.mark.parametrize("writer", [sink.write_sorted, sink.write_ranged])
 def test_sorted_and_ranged_files(spark, out, writer):
     df = skewed(spark)
