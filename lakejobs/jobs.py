@@ -14,7 +14,7 @@ if __package__ in (None, ""):
     sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from lakejobs import constants as K
-from lakejobs.operators.layout import file_stats
+from lakejobs.operators.layout import file_stats, footer_stats
 from lakejobs.operators.readings import attach_attributes
 from lakejobs.operators.recommend import fit_als, hash_split, rmse, with_dense_id
 from lakejobs.operators.reports import row_count, top_rated
@@ -96,7 +96,8 @@ def map_data(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def stats(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Rows, smallest and largest value and NULLs of each file and column of a Parquet table."""
-    result = file_stats(spark.read.parquet(args.input), args.columns)
+    work = footer_stats if args.footers else file_stats
+    result = work(spark.read.parquet(args.input), args.columns)
     result.show(50, truncate=False)
     return result
 
@@ -153,7 +154,9 @@ def parser() -> argparse.ArgumentParser:
     weather.add_argument("--step", type=int, default=K.GRID_STEP_OF_DAY)
     weather.add_argument("--columns", type=int, default=1440, help="cells per latitude row")
 
-    job("file-stats", stats, "input").add_argument("columns", nargs="+")
+    files = job("file-stats", stats, "input")
+    files.add_argument("columns", nargs="+")
+    files.add_argument("--footers", action="store_true", help="from the footers, without reading columns")
 
     db = job("database", database, "url", "table", "driver")
     for option in ("--user", "--password", "--column", "--bounds"):

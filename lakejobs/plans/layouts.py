@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.operators.layout import compare_layouts, file_counts, file_stats, files_per_key
+from lakejobs.operators.layout import compare_layouts, file_counts, file_stats, files_per_key, footer_stats
 from lakejobs.operators.reports import row_count
 from lakejobs.operators.skew import ROWS_PER_PART, parts_for
 from lakejobs.plans import stored, views
@@ -66,6 +66,14 @@ def file_stats_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def footer_stats_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same statistics from the files' footers, put together per column."""
+    stats = footer_stats(stored.stored_reviews(spark, sf_dir), STAT_COLUMNS)
+    return stats.groupBy("column").agg(
+        F.sum("rows").alias("n"), F.min("min").alias("low"), F.max("max").alias("high"), F.sum("nulls").alias("nulls")
+    )
+
+
 def files_touched_by_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For one product: the rows found, and whether its key range points to a single file."""
     layouts = {
@@ -89,6 +97,7 @@ QUERIES = {
     "ranged_layout": ranged_layout,
     "file_counts": file_counts_by_folder,
     "file_stats": file_stats_by_column,
+    "footer_stats": footer_stats_by_column,
     "files_touched_by_layout": files_touched_by_layout,
 }
 
@@ -107,6 +116,8 @@ def _stat_sql(column: str) -> str:
                CAST(max({column}) AS VARCHAR) AS high, count(*) - count({column}) AS nulls FROM reviews"""
 
 
+_STATS_SQL = f"WITH {views.REVIEWS_SQL} " + " UNION ALL ".join(_stat_sql(c) for c in STAT_COLUMNS)
+
 SQL = {
     "sorted_layout": _layout_sql(SORTED_PARTS),
     "ranged_layout": _layout_sql(stored.RANGES),
@@ -117,7 +128,8 @@ SQL = {
         WITH {views.REVIEWS_SQL}
         SELECT product_category AS folder, count(*) AS n FROM reviews GROUP BY 1
     """,
-    "file_stats": f"WITH {views.REVIEWS_SQL} " + " UNION ALL ".join(_stat_sql(c) for c in STAT_COLUMNS),
+    "file_stats": _STATS_SQL,
+    "footer_stats": _STATS_SQL,
     "files_touched_by_layout": f"""
         SELECT layout, '{KEY}' AS product_id, layout <> 'bucketed' AS one_file,
                (SELECT count(*) FROM lineitem WHERE l_partkey = {KEY}) AS n

@@ -2,13 +2,15 @@ import gzip
 from datetime import date
 from pathlib import Path
 
+import pyarrow
+import pyarrow.parquet
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakejobs import constants as K
-from lakejobs.operators.layout import file_counts, files_per_key, files_touched, key_ranges
+from lakejobs.operators.layout import file_counts, file_stats, files_per_key, files_touched, footer_stats, key_ranges
 from lakejobs.operators.skew import broadcast_if_small, hot_keys, parts_for, salted, stored_rows
 from lakejobs.sinks import files as sink
 from lakejobs.sinks import tables
@@ -158,6 +160,26 @@ def test_sorted_and_ranged_files(spark, out, writer):
     assert [r["k"] for r in spread] == [7]
 
 
+def test_footers_tell_what_a_scan_computes(spark, tmp_path):
+    out = str(tmp_path / "a b")
+    df = skewed(spark).withColumn("v", F.when(F.col("k") % 2 == 0, F.col("k")))
+    df.repartition(3).write.parquet(out)
+    scan = spark.read.parquet(out)
+    per_file = ["path", "column", "rows", "min", "max", "nulls"]
+    from_footer = footer_stats(scan, ["k", "v"])
+    assert from_footer.where("row_group > 0").count() == 0 and from_footer.where("bytes <= 0").count() == 0
+    assert sorted(from_footer.select(*per_file).collect()) == sorted(file_stats(scan, ["k", "v"]).collect())
+
+
+def test_footers_without_statistics_give_null(spark, tmp_path):
+    table = pyarrow.table({"k": [1, 2], "v": ["a", None]})
+    pyarrow.parquet.write_table(table, tmp_path / "a.parquet", write_statistics=False)
+    pyarrow.parquet.write_table(table, tmp_path / "b.parquet", row_group_size=1)
+    rows = footer_stats(spark.read.parquet(str(tmp_path)), ["v"]).collect()
+    got = sorted((r["path"][-9:], r["row_group"], r["rows"], r["min"], r["max"], r["nulls"]) for r in rows)
+    assert got == [("a.parquet", 0, 2, None, None, None), ("b.parquet", 0, 1, "a", "a", 0), ("b.parquet", 1, 1, None, None, 1)]
+
+
 def test_files_touched_by_layout(spark, out, tmp_path):
     df = skewed(spark).withColumn("k", F.format_string("%04d", "k"))
     sink.write_ranged(df, out, "k", 10)
