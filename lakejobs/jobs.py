@@ -18,12 +18,22 @@ from lakejobs.operators.layout import file_stats, footer_stats
 from lakejobs.operators.readings import attach_attributes
 from lakejobs.operators.recommend import fit_als, hash_split, rmse, with_dense_id
 from lakejobs.operators.reports import row_count, top_rated
+from lakejobs.operators.skew import parts_for
 from lakejobs.operators.spatial import polygon_cells
 from lakejobs.plans.air import region_averages
 from lakejobs.plans.grids import weather_map
 from lakejobs.plans.weather import top_days
 from lakejobs.session import build_session, new_path
-from lakejobs.sinks.files import write_csv_n, write_escaped, write_parquet_n
+from lakejobs.sinks.files import (
+    write_csv_n,
+    write_escaped,
+    write_parquet_n,
+    write_partitioned,
+    write_ranged,
+    write_sorted,
+)
+from lakejobs.sinks.tables import write_bucketed
+from lakejobs.sources.catalog import run_sql
 from lakejobs.sources.files import read_delimited, read_escaped, read_json_day
 from lakejobs.sources.grids import read_grid_day
 from lakejobs.sources.jdbc import read_jdbc
@@ -102,6 +112,26 @@ def stats(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return result
 
 
+def layout(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Writes a Parquet table sorted or range-split by a key, or in folders or buckets of it."""
+    rows = spark.read.parquet(args.input)
+    if args.kind == "folders":
+        write_partitioned(rows, args.output, args.key.split(","))
+    elif args.kind == "buckets":
+        write_bucketed(rows, args.table, args.key, args.parts or 30, args.output)
+    elif args.kind == "sorted":
+        write_sorted(rows, args.output, args.key, args.parts)
+    else:
+        write_ranged(rows, args.output, args.key, args.parts or parts_for(rows, 30))
+
+
+def sql(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Runs SQL text against the catalog and shows the first rows of the result."""
+    result = run_sql(spark, args.text)
+    result.show(args.rows, truncate=False)
+    return result
+
+
 def database(spark: SparkSession, args: argparse.Namespace) -> None:
     """Shows a database table and its number of rows."""
     bounds = tuple(args.bounds.split(",")) if args.bounds else None
@@ -125,7 +155,7 @@ def parser() -> argparse.ArgumentParser:
     jobs = top.add_subparsers(required=True, metavar="JOB")
 
     def job(name: str, work, *positional: str) -> argparse.ArgumentParser:
-        sub = jobs.add_parser(name, help=work.__doc__)
+        sub = jobs.add_parser(name, help=work.__doc__.replace("%", "%%"))
         sub.set_defaults(work=work)
         for p in positional:
             sub.add_argument(p)
@@ -158,6 +188,14 @@ def parser() -> argparse.ArgumentParser:
     files.add_argument("columns", nargs="+")
     files.add_argument("--footers", action="store_true", help="from the footers, without reading columns")
 
+    layouts = job("layout", layout, "input", "output", "key")
+    layouts.add_argument("--kind", choices=("sorted", "ranges", "folders", "buckets"), default="sorted")
+    layouts.add_argument("--parts", type=int)
+    layouts.add_argument("--table", help="catalog name of the bucketed table")
+
+    text = job("sql", sql, "text")
+    text.add_argument("--rows", type=int, default=20)
+
     db = job("database", database, "url", "table", "driver")
     for option in ("--user", "--password", "--column", "--bounds"):
         db.add_argument(option)

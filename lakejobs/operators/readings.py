@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakejobs import constants as K
@@ -51,14 +50,23 @@ def latest_per(
     return df.groupBy(*keys).agg(F.max_by(value, order).alias(name))
 
 
-def latest_over_window(df: DataFrame, keys: list[str], value: str, order: list, name: str = "last_value") -> DataFrame:
-    """The latest value of the station beside every row, as a window.
+def with_latest(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    time: Column | str,
+    tie: Column | str | None = None,
+    name: str = "last_value",
+) -> DataFrame:
+    """Every row with the latest value of its key beside it.
 
-    All rows of a station meet in one task. ``latest_per`` gives the same values without
-    that; this is the plain statement of what it computes, for tables without hot stations.
+    Equal to ``last(value)`` over a window of all rows of the key, but no task holds them all:
+    the latest values are aggregated and joined back, and a hot key's rows can be split.
     """
-    frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return df.withColumn(name, F.last(value).over(frame))
+    latest = latest_per(df, keys, value, time, tie, name)
+    renamed = latest.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same_key = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.join(renamed, same_key, "inner").drop(*[f"_{k}" for k in keys])
 
 
 def latest_by_place(

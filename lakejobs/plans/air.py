@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakejobs import constants as K
-from lakejobs.operators.readings import attach_attributes, avg_per_region, latest_by_place, latest_per
+from lakejobs.operators.readings import attach_attributes, avg_per_region, latest_by_place, latest_per, with_latest
 from lakejobs.operators.spatial import locate_in_cells
 from lakejobs.plans import stored, views
 from lakejobs.sources.files import read_json_day
@@ -47,6 +47,14 @@ def latest_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per(wanted(views.readings(spark, sf_dir), "event_id"), ["location"], "value", utc(), "event_id")
 
 
+def reading_with_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every wanted reading beside the latest value of its station."""
+    readings = wanted(views.readings(spark, sf_dir), "event_id")
+    return with_latest(readings, ["location"], "value", utc(), "event_id").select(
+        "event_id", "location", "value", "last_value"
+    )
+
+
 def latest_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_values(views.readings(spark, sf_dir), "event_id")
 
@@ -85,6 +93,7 @@ def region_avg_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "latest_reading": latest_reading,
+    "reading_with_latest": reading_with_latest,
     "latest_distinct": latest_distinct,
     "latest_json_day": latest_json_day,
     "points_in_regions": points_in_regions,
@@ -118,6 +127,10 @@ _EXCLUDED = ", ".join(f"'{a}'" for a in K.EXCLUDED_STATES)
 
 SQL = {
     "latest_reading": f"WITH {views.READINGS_SQL}, {_LATEST_SQL} SELECT * FROM latest",
+    "reading_with_latest": f"""
+        WITH {views.READINGS_SQL}, {_LATEST_SQL}
+        SELECT event_id, location, value, last_value FROM wanted JOIN latest USING (location)
+    """,
     "latest_distinct": f"WITH {views.READINGS_SQL}, {_LATEST_SQL} SELECT * FROM latest_places",
     "latest_json_day": f"""
         WITH all_{views.READINGS_SQL.strip()},

@@ -78,6 +78,19 @@ def test_recommender_and_file_stats(spark, out):
     assert {(r["column"], r["min"], r["max"], r["nulls"]) for r in result.collect()} == {("star_rating", "1", "5", 0)}
 
 
+@pytest.mark.parametrize("kind, files", [("sorted", 4), ("ranges", 4), ("folders", 5), ("buckets", 4)])
+def test_layout_and_sql(spark, tmp_path, kind, files):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    views.reviews(spark, SF, "review_id", "product_id", "star_rating").write.parquet(source)
+    key = {"folders": "star_rating", "buckets": "review_id"}.get(kind, "product_id")
+    jobs.main(["layout", source, out, key, "--kind", kind, "--parts", "4", "--table", "command_buckets"], spark)
+    back = spark.read.parquet(out)
+    assert back.count() == 6000 and len(back.inputFiles()) == files
+    shown = jobs.main(["sql", f"SELECT count(*) AS n FROM parquet.`{out}`"], spark)
+    assert shown.first()["n"] == 6000
+
+
 def test_database_arguments():
+    assert "daily-wind" in jobs.parser().format_help()
     args = jobs.parser().parse_args(["database", "jdbc:x", "users", "d", "--column", "id", "--bounds", "0,9", "--partitions", "3"])
     assert (args.url, args.bounds, args.partitions) == ("jdbc:x", "0,9", 3)

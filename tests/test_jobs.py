@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakejobs import constants as K
@@ -62,8 +63,13 @@ _READING = st.tuples(
 def test_latest_equals_the_window(spark, rows):
     numbered = [(*row, i) for i, row in enumerate(rows)]
     df = spark.createDataFrame(numbered, "location string, place int, utc string, value double, tie int")
-    windowed = readings.latest_over_window(df, ["location"], "value", [F.col("utc"), F.col("tie")])
+    station = Window.partitionBy("location").orderBy("utc", "tie")
+    whole = station.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    windowed = df.withColumn("last_value", F.last("value").over(whole))
     time = F.col("utc").try_cast("timestamp")
+    assert sorted(map(str, readings.with_latest(df, ["location"], "value", time, "tie").collect())) == sorted(
+        map(str, windowed.collect())
+    )
 
     per_station = readings.latest_per(df, ["location"], "value", time, "tie")
     want = {tuple(r) for r in windowed.select("location", "last_value").collect()}
