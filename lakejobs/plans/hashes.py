@@ -1,7 +1,7 @@
-"""Spark's published hash functions as SQL, to check hashed ids and splits independently."""
+"""Murmur3 and XXH64 as SQL, to check hashed ids and splits independently in DuckDB."""
 
 # 32-bit Murmur3 of ASCII texts with seed 42: whole four-byte words, then single bytes. CTEs
-# `steps` and `hashed(txt, {id})`; needs WITH RECURSIVE.
+# `steps` and `hashed(txt, {id})`; needs WITH RECURSIVE. Its multipliers.
 MURMUR_SQL = """
 steps(txt, pos, h) AS (
     SELECT txt, 0, 42::HUGEINT FROM ({keys})

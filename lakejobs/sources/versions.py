@@ -34,7 +34,7 @@ def append_version(df: DataFrame, path: str) -> int:
     create_version_table(spark, path)
     version = newest_version(spark, path) + 1
     df.write.mode("overwrite").parquet(f"{path}/data/_version={version}")
-    entry = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.current_timestamp().alias("appended_at"))
+    entry = spark.range(0, 1, 1, 1).select(F.lit(version).cast("bigint").alias("version"), F.current_timestamp().alias("appended_at"))
     entry.write.mode("append").parquet(f"{path}/log")
     return version
 
