@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakejobs import constants as K
 from lakejobs.functions.fields import as_col, iso_day, packed_field, scaled, to_double
 from lakejobs.operators.filters import drop_sentinel, in_box, not_in
+from lakejobs.operators.skew import BROADCAST_WEIGHT, join_one_per_key, store
 
 
 def wind_readings(df: DataFrame, bbox: tuple[float, float, float, float], text_sentinel: bool = True) -> DataFrame:
@@ -52,21 +53,20 @@ def latest_per(
 
 def with_latest(
     df: DataFrame,
-    keys: list[str],
+    key: str,
     value: str,
     time: Column | str,
     tie: Column | str | None = None,
     name: str = "last_value",
+    limit: int = BROADCAST_WEIGHT,
 ) -> DataFrame:
     """Every row with the latest value of its key beside it.
 
     Equal to ``last(value)`` over a window of all rows of the key, but no task holds them all:
-    the latest values are aggregated and joined back, and a hot key's rows can be split.
+    the latest values, one row per key, are aggregated and joined back.
     """
-    latest = latest_per(df, keys, value, time, tie, name)
-    renamed = latest.withColumnsRenamed({k: f"_{k}" for k in keys})
-    same_key = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return df.join(renamed, same_key, "inner").drop(*[f"_{k}" for k in keys])
+    latest = latest_per(df, [key], value, time, tie, name).withColumnRenamed(key, "_key")
+    return join_one_per_key(df, latest, key, "_key", limit=limit)
 
 
 def latest_by_place(
@@ -76,22 +76,21 @@ def latest_by_place(
     value: str,
     time: Column | str,
     tie: Column | str | None = None,
+    limit: int = BROADCAST_WEIGHT,
 ) -> DataFrame:
     """Distinct (place, latest value of the station) rows.
 
     A station may report from several places, and each of them gets the station's latest
-    value. The rows are read and aggregated once, to one row per station and place; that
-    result is shuffled once and used on both sides of the join. Among equal times the largest
-    ``tie`` wins, then the largest value.
+    value. The rows are read once and aggregated to one row per station and place, which is
+    stored; the latest per station comes from there. Among equal times the largest ``tie``
+    wins, then the largest value.
     """
     order = [as_col(time).alias("time")] + ([] if tie is None else [as_col(tie).alias("tie")])
     reading = F.struct(*order, F.col(value).alias("value"))
-    per_place = df.groupBy(station, *place).agg(F.max(reading).alias("latest_here"))
-    per_station = per_place.groupBy(F.col(station).alias("_station")).agg(F.max("latest_here").alias("latest"))
-    joined = per_place.join(per_station, F.col(station).eqNullSafe(F.col("_station")), "inner")
-    # Equal to `latest`; naming both keeps the two sides the same plan, so one shuffle serves them.
-    latest = F.greatest("latest_here", "latest")
-    return joined.select(*place, latest["value"].alias("last_value")).distinct()
+    per_place = store(df.groupBy(station, *place).agg(F.max(reading).alias("_here")))
+    per_station = per_place.groupBy(F.col(station).alias("_station")).agg(F.max("_here").alias("_latest"))
+    joined = join_one_per_key(per_place.drop("_here"), per_station, station, "_station", limit=limit)
+    return joined.select(*place, F.col("_latest.value").alias("last_value")).distinct()
 
 
 def avg_per_region(df: DataFrame, region: str, value: str, name: str = "avg_value") -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from lakejobs.session import new_path
 
+# In a shuffled join, a key with more than this share (one in ...) of all rows is joined apart.
+HOT_SHARE = 1000
+
 # Rows that make one output file or sort partition.
 ROWS_PER_PART = 5_000_000
 
@@ -22,19 +25,20 @@ def hot_keys(df: DataFrame, key: str, parts: int) -> DataFrame:
     return counts.where(F.col("_n") * parts > total).select(key)
 
 
-def stored_rows(df: DataFrame) -> DataFrame:
-    """``df`` itself when it scans Parquet, so each row has a file and a number; else a stored copy.
+def store(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder: what reads them several times does not repeat their making."""
+    path = new_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Work that passes over the rows several times then reads files instead of repeating what
-    made them.
-    """
+
+def stored_rows(df: DataFrame) -> DataFrame:
+    """``df`` itself when it scans Parquet, so each row has a file and a number; else a stored copy."""
     try:
         df.select("_metadata.row_index")
         return df
     except AnalysisException:
-        path = new_path(df.sparkSession, "rows")
-        df.write.parquet(path)
-        return df.sparkSession.read.parquet(path)
+        return store(df)
 
 
 def salted(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
@@ -65,3 +69,31 @@ def broadcast_if_small(df: DataFrame, weight: Column | None = None, limit: int =
     weight = F.count("*") if weight is None else F.sum(weight)
     measured = df.agg(F.coalesce(weight, F.lit(0)).alias("w")).first()["w"]
     return F.broadcast(df) if measured <= limit else df
+
+
+def join_one_per_key(
+    rows: DataFrame,
+    one: DataFrame,
+    key: str,
+    one_key: str,
+    how: str = "inner",
+    limit: int = BROADCAST_WEIGHT,
+    share: int = HOT_SHARE,
+) -> DataFrame:
+    """``rows`` joined with ``one``, which has one row per key; NULL keys match each other.
+
+    ``one`` is stored first, so counting it costs little and its lineage is not run again.
+    When it has at most ``limit`` rows it is broadcast and ``rows`` are not shuffled. Otherwise
+    the rows of hot keys, fewer than ``share`` keys, meet their partners in a broadcast join of
+    their own, and only the rest is shuffled.
+    """
+    one = store(one)
+    same = F.col(key).eqNullSafe(F.col(one_key))
+    if one.count() <= limit:
+        return rows.join(F.broadcast(one), same, how).drop(one_key)
+    hot = F.broadcast(hot_keys(rows, key, share).select(F.col(key).alias("_hot_key")))
+    is_hot = F.col(key).eqNullSafe(F.col("_hot_key"))
+    partners = one.join(hot, F.col(one_key).eqNullSafe(F.col("_hot_key")), "left_semi")
+    apart = rows.join(hot, is_hot, "left_semi").join(F.broadcast(partners), same, how)
+    rest = rows.join(hot, is_hot, "left_anti").join(one, same, how)
+    return apart.unionByName(rest).drop(one_key)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakejobs.functions.fields import as_col
-from lakejobs.operators.skew import BROADCAST_WEIGHT
+from lakejobs.operators.skew import BROADCAST_WEIGHT, join_one_per_key
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -124,8 +124,11 @@ def locate_in_cells(
     """
     rows = points.withColumns({"_x": as_col(lon), "_y": as_col(lat)})
     weight = cells.agg(F.coalesce(F.sum(F.size("edges") + 1), F.lit(0)).alias("w")).first()["w"]
-    locate = _locate_by_broadcast if weight <= broadcast_weight else _locate_by_shuffle
-    return locate(rows, cells, id_col, cell_size).drop("_x", "_y")
+    if weight <= broadcast_weight:
+        located = _locate_by_broadcast(rows, cells, id_col, cell_size)
+    else:
+        located = _locate_by_shuffle(rows, cells, id_col, cell_size, broadcast_weight)
+    return located.drop("_x", "_y")
 
 
 def _with_cell(rows: DataFrame, size: float) -> DataFrame:
@@ -148,14 +151,16 @@ def _locate_by_broadcast(rows: DataFrame, cells: DataFrame, id_col: str, size: f
     return joined.withColumn(id_col, F.get(holding, 0)["id"]).drop("_cx", "_cy", "_polygons")
 
 
-def _locate_by_shuffle(rows: DataFrame, cells: DataFrame, id_col: str, size: float) -> DataFrame:
+def _locate_by_shuffle(rows: DataFrame, cells: DataFrame, id_col: str, size: float, limit: int) -> DataFrame:
     """For cells of any size: every distinct coordinate is looked up once.
 
-    Both joins are shuffled inner or left joins, whose hot keys adaptive execution splits; the
-    smallest ``ord`` of a point is aggregated before the shuffle.
+    The join on cells is shuffled, and adaptive execution splits its hot cells. The coordinates
+    found, one row each, are joined back by broadcast or with the hot ones apart.
     """
     places = _with_cell(rows.select("_x", "_y").dropna().distinct(), size)
     keyed = cells.withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
     hits = places.join(keyed, ["_cx", "_cy"]).where(_in_cell(F.col("edges")))
     first = hits.groupBy("_x", "_y").agg(F.min_by("id", "ord").alias(id_col))
-    return rows.join(first, ["_x", "_y"], "left")
+    found = first.select(F.struct("_x", "_y").alias("_found"), id_col)
+    placed = rows.withColumn("_place", F.struct("_x", "_y"))
+    return join_one_per_key(placed, found, "_place", "_found", "left", limit).drop("_place")

@@ -50,7 +50,7 @@ def latest_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reading_with_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every wanted reading beside the latest value of its station."""
     readings = wanted(views.readings(spark, sf_dir), "event_id")
-    return with_latest(readings, ["location"], "value", utc(), "event_id").select(
+    return with_latest(readings, "location", "value", utc(), "event_id").select(
         "event_id", "location", "value", "last_value"
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakejobs import constants as K
 from lakejobs.operators.layout import file_counts, file_stats, files_per_key, files_touched, footer_stats, key_ranges
-from lakejobs.operators.skew import broadcast_if_small, hot_keys, parts_for, salted, stored_rows
+from lakejobs.operators.skew import broadcast_if_small, hot_keys, join_one_per_key, parts_for, salted, stored_rows
 from lakejobs.sinks import files as sink
 from lakejobs.sinks import tables
 from lakejobs.sources import catalog
@@ -282,5 +282,22 @@ def test_broadcast_only_when_counted_small(spark):
     assert not hinted(broadcast_if_small(spark.range(11), limit=10))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_joined_apart(spark, how):
+    rows = skewed(spark).withColumn("k", F.when(F.col("k") != 7, F.col("k")))
+    one = spark.range(1, 250).select(F.col("id").cast("int").alias("j"), (F.col("id") * 2).alias("v"))
+    one = one.unionByName(spark.sql("SELECT CAST(NULL AS INT) AS j, -1L AS v"))
+    plain = rows.join(one, rows["k"].eqNullSafe(one["j"]), how).drop("j")
+    small = join_one_per_key(rows, one, "k", "j", how)
+    large = join_one_per_key(rows, one, "k", "j", how, limit=0, share=10)
+    want = sorted(map(str, plain.collect()))
+    assert sorted(map(str, small.collect())) == want == sorted(map(str, large.collect()))
+    assert "Union" in plan_text(large) and "Union" not in plan_text(small)
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_review_schema_has_all_columns(spark):
     assert len(source.as_struct(spark, K.REVIEW_SCHEMA).fields) == 15

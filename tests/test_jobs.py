@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakejobs import constants as K
 from lakejobs.operators import filters, grid, readings, recommend, reports
+from lakejobs.operators.skew import BROADCAST_WEIGHT
 from lakejobs.plans import weather
 from lakejobs.sources import versions
 from lakejobs.sources.grids import read_grid_day
@@ -58,7 +59,7 @@ _READING = st.tuples(
 )
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows=st.lists(_READING, min_size=1, max_size=25))
 def test_latest_equals_the_window(spark, rows):
     numbered = [(*row, i) for i, row in enumerate(rows)]
@@ -67,17 +68,25 @@ def test_latest_equals_the_window(spark, rows):
     whole = station.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     windowed = df.withColumn("last_value", F.last("value").over(whole))
     time = F.col("utc").try_cast("timestamp")
-    assert sorted(map(str, readings.with_latest(df, ["location"], "value", time, "tie").collect())) == sorted(
-        map(str, windowed.collect())
-    )
+    want = sorted(map(str, windowed.collect()))
+    for limit in (BROADCAST_WEIGHT, 0):
+        got = readings.with_latest(df, "location", "value", time, "tie", limit=limit)
+        assert sorted(map(str, got.select(*windowed.columns).collect())) == want
 
     per_station = readings.latest_per(df, ["location"], "value", time, "tie")
     want = {tuple(r) for r in windowed.select("location", "last_value").collect()}
     assert {tuple(r) for r in per_station.collect()} == want
 
-    per_place = readings.latest_by_place(df, "location", ["place"], "value", time, "tie").collect()
     want = {tuple(r) for r in windowed.select("place", "last_value").collect()}
-    assert len(per_place) == len(want) and {tuple(r) for r in per_place} == want
+    for limit in (BROADCAST_WEIGHT, 0):
+        per_place = readings.latest_by_place(df, "location", ["place"], "value", time, "tie", limit).collect()
+        assert len(per_place) == len(want) and {tuple(r) for r in per_place} == want
+
+
+def test_no_readings_give_no_rows(spark):
+    df = spark.createDataFrame([], "location string, place int, utc timestamp, value double")
+    assert readings.latest_by_place(df, "location", ["place"], "value", "utc").count() == 0
+    assert readings.with_latest(df, "location", "value", "utc").count() == 0
 
 
 def test_averages_keep_the_null_group_and_attributes_drop_it(spark):
