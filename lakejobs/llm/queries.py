@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakejobs.llm import mixing, pii, quality_rules
+from lakejobs.llm import mixing, packing, pii, quality_rules, simhash
 from lakejobs.llm.shared import table
 
 
@@ -18,6 +18,8 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": over("documents", pii.op1_pii),
     "op3_pfair_mixing": over("documents", mixing.op3_pfair_mixing),
+    "op6_best_fit_packing": over("documents", packing.op6_best_fit_packing),
+    "op8_simhash": over("documents", simhash.op8_simhash),
     "op10_quality_rules": over("documents", quality_rules.op10_quality_rules),
     "llm_rule_ablation": over("documents", lambda docs: quality_rules.ablation(quality_rules.ledger(docs))),
 }
