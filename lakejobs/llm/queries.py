@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakejobs.llm import mixing, packing, pii, quality_rules, simhash
+from lakejobs.llm import embeddings, lines, mixing, packing, pii, quality_rules, simhash
 from lakejobs.llm.shared import table
 
 
@@ -17,14 +17,17 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": over("documents", pii.op1_pii),
+    "op2_line_dedup": over("documents", lines.op2_line_dedup),
     "op3_pfair_mixing": over("documents", mixing.op3_pfair_mixing),
     "op6_best_fit_packing": over("documents", packing.op6_best_fit_packing),
     "op8_simhash": over("documents", simhash.op8_simhash),
+    "op9_embedding_range_join": over("embeddings", embeddings.op9_embedding_range_join),
     "op10_quality_rules": over("documents", quality_rules.op10_quality_rules),
     "llm_rule_ablation": over("documents", lambda docs: quality_rules.ablation(quality_rules.ledger(docs))),
 }
 SQL: dict[str, str] = {
     "op3_pfair_mixing": mixing.SQL,
+    "op9_embedding_range_join": embeddings.SQL,
     "op10_quality_rules": quality_rules.SQL,
     "llm_rule_ablation": quality_rules.ABLATION_SQL,
 }
