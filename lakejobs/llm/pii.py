@@ -199,40 +199,46 @@ def propose(docs: DataFrame) -> DataFrame:
 def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 40) -> dict[tuple[str, tuple[int, ...]], float]:
     """Expectation-maximisation over counted vote patterns: the chance that a span is real.
 
-    Each labeler has, for real and for other spans, its chances of saying 1, 0 and -1. Half a
-    count is added everywhere, so a kind that was hardly seen keeps to the start values.
+    Each labeler has, for real and for other spans, its chances of saying 1 and -1 when it says
+    anything; a 0 is no evidence. Half a count is added everywhere, so a kind that was hardly seen
+    keeps to the start values.
     """
     out = {}
     for kind in KINDS:
         rows = [(p, n) for k, p, n in patterns if k == kind]
         if not rows:
             continue
-        real = {p: 0.95 if p[0] > 0 else 0.3 if sum(p) > 1 else 0.05 for p, _ in rows}
+        real = {p: 1.0 if p[0] > 0 else 0.0 if p[0] < 0 else 0.3 if sum(p) > 1 else 0.05 for p, _ in rows}
         for _ in range(rounds):
             weight = [0.5, 0.5]
-            says = [[{1: 0.5, 0: 0.5, -1: 0.5} for _ in LABELERS] for _ in range(2)]
+            says = [[{1: 0.5, -1: 0.5} for _ in LABELERS] for _ in range(2)]
             for p, n in rows:
                 for side, share in ((1, real[p]), (0, 1 - real[p])):
                     weight[side] += n * share
                     for j, v in enumerate(p):
-                        says[side][j][v] += n * share
+                        if v:
+                            says[side][j][v] += n * share
             for p, _ in rows:
                 score = math.log(weight[1]) - math.log(weight[0])
                 for j, v in enumerate(p):
-                    score += math.log(says[1][j][v] / sum(says[1][j].values()))
-                    score -= math.log(says[0][j][v] / sum(says[0][j].values()))
-                # What passes the base rule is personal data by definition.
-                real[p] = 1.0 if p[0] > 0 else 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
+                    if v:
+                        score += math.log(says[1][j][v] / sum(says[1][j].values()))
+                        score -= math.log(says[0][j][v] / sum(says[0][j].values()))
+                # What passes the base rule is personal data by definition; what fails its check is not.
+                real[p] = 1.0 if p[0] > 0 else 0.0 if p[0] < 0 else 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
         out |= {(kind, p): real[p] for p, _ in rows}
     return out
 
 
-def train(patterns: list[tuple[str, tuple[int, ...], int]], steps: int = 400, ridge: float = 1e-3) -> dict[str, list[float]]:
-    """Weights of the votes and a constant for each kind, fitted to the estimates by gradient steps."""
+def train(patterns: list[tuple[str, tuple[int, ...], int]], steps: int = 1500, ridge: float = 1e-3) -> dict[str, list[float]]:
+    """Weights of the votes and a constant for each kind, fitted to the estimates by gradient steps.
+
+    A pattern weighs as the square root of its count, so that rare ones are learned as well.
+    """
     real = estimate(patterns)
     weights = {}
     for kind in KINDS:
-        rows = [(p, n, real[kind, p]) for k, p, n in patterns if k == kind]
+        rows = [(p, math.sqrt(n), real[kind, p]) for k, p, n in patterns if k == kind]
         whole = sum(n for _, n, _ in rows) or 1
         w = [1.0] * len(LABELERS) + [-3.0]
         for _ in range(steps):

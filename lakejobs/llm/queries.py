@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakejobs.llm import embeddings, lines, mixing, packing, pii, quality_rules, simhash
+import corpus_pipeline
+from lakejobs.llm import embeddings, language_model, lines, mixing, packing, pages, pii, quality_classifier, quality_rules, simhash
 from lakejobs.llm.shared import table
 
 
@@ -15,14 +16,22 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
     return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
 
 
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.op5_ordinal_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": over("documents", pii.op1_pii),
     "op2_line_dedup": over("documents", lines.op2_line_dedup),
     "op3_pfair_mixing": over("documents", mixing.op3_pfair_mixing),
+    "op4_maxent_scoring": over("documents", language_model.op4_maxent_scoring),
+    "op5_ordinal_quality": op5_ordinal_quality,
     "op6_best_fit_packing": over("documents", packing.op6_best_fit_packing),
+    "op7_consensus_html": over("pages", pages.op7_consensus_html),
     "op8_simhash": over("documents", simhash.op8_simhash),
     "op9_embedding_range_join": over("embeddings", embeddings.op9_embedding_range_join),
     "op10_quality_rules": over("documents", quality_rules.op10_quality_rules),
+    "pipeline": corpus_pipeline.run,
     "llm_rule_ablation": over("documents", lambda docs: quality_rules.ablation(quality_rules.ledger(docs))),
 }
 SQL: dict[str, str] = {
