@@ -9,7 +9,8 @@ the other. Each key hands its members the earliest line it saw, which is compare
 Only a line that shares its first or its last words with a different line can have such a
 neighbour, since one edit leaves one end as it is. So short keys of both ends are counted first;
 a bitmap of the keys that different lines share, of fixed size, tells the second pass which lines
-need their variants. A full bitmap would only let more lines through. Equal lines are one entry.
+need their variants, and another one which variants need to be joined: most belong to one line
+only. A full bitmap would only let more through. Equal lines are one entry.
 
 Lines are told apart by 128 bits. A null text stays null; blank lines stay. Rows that repeat both
 ``doc_id`` and text are one document and fare alike; a null ``doc_id`` comes first. Of a document whose
@@ -32,7 +33,7 @@ from lakejobs.llm.shared import SPACE, saved
 # Words that a line must have to be a duplicate at all, and to be one with a word of difference.
 LEAST_WORDS = 4
 NEAR_WORDS = 8
-BITMAP_BITS = 1 << 24
+BITMAP_BITS = 1 << 25
 
 
 def signed(value: int) -> int:
@@ -66,8 +67,24 @@ def line_hash(words: list[bytes]) -> tuple[int, int]:
     return signed(digest >> 64), signed(digest & (1 << 64) - 1)
 
 
+def shared_keys(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the keys that different lines share, from (key, h); its size does not depend on the input."""
+    shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
+    at = shared.select(F.pmod("key", F.lit(BITMAP_BITS)).alias("bit"))
+    words = at.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
+    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
+    got = words.toArrow()
+    bitmap[got.column("at").to_numpy()] = got.column("bits").to_numpy()
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (BITMAP_BITS - 1)
+    return (bitmap[at >> 6] >> (at & 63) & 1).astype(bool)
+
+
 def shared_ends(docs: DataFrame) -> np.ndarray:
-    """The bitmap of end keys that different lines share; its size does not depend on the input."""
+    """The bitmap of end keys."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,27 +97,19 @@ def shared_ends(docs: DataFrame) -> np.ndarray:
                         hashes += [line_hash(words)[0]] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], ["key", "h"])
 
-    ends = docs.select("text").mapInArrow(emit, "key long, h long")
-    shared = ends.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
-    at = shared.select(F.pmod("key", F.lit(BITMAP_BITS)).alias("bit"))
-    words = at.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
-    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
-    got = words.toArrow()
-    bitmap[got.column("at").to_numpy()] = got.column("bits").to_numpy()
-    return bitmap
+    return shared_keys(docs.select("text").mapInArrow(emit, "key long, h long"))
 
 
 def distinct_lines(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """One row for each different line: ``h1``, ``h2``, its ``first`` place, and the line if it may have neighbours."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = BITMAP_BITS - 1
         for batch in batches:
             rows: list[tuple] = []
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for doc_id, text_key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), texts):
                 for place, words in lines_of(text):
-                    near = len(words) >= NEAR_WORDS and any(bitmap[(k & bits) >> 6] >> (k & 63) & 1 for k in end_keys(words))
+                    near = len(words) >= NEAR_WORDS and in_bitmap(bitmap, np.array(end_keys(words))).any()
                     rows.append((*line_hash(words), doc_id, text_key, place, b" ".join(words) if near else None))
             columns = list(zip(*rows)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -112,8 +121,11 @@ def distinct_lines(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     )
 
 
-def variants(near: DataFrame) -> DataFrame:
-    """(key, at) of each line: itself at -1, and each variant with the word at ``at`` deleted."""
+def variants(near: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
+    """(key, at) of each line: itself at -1, and each variant with the word at ``at`` deleted.
+
+    Without a bitmap only (key, h); with one, whole rows of the keys that are in it.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,15 +135,26 @@ def variants(near: DataFrame) -> DataFrame:
             for i, line in enumerate(batch.column("line").to_pylist()):
                 words = line.split()
                 keys.append(signed(xxhash.xxh64_intdigest(line)))
-                for at in range(len(words)):
-                    keys.append(signed(xxhash.xxh64_intdigest(b" ".join(words[:at] + words[at + 1 :]))))
+                # The words before a place and those after it are cut from the line, which joins them by single spaces.
+                begin = 0
+                for at, word in enumerate(words):
+                    end = begin + len(word)
+                    cut = line[:begin] + line[end + 1 :] if end < len(line) else line[: max(0, begin - 1)]
+                    keys.append(signed(xxhash.xxh64_intdigest(cut)))
+                    begin = end + 1
                 places += range(-1, len(words))
                 row += [i] * (len(words) + 1)
-            kept = [batch.column(c).take(pa.array(row, pa.int64())) for c in ("h1", "h2", "first")]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), *kept], ["key", "at", "h1", "h2", "first"])
+            key, place, at = np.array(keys, np.int64), np.array(places, np.int32), np.array(row, np.int64)
+            if bitmap is None:
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("h1").take(pa.array(at))], ["key", "h"])
+            else:
+                kept = np.flatnonzero(in_bitmap(bitmap, key))
+                own = [batch.column(c).take(pa.array(at[kept])) for c in ("h1", "h2", "first")]
+                yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(place[kept]), *own], ["key", "at", "h1", "h2", "first"])
 
     first = "struct<doc_id:long,text_key:long,place:int>"
-    return near.select("h1", "h2", "first", "line").mapInArrow(emit, f"key long, at int, h1 long, h2 long, first {first}")
+    schema = "key long, h long" if bitmap is None else f"key long, at int, h1 long, h2 long, first {first}"
+    return near.select("h1", "h2", "first", "line").mapInArrow(emit, schema)
 
 
 def within_one_word(a: bytes, b: bytes) -> bool:
@@ -147,7 +170,7 @@ def within_one_word(a: bytes, b: bytes) -> bool:
 def near_duplicates(lines: DataFrame) -> DataFrame:
     """``h1``, ``h2`` of the lines whose first place has an earlier neighbour."""
     near = lines.where("line IS NOT NULL")
-    rows = saved(variants(near), "variants")
+    rows = saved(variants(near, shared_keys(variants(near))), "variants")
     member = F.struct("first", "h1", "h2")
     # Of a key: the earliest whole line, the earliest line with any word deleted, and with the word at the same place deleted.
     earliest = rows.groupBy("key", "at").agg(F.min(member).alias("same"))
