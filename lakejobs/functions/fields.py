@@ -14,7 +14,7 @@ def as_col(value: ColumnOrName) -> Column:
 
 def packed_field(col: ColumnOrName, index: int, sep: str = ",") -> Column:
     """The ``index``-th (from 0) part of a packed text field, NULL when the text is too short."""
-    return F.get(F.split(as_col(col), sep), index)
+    return F.get(F.split(as_col(col), rf"\Q{sep}\E"), index)
 
 
 def to_double(col: ColumnOrName) -> Column:
@@ -44,13 +44,13 @@ def day_parts(col: ColumnOrName) -> tuple[Column, Column]:
 
 
 def human_date(col: ColumnOrName) -> Column:
-    """``2020-01-13`` as ``January 13, 2020``."""
-    return F.date_format(F.to_date(as_col(col)), "MMMM dd, yyyy")
+    """``2020-01-13`` as ``January 13, 2020``; NULL when the text is no date."""
+    return F.date_format(as_col(col).try_cast("date"), "MMMM dd, yyyy")
 
 
 def day_number_to_date(col: ColumnOrName) -> Column:
-    """Days since 1970-01-01 as a date."""
-    return F.date_from_unix_date(as_col(col).cast("int"))
+    """Days since 1970-01-01 as a date; NULL when the number does not fit."""
+    return F.date_from_unix_date(as_col(col).try_cast("int"))
 
 
 def title_prefix(col: ColumnOrName, length: int) -> Column:
@@ -70,6 +70,6 @@ def contains_any(col: ColumnOrName, words: list[str] | tuple[str, ...]) -> Colum
 def text_id(col: ColumnOrName) -> Column:
     """A non-negative bigint made from Spark's 32-bit hash of the text.
 
-    Two texts can share an id; ``recommend.dense_id`` gives ids that never collide.
+    Two texts can share an id; ``recommend.dense_ids`` gives ids that never collide.
     """
     return F.abs(F.hash(as_col(col)).cast("bigint"))

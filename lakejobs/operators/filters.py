@@ -24,10 +24,13 @@ def in_box(
     """Rows inside ``(left, bottom, right, top)``, bounds included.
 
     With ``lon_360`` the longitudes of both the data and the box count 0..360; both are
-    turned to -180..180 first, and a box that then crosses the date line is honoured.
+    turned to -180..180 first, and a box that then crosses the date line is honoured. A box
+    360 wide or wider holds every longitude.
     """
     left, bottom, right, top = bbox
     x = as_col(lon)
+    if right - left >= 360:
+        return df.where(as_col(lat).between(bottom, top) & x.isNotNull())
     if lon_360:
         x = longitude_180(x)
         left, right = (v - 360 if v > 180 else v for v in (left, right))

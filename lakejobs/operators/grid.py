@@ -6,7 +6,7 @@ exploded into cells.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakejobs.operators.skew import broadcast_if_small
@@ -20,11 +20,13 @@ def day_slice(df: DataFrame, time: str, day: str) -> DataFrame:
 def nth_step(df: DataFrame, k: int, time: str = "time", keys: list[str] | None = None) -> DataFrame:
     """The rows of the ``k``-th (from 0) distinct time of each measure, over the rows given.
 
-    Meant for a day slice: only its distinct times are gathered, one small array per measure,
-    and the array rows are not shuffled to find the chosen ones.
+    Only the distinct times are numbered, and the array rows are not shuffled to find the chosen
+    ones.
     """
     keys = keys or ["measure"]
-    times = df.groupBy(*keys).agg(F.get(F.sort_array(F.collect_set(time)), k).alias(time))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(time))
+    distinct = df.select(*keys, time).where(F.col(time).isNotNull()).distinct().withColumn("_place", place)
+    times = distinct.where((F.col("_place") <= k + 1) & (F.col("_place") == k + 1)).drop("_place")
     return df.join(broadcast_if_small(times), [*keys, time], "inner")
 
 
@@ -44,9 +46,17 @@ def align(df: DataFrame, measures: dict[str, str], values: str, nlon: int, time:
     """One row per time and cell with a column per measure, where all measures have the cell.
 
     ``measures`` maps measure names to output columns. The arrays of a time step meet in one
-    shuffle of array rows, rather than in joins of cells.
+    shuffle of array rows, rather than in joins of cells. Two arrays for one time and measure are
+    an error: the pieces of a grid that is cut up must be told apart by ``time`` first.
     """
-    steps = df.groupBy(time).pivot("measure", list(measures)).agg(F.first(values))
+    lists = df.groupBy(time).pivot("measure", list(measures)).agg(F.collect_list(values))
+    twice = F.raise_error(F.lit("two arrays for one time and measure"))
+
+    def only(m: str) -> Column:
+        found = F.col(f"`{m}`")
+        return F.when(F.size(found) > 1, twice).otherwise(F.get(found, 0)).alias(m)
+
+    steps = lists.select(time, *map(only, measures))
     present = [F.col(f"`{m}`").isNotNull() for m in measures]
     for condition in present:
         steps = steps.where(condition)

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import unquote, urlparse
 
-import pandas as pd
-import pyarrow.fs
-import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,76 +16,40 @@ def file_counts(df: DataFrame, key: str | None = None, name: str = "n") -> DataF
     return with_path(df).groupBy(*keys).agg(F.count("*").alias(name))
 
 
+def _typed_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per file with rows, smallest and largest value and NULLs of each column, in their types."""
+    aggregates = [F.count("*").alias("_rows")]
+    for c in columns:
+        aggregates += [F.min(c).alias(f"_min_{c}"), F.max(c).alias(f"_max_{c}"), F.count_if(F.col(c).isNull()).alias(f"_nulls_{c}")]
+    return with_path(df).groupBy("path").agg(*aggregates)
+
+
+def _as_rows(stats: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """One row per column, its values as text."""
+    entries = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.col("_rows").alias("rows"),
+            F.col(f"_min_{c}").cast("string").alias("min"),
+            F.col(f"_max_{c}").cast("string").alias("max"),
+            F.col(f"_nulls_{c}").alias("nulls"),
+        )
+        for c in columns
+    ]
+    return stats.select(*keys, F.inline(F.array(*entries)))
+
+
 def file_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(path, column, rows, min, max, nulls) for each file and column; values as text."""
-    aggregates = [F.count("*").alias("_rows")]
+    return _as_rows(_typed_stats(df, columns), columns, "path")
+
+
+def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, rows, min, max, nulls) over all files: compared in the column's type, text last."""
+    merged = [F.sum("_rows").alias("_rows")]
     for c in columns:
-        aggregates += [
-            F.min(c).cast("string").alias(f"_min_{c}"),
-            F.max(c).cast("string").alias(f"_max_{c}"),
-            F.count_if(F.col(c).isNull()).alias(f"_nulls_{c}"),
-        ]
-    per_file = with_path(df).groupBy("path").agg(*aggregates)
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col("_rows").alias("rows"),
-                F.col(f"_min_{c}").alias("min"),
-                F.col(f"_max_{c}").alias("max"),
-                F.col(f"_nulls_{c}").alias("nulls"),
-            )
-            for c in columns
-        ]
-    )
-    return per_file.select("path", F.inline(entries))
-
-
-FOOTER_FIELDS = {
-    "path": "string",
-    "row_group": "int",
-    "column": "string",
-    "rows": "bigint",
-    "bytes": "bigint",
-    "min": "string",
-    "max": "string",
-    "nulls": "bigint",
-}
-
-
-def footer_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(path, row_group, column, rows, bytes, min, max, nulls) from the footers of Parquet files.
-
-    Reads a few kilobytes per file and no column, spread over tasks by file. What a writer left
-    out of the footer is NULL; ``file_stats`` computes it. Workers need access to the files
-    through Arrow, but not this package: both functions travel with the task.
-    """
-
-    def footer(path: str) -> list[tuple]:
-        if path.startswith("file:"):
-            files, name = pyarrow.fs.LocalFileSystem(), unquote(urlparse(path).path)
-        else:
-            files, name = pyarrow.fs.FileSystem.from_uri(path)
-        with files.open_input_file(name) as opened:
-            metadata = pyarrow.parquet.read_metadata(opened)
-        rows = []
-        for g in range(metadata.num_row_groups):
-            group = metadata.row_group(g)
-            for c in map(group.column, range(group.num_columns)):
-                if c.path_in_schema in columns:
-                    found = c.statistics
-                    ends = (str(found.min), str(found.max)) if found is not None and found.has_min_max else (None, None)
-                    nulls = None if found is None else found.null_count
-                    rows.append((path, g, c.path_in_schema, group.num_rows, c.total_compressed_size, *ends, nulls))
-        return rows
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["path"]:
-                yield pd.DataFrame(footer(path), columns=list(FOOTER_FIELDS))
-
-    schema = ", ".join(f"{name} {type_}" for name, type_ in FOOTER_FIELDS.items())
-    return with_path(df).select("path").distinct().mapInPandas(read, schema)
+        merged += [F.min(f"_min_{c}").alias(f"_min_{c}"), F.max(f"_max_{c}").alias(f"_max_{c}"), F.sum(f"_nulls_{c}").alias(f"_nulls_{c}")]
+    return _as_rows(_typed_stats(df, columns).agg(*merged), columns)
 
 
 def key_ranges(df: DataFrame, key: str) -> DataFrame:

@@ -43,11 +43,10 @@ def latest_per(
 
     Partial aggregates run before the shuffle, so a station with a third of all rows sends
     one row per task. Among equal times the largest ``tie`` wins. Give ``time`` as a timestamp
-    rather than text: it compares and aggregates several times faster.
+    rather than text: it compares faster. A reading whose time is NULL comes before all others,
+    but counts where there is no other.
     """
-    order = as_col(time)
-    if tie is not None:
-        order = F.struct(order.alias("time"), as_col(tie).alias("tie"))
+    order = F.struct(as_col(time).alias("time"), *([] if tie is None else [as_col(tie).alias("tie")]))
     return df.groupBy(*keys).agg(F.max_by(value, order).alias(name))
 
 

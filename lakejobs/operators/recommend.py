@@ -66,9 +66,10 @@ def fit_als(
 ) -> ALSModel:
     """Latent factors from explicit ratings; users and items unseen in training score nothing.
 
-    Ids must be whole numbers in the int range. ``blocks`` defaults to a number sized by the
+    Ids must be whole numbers in the int range. Rows with a NULL id or rating are left out. ``blocks`` defaults to a number sized by the
     ratings. Give it ratings that are stored: it reads them several times.
     """
+    train = train.dropna(subset=[user, item, rating])
     blocks = blocks or parts_for(train, ALS_BLOCKS)
     als = ALS(
         maxIter=max_iter,
@@ -84,7 +85,12 @@ def fit_als(
     return als.fit(train)
 
 
+def predicted(model: ALSModel, test: DataFrame, rating: str) -> DataFrame:
+    """The held-out ratings that can be scored, with ``prediction``: no NULL in them, user and item known."""
+    return model.transform(test.dropna(subset=[model.getUserCol(), model.getItemCol(), rating]))
+
+
 def rmse(model: ALSModel, test: DataFrame, rating: str) -> float:
     """Root mean square error of the predictions for held-out ratings."""
-    scored = model.transform(test)
+    scored = predicted(model, test, rating)
     return RegressionEvaluator(metricName="rmse", labelCol=rating, predictionCol="prediction").evaluate(scored)

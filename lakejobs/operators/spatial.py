@@ -98,9 +98,9 @@ def locate_first(
     cell_size: float = 1.0,
     broadcast_weight: int = BROADCAST_WEIGHT,
 ) -> DataFrame:
-    """Adds ``id_col`` of the first polygon, by ``ord``, that holds or touches each point.
+    """Adds ``id_col`` of the first polygon, by ``ord`` and then id, that holds or touches each point.
 
-    Points in no polygon, or with a NULL coordinate, get NULL. ``cell_size`` should be near
+    Points in no polygon, or with a NULL or NaN coordinate, get NULL. ``cell_size`` should be near
     a part of the width of a typical polygon: points in cells that no side passes need no test.
     """
     cells = polygon_cells(polygons, cell_size, id_col)
@@ -122,7 +122,9 @@ def locate_in_cells(
     broadcast, and points are not shuffled at all. Larger ones are joined to the distinct
     coordinates by a shuffle on cells.
     """
-    rows = points.withColumns({"_x": as_col(lon), "_y": as_col(lat)})
+    # A coordinate that is no number is like a missing one in both forms.
+    known = {"_x": as_col(lon).cast("double"), "_y": as_col(lat).cast("double")}
+    rows = points.withColumns({name: F.when(~F.isnan(c), c) for name, c in known.items()})
     weight = cells.agg(F.coalesce(F.sum(F.size("edges") + 1), F.lit(0)).alias("w")).first()["w"]
     if weight <= broadcast_weight:
         located = _locate_by_broadcast(rows, cells, id_col, cell_size)
@@ -160,7 +162,7 @@ def _locate_by_shuffle(rows: DataFrame, cells: DataFrame, id_col: str, size: flo
     places = _with_cell(rows.select("_x", "_y").dropna().distinct(), size)
     keyed = cells.withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
     hits = places.join(keyed, ["_cx", "_cy"]).where(_in_cell(F.col("edges")))
-    first = hits.groupBy("_x", "_y").agg(F.min_by("id", "ord").alias(id_col))
+    first = hits.groupBy("_x", "_y").agg(F.min_by("id", F.struct("ord", "id")).alias(id_col))
     found = first.select(F.struct("_x", "_y").alias("_found"), id_col)
     placed = rows.withColumn("_place", F.struct("_x", "_y"))
     return join_one_per_key(placed, found, "_place", "_found", "left", limit).drop("_place")

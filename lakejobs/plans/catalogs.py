@@ -12,7 +12,11 @@ from lakejobs.plans import stored, views
 from lakejobs.sinks.tables import ensure_database, external_table
 from lakejobs.sources.catalog import databases, describe, run_sql, tables
 
-LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+# All given tables.
+LISTED = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 def _database(spark: SparkSession, sf_dir: str) -> str:

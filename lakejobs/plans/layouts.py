@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.operators.layout import compare_layouts, file_counts, file_stats, files_per_key, footer_stats
+from lakejobs.operators.layout import column_stats, compare_layouts, file_counts, files_per_key
 from lakejobs.operators.reports import row_count
 from lakejobs.operators.skew import ROWS_PER_PART, parts_for
 from lakejobs.plans import stored, views
@@ -60,18 +60,8 @@ def file_counts_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_stats_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every file and column, put together per column."""
-    stats = file_stats(stored.stored_reviews(spark, sf_dir), STAT_COLUMNS)
-    return stats.groupBy("column").agg(
-        F.sum("rows").alias("n"), F.min("min").alias("low"), F.max("max").alias("high"), F.sum("nulls").alias("nulls")
-    )
-
-
-def footer_stats_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same statistics from the files' footers, put together per column."""
-    stats = footer_stats(stored.stored_reviews(spark, sf_dir), STAT_COLUMNS)
-    return stats.groupBy("column").agg(
-        F.sum("rows").alias("n"), F.min("min").alias("low"), F.max("max").alias("high"), F.sum("nulls").alias("nulls")
-    )
+    stats = column_stats(stored.stored_reviews(spark, sf_dir), STAT_COLUMNS)
+    return stats.select("column", F.col("rows").alias("n"), F.col("min").alias("low"), F.col("max").alias("high"), "nulls")
 
 
 def files_touched_by_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +87,6 @@ QUERIES = {
     "ranged_layout": ranged_layout,
     "file_counts": file_counts_by_folder,
     "file_stats": file_stats_by_column,
-    "footer_stats": footer_stats_by_column,
     "files_touched_by_layout": files_touched_by_layout,
 }
 
@@ -129,7 +118,6 @@ SQL = {
         SELECT product_category AS folder, count(*) AS n FROM reviews GROUP BY 1
     """,
     "file_stats": _STATS_SQL,
-    "footer_stats": _STATS_SQL,
     "files_touched_by_layout": f"""
         SELECT layout, '{KEY}' AS product_id, layout <> 'bucketed' AS one_file,
                (SELECT count(*) FROM lineitem WHERE l_partkey = {KEY}) AS n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.operators.recommend import dense_ids, fit_als, hash_split, rmse, with_dense_id
+from lakejobs.operators.recommend import dense_ids, fit_als, hash_split, predicted, rmse, with_dense_id
 from lakejobs.plans import stored, views
 from lakejobs.plans.hashes import XXHASH_SQL
 
@@ -47,7 +47,8 @@ def als_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = hash_split(_ratings(spark, sf_dir), ["user", "item", "review_id"])
     model = fit_als(train, "user", "item", "star_rating")
     error = rmse(model, test, "star_rating")
-    return test.agg(F.count("*").alias("held_out")).withColumn("rmse", F.lit(error))
+    scored = predicted(model, test, "star_rating").agg(F.count("*").alias("scored"))
+    return test.agg(F.count("*").alias("held_out")).withColumns({"scored": scored.scalar(), "rmse": F.lit(error)})
 
 
 QUERIES = {"dense_ids": dense_id_check, "split_counts": split_counts, "als_rmse": als_rmse}

@@ -11,16 +11,14 @@ from lakejobs.sinks.tables import ensure_table, insert_rows
 from lakejobs.sources.catalog import literal_rows
 from lakejobs.sources.versions import append_version, read_version
 
-STATUSES = ("F", "O", "P")
-
-
 def _orders(spark: SparkSession, sf_dir: str) -> str:
-    """Orders appended in one version per status."""
+    """Orders appended in one version per status, the missing status first, then in order."""
     orders = views.table(spark, sf_dir, "orders")
 
     def write(path: str) -> None:
-        for status in STATUSES:
-            append_version(orders.where(F.col("o_orderstatus") == status), path)
+        statuses = orders.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()
+        for row in statuses:
+            append_version(orders.where(F.col("o_orderstatus").eqNullSafe(F.lit(row[0]))), path)
 
     return stored.once(spark, sf_dir, "orders_versions", write)
 
@@ -53,12 +51,13 @@ QUERIES = {"version_current": version_current, "version_asof": version_asof, "in
 
 _STATUS_SQL = """
 SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high
-FROM orders WHERE o_orderstatus IN ({statuses}) GROUP BY 1
+FROM (SELECT *, dense_rank() OVER (ORDER BY o_orderstatus NULLS FIRST) AS version FROM orders) AS o
+WHERE {which} GROUP BY 1
 """
 
 SQL = {
-    "version_current": _STATUS_SQL.format(statuses="'F', 'O', 'P'"),
-    "version_asof": _STATUS_SQL.format(statuses="'F', 'O'"),
+    "version_current": _STATUS_SQL.format(which="true"),
+    "version_asof": _STATUS_SQL.format(which="version <= 2"),
     "inserted_rows": """
         SELECT * FROM (VALUES (-1, 'ann', 33), (-2, 'bob', 34)) AS t(id, name, value)
         UNION ALL SELECT CAST(c_custkey AS INTEGER), c_name, c_nationkey FROM customer

@@ -37,21 +37,26 @@ def read_escaped(
     """Text tables without quotes, in which a backslash escapes a separator.
 
     Every line is a row. Fields are cast to ``schema``; one that does not fit, or is missing
-    from a short line, is NULL. ``skip_header`` drops lines that hold the column names.
+    from a short line, is NULL. ``skip_header`` drops lines that hold the column names, in letters
+    of either case.
     """
     fields = as_struct(spark, schema).fields
     lines = spark.read.option("lineSep", "\n").text(path)
     if skip_header:
-        lines = lines.where(F.col("value") != sep.join(f.name for f in fields))
-    # \u0001 and \u0002 stand for an escaped backslash and an escaped separator.
-    marked = F.replace(F.col("value"), F.lit("\\\\"), F.lit("\u0001"))
-    marked = F.replace(marked, F.lit("\\" + sep), F.lit("\u0002"))
-    parts = F.split(marked, sep)
+        lines = lines.where(F.lower("value") != sep.join(f.name for f in fields).lower())
+    # A mark and a letter stand for the mark itself, an escaped backslash and an escaped separator.
+    mark = "\u0001" if sep != "\u0001" else "\u0002"
+    stands_for = ((mark, mark + "a"), ("\\\\", mark + "b"), ("\\" + sep, mark + "c"))
+    marked = F.col("value")
+    for raw, stand in stands_for:
+        marked = F.replace(marked, F.lit(raw), F.lit(stand))
+    parts = F.split(marked, rf"\Q{sep}\E")
 
     def field(i: int, type_: DataType) -> Column:
         part = F.get(parts, i)
         text = F.replace(F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
-        text = F.replace(F.replace(text, F.lit("\u0002"), F.lit(sep)), F.lit("\u0001"), F.lit("\\"))
+        for value, stand in ((sep, mark + "c"), ("\\", mark + "b"), (mark, mark + "a")):
+            text = F.replace(text, F.lit(stand), F.lit(value))
         return F.when(part != null_text, text).try_cast(type_)
 
     return lines.select(*[field(i, f.dataType).alias(f.name) for i, f in enumerate(fields)])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 RINGS_TYPE = "array<array<struct<x:double,y:double>>>"
 
 _FEATURE = """
+    type string,
     ord bigint,
     properties map<string,string>,
     geometry struct<type:string,coordinates:string>
@@ -17,8 +18,9 @@ _FEATURE = """
 def read_polygons(spark: SparkSession, path: str, properties: list[str]) -> DataFrame:
     """Line-delimited GeoJSON features as rows of (ord, properties..., rings).
 
-    ``ord``, a top-level member of each feature, is its place in the file: the first polygon
-    that holds a point wins. Rings of a multipolygon are put in one list; holes need no mark
+    ``ord`` is the place of a feature in its file, or a top-level member of that name where the
+    features give one: the first polygon that holds a point wins. Features of several files need
+    the member. A collection of features in one document is an error. Rings of a multipolygon are put in one list; holes need no mark
     because insideness is decided by even-odd over all rings.
     """
     raw = spark.read.schema(_FEATURE).json(path)
@@ -30,4 +32,8 @@ def read_polygons(spark: SparkSession, path: str, properties: list[str]) -> Data
         rings,
         lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))),
     )
-    return raw.select("ord", *[F.col("properties")[p].alias(p) for p in properties], points.alias("rings"))
+    # Splits of a file are megabytes apart; inside one the low bits of the id count its rows.
+    place = F.shiftright(F.col("_metadata.file_block_start"), 20) * F.lit(2**33) + F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    whole = F.raise_error(F.lit("a FeatureCollection: give one feature a line"))
+    order = F.when(F.col("type") == "FeatureCollection", whole).otherwise(F.coalesce("ord", place)).cast("bigint")
+    return raw.select(order.alias("ord"), *[F.col("properties")[p].alias(p) for p in properties], points.alias("rings"))

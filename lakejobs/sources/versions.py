@@ -54,6 +54,7 @@ def read_version(
         version = newest
     if not 1 <= version <= newest:
         raise ValueError(f"version {version} is not among 1..{newest}")
-    reader = spark.read if schema is None else spark.read.schema(schema)
+    # Columns that later appends have added are NULL in earlier rows.
+    reader = spark.read.option("mergeSchema", True) if schema is None else spark.read.schema(schema)
     data = reader.option("basePath", f"{path}/data").parquet(f"{path}/data")
     return data.where(F.col("_version") <= version)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakejobs import constants as K
-from lakejobs.operators.layout import file_counts, file_stats, files_per_key, files_touched, footer_stats, key_ranges
+from lakejobs.operators.layout import column_stats, file_counts, file_stats, files_per_key, files_touched, key_ranges
 from lakejobs.operators.skew import broadcast_if_small, hot_keys, join_one_per_key, parts_for, salted, stored_rows
 from lakejobs.sinks import files as sink
 from lakejobs.sinks import tables
@@ -160,24 +160,26 @@ def test_sorted_and_ranged_files(spark, out, writer):
     assert [r["k"] for r in spread] == [7]
 
 
-def test_footers_tell_what_a_scan_computes(spark, tmp_path):
-    out = str(tmp_path / "a b")
-    df = skewed(spark).withColumn("v", F.when(F.col("k") % 2 == 0, F.col("k")))
-    df.repartition(3).write.parquet(out)
+def test_statistics_compare_values_not_texts(spark, out):
+    rows = [(9, -2.5, "9"), (10, 30.0, "10"), (57, None, None), (2, -10.25, "57")]
+    spark.createDataFrame(rows, "k int, v double, t string").repartition(4).write.parquet(out)
     scan = spark.read.parquet(out)
-    per_file = ["path", "column", "rows", "min", "max", "nulls"]
-    from_footer = footer_stats(scan, ["k", "v"])
-    assert from_footer.where("row_group > 0").count() == 0 and from_footer.where("bytes <= 0").count() == 0
-    assert sorted(from_footer.select(*per_file).collect()) == sorted(file_stats(scan, ["k", "v"]).collect())
-
-
-def test_footers_without_statistics_give_null(spark, tmp_path):
-    table = pyarrow.table({"k": [1, 2], "v": ["a", None]})
-    pyarrow.parquet.write_table(table, tmp_path / "a.parquet", write_statistics=False)
-    pyarrow.parquet.write_table(table, tmp_path / "b.parquet", row_group_size=1)
-    rows = footer_stats(spark.read.parquet(str(tmp_path)), ["v"]).collect()
-    got = sorted((r["path"][-9:], r["row_group"], r["rows"], r["min"], r["max"], r["nulls"]) for r in rows)
-    assert got == [("a.parquet", 0, 2, None, None, None), ("b.parquet", 0, 1, "a", "a", 0), ("b.parquet", 1, 1, None, None, 1)]
+    got = {r["column"]: tuple(r)[1:] for r in column_stats(scan, ["k", "v", "t"]).collect()}
+    assert got == {"k": (4, "2", "57", 0), "v": (4, "-10.25", "30.0", 1), "t": (4, "10", "9", 1)}
+    assert sum(r["rows"] for r in file_stats(scan, ["k"]).collect()) == 4
+
+
+def test_escaped_text_holds_marks_and_other_separators(spark, tmp_path):
+    rows = [("a\x01b\x02c", "p|q"), ("\x01a\x01b\x01c", "\\x\\"), ("\x02", "\n\r\t"), (None, "")]
+    for k, sep in enumerate(("\t", "|", "\x01", ".")):
+        path = str(tmp_path / str(k))
+        df = spark.createDataFrame(rows, "one string, two string")
+        sink.write_escaped(df, path, sep=sep)
+        back = source.read_escaped(spark, path, "one string, two string", sep=sep)
+        assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "x.tsv").write_text("One\tTWO\n1\t2\n")
+    assert [tuple(r) for r in source.read_escaped(spark, str(tmp_path / "h"), "one string, two string").collect()] == [("1", "2")]
 
 
 def test_files_touched_by_layout(spark, out, tmp_path):

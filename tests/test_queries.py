@@ -31,7 +31,8 @@ def test_entry(spark):
 
 
 def test_only_the_model_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"als_rmse"}
+    assert set(plans.QUERIES) - set(plans.SQL) == {"als_rmse"}
+    assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -43,9 +44,7 @@ def test_recommender_scores_the_held_out_ratings(spark):
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_no_pairs_of_all_rows_and_no_python(spark, name):
     plan = plan_of(plans.QUERIES[name](spark, SF))
-    assert not re.search("CartesianProduct|NestedLoopJoin|EvalPython", plan)
-    # Footers are no table data: their reader is the only Python, once per file.
-    assert ("MapInPandas" in plan) == (name == "footer_stats")
+    assert not re.search("CartesianProduct|NestedLoopJoin|EvalPython|MapInPandas|MapInArrow", plan)
 
 
 def test_reports_read_only_the_tables_and_columns_they_need(spark):
