@@ -31,7 +31,7 @@ BOUND = 0.98
 # One in so many entries is a pivot, but no more than PIVOTS in all: that bounds what tasks are sent.
 ENTRIES_PER_PIVOT = 512
 PIVOTS = 2048
-LEAST_UNIT, MOST_UNIT = 256, 2048
+LEAST_UNIT, MOST_UNIT = 1024, 2048
 
 
 def can_link() -> Column:
