@@ -12,6 +12,9 @@ class, id or role marks as adverts, notices, comments and the like are never rea
 A null or empty page gives an empty text; so does one without text. A null or odd URL has the empty host, whose
 pages vote together. Repeated rows stay, each with its own result. Only ``page_id``, ``url`` and
 ``html`` are read. No rows give no rows.
+
+Pages meet the paths of their host by host and part: a host of many pages is cut into parts by the places of its
+rows in the stored files, so no task holds a whole large host, exact copies included.
 """
 
 from __future__ import annotations
@@ -25,6 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakejobs.operators.skew import stored_rows
+
+# Pages of a host that may stand in one part, unless that would make more than MOST_PARTS parts of all pages.
+PAGES_TOGETHER = 256
+MOST_PARTS = 100_000
 # Paths of a host that pages are tried with, best first.
 PATHS_KEPT = 16
 PATH_LENGTH = 6
@@ -204,9 +212,19 @@ class Page:
 
 
 def hosts(pages: DataFrame) -> DataFrame:
+    """The columns that are read, the host, and a number that follows from the row's place in the stored files."""
+    stored = stored_rows(pages.select("page_id", "url", "html"))
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     page_id = F.col("page_id").cast("long").alias("page_id")
-    return pages.select(page_id, "url", F.coalesce(host, F.lit("")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("place")
+    return stored.select(page_id, "url", F.coalesce(host, F.lit("")).alias("host"), F.coalesce("html", F.lit("")).alias("html"), place)
+
+
+def large_hosts(rows: DataFrame) -> DataFrame:
+    """``host`` and ``parts`` of the hosts that are cut: fewer than MOST_PARTS rows, however many pages there are."""
+    pages_in = rows.groupBy("host").agg(F.count("*").alias("n"))
+    together = F.greatest(F.lit(PAGES_TOGETHER), rows.agg(F.count("*").alias("n")).scalar() / MOST_PARTS)
+    return pages_in.select("host", F.ceil(F.col("n") / together).cast("int").alias("parts")).where(F.col("parts") > 1)
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -236,8 +254,12 @@ def votes(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every page."""
     rows = hosts(pages)
-    # One small row a host; Spark broadcasts them if they are small, and splits hot hosts if not.
-    met = rows.join(votes(rows), "host", "left").select("page_id", "url", "html", "paths")
+    large = F.broadcast(large_hosts(rows))
+    parts = F.coalesce("parts", F.lit(1))
+    apart = rows.join(large, "host", "left").withColumn("part", F.pmod("place", parts).cast("int"))
+    # The paths of a host once for each of its parts; all hosts' parts together are few beside the pages.
+    listed = votes(rows).join(large, "host", "left").select("host", "paths", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    met = apart.join(listed, ["host", "part"], "left").select("page_id", "url", "html", "paths")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

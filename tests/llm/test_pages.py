@@ -52,6 +52,18 @@ def test_hosts_agree_on_their_own_paths(spark):
     assert got[50] == "short" and got[51] == "Another layout."
 
 
+def test_a_large_host_is_cut_and_gives_the_same_texts(spark, monkeypatch):
+    rows = [(k % 7, f"http://{'big' if k % 3 else 'small' + str(k)}.example/", page(f"<h1>T{k % 5}</h1><p>{'word ' * 9}</p>")) for k in range(60)]
+    rows += [(50, "http://big.example/", page("<p>copy</p>"))] * 40
+    whole = sorted(pages.op7_consensus_html(frame(spark, rows)).collect())
+    monkeypatch.setattr(pages, "PAGES_TOGETHER", 10)
+    read = pages.hosts(frame(spark, rows))
+    assert [tuple(r) for r in pages.large_hosts(read).collect()] == [("big.example", 8)]
+    # Copies are told apart by their places.
+    assert read.where("page_id = 50").select("place").distinct().count() == 40
+    assert sorted(pages.op7_consensus_html(frame(spark, rows)).collect()) == whole and len(whole) == 100
+
+
 def test_odd_pages(spark):
     long = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None), (2, "", ""), (3, "x", "plain text & more"), (4, "http://h/", "<<<>>> < b"), (None, "http://h/", "<p>null id"), (5, "http://h/", long), (6, "http://h/", "<p>twice"), (6, "http://h/", "<p>twice"), (7, "http://h/", "<a href='x" * 2000)]
