@@ -31,6 +31,9 @@ SPLIT_WEIGHTS = (0.8, 0.2)
 ALS_MAX_ITER = 5
 ALS_REG_PARAM = 0.01
 
+# Files of a conversion; large inputs get more.
+CONVERTED_FILES = 10
+
 # Gridded weather.
 GRID_MEASURES = (
     "air_pressure_at_mean_sea_level",

@@ -23,7 +23,7 @@ from lakejobs.operators.spatial import polygon_cells
 from lakejobs.plans.air import region_averages
 from lakejobs.plans.grids import weather_map
 from lakejobs.plans.weather import top_days
-from lakejobs.session import build_session, new_path
+from lakejobs.session import CATALOGS, build_session, new_path
 from lakejobs.sinks.files import (
     write_csv_n,
     write_escaped,
@@ -56,9 +56,10 @@ def daily_wind(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 
 def convert(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Tab-separated text with a header to Parquet, or to CSV with --csv, in a number of files."""
+    """Tab-separated text with a header to Parquet, or to CSV with --csv, in a number of files, by default ten or as many as the rows need."""
     write = write_csv_n if args.csv else write_parquet_n
-    write(read_delimited(spark, args.input), args.output, args.files)
+    rows = read_delimited(spark, args.input)
+    write(rows, args.output, args.files or parts_for(rows, K.CONVERTED_FILES))
 
 
 def top_products(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -66,7 +67,7 @@ def top_products(spark: SparkSession, args: argparse.Namespace) -> None:
     reviews = read_escaped(spark, args.input, K.REVIEW_SCHEMA)
     chosen = reviews.where(F.col("product_category") == args.category)
     report = top_rated(chosen, ["product_id", "product_title"], "star_rating", args.top)
-    write_escaped(report.select("product_id", "product_title", "num_reviews", "avg_stars"), args.output)
+    write_escaped(report.select("product_id", "product_title", "reviews", "mean_rating"), args.output)
 
 
 def air_averages(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -151,6 +152,7 @@ def database(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lakejobs", description=__doc__)
+    top.add_argument("--catalog", choices=CATALOGS, default=CATALOGS[0], help="where tables are kept; hive outlives the session")
     jobs = top.add_subparsers(required=True, metavar="JOB")
 
     def job(name: str, work, *positional: str) -> argparse.ArgumentParser:
@@ -164,7 +166,7 @@ def parser() -> argparse.ArgumentParser:
     wind.add_argument("--bbox", type=bbox, default=K.DEFAULT_BBOX, help="--bbox=left,bottom,right,top")
 
     converter = job("convert", convert, "input", "output")
-    converter.add_argument("--files", type=int, default=10)
+    converter.add_argument("--files", type=int)
     converter.add_argument("--csv", action="store_true")
 
     report = job("top-products", top_products, "input", "output")
@@ -203,7 +205,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> object:
     args = parser().parse_args(argv)
-    return args.work(spark or build_session(), args)
+    return args.work(spark or build_session(catalog=args.catalog), args)
 
 
 if __name__ == "__main__":

@@ -24,8 +24,8 @@ def top_rated(
     rating: str,
     k: int,
     count_rows: bool = True,
-    avg_name: str = "avg_stars",
-    count_name: str = "num_reviews",
+    avg_name: str = "mean_rating",
+    count_name: str = "reviews",
     weight: str | None = None,
 ) -> DataFrame:
     """The ``k`` groups with the most reviews and their average rating.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from lakejobs.session import new_path
 
@@ -14,8 +15,11 @@ HOT_SHARE = 1000
 # Rows that make one output file or sort partition.
 ROWS_PER_PART = 5_000_000
 
-# A side of a join is broadcast only when it was counted to be no larger than this.
+# A side of a join is broadcast only when it was counted to have no more rows and bytes than this.
 BROADCAST_WEIGHT = 2_000_000
+BROADCAST_BYTES = 256 * 1024 * 1024
+# Bytes of a value of fixed width with its share of the row.
+FIXED_BYTES = 16
 
 
 def hot_keys(df: DataFrame, key: str, parts: int) -> DataFrame:
@@ -60,15 +64,35 @@ def parts_for(df: DataFrame, least: int = 1, rows_per_part: int = ROWS_PER_PART)
     return max(least, -(-df.count() // rows_per_part))
 
 
-def broadcast_if_small(df: DataFrame, weight: Column | None = None, limit: int = BROADCAST_WEIGHT) -> DataFrame:
-    """``df`` marked for broadcast when its weight, by default its rows, is at most ``limit``.
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row in memory: texts by their length, nested values by that of their JSON."""
+    size = F.lit(FIXED_BYTES).cast("long")
+    for field in df.schema.fields:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            value = F.to_json(F.struct(value))
+        elif not isinstance(field.dataType, (StringType, BinaryType)):
+            size = size + FIXED_BYTES
+            continue
+        size = size + FIXED_BYTES + F.coalesce(F.octet_length(value), F.lit(0))
+    return size
 
-    The weight is measured by a job of its own. A larger side is left to a shuffled join, in
-    which adaptive execution splits hot keys.
-    """
+
+def is_small(df: DataFrame, weight: Column | None = None, limit: int = BROADCAST_WEIGHT, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the weight, by default the rows, is at most ``limit`` and the bytes at most ``most``; runs a job."""
     weight = F.count("*") if weight is None else F.sum(weight)
-    measured = df.agg(F.coalesce(weight, F.lit(0)).alias("w")).first()["w"]
-    return F.broadcast(df) if measured <= limit else df
+    found = df.agg(F.coalesce(weight, F.lit(0)).alias("weight"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")).first()
+    return found["weight"] <= limit and found["bytes"] <= most
+
+
+def broadcast_if_small(
+    df: DataFrame, weight: Column | None = None, limit: int = BROADCAST_WEIGHT, most: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``df`` marked for broadcast when it ``is_small``.
+
+    A larger side is left to a shuffled join, in which adaptive execution splits hot keys.
+    """
+    return F.broadcast(df) if is_small(df, weight, limit, most) else df
 
 
 def join_one_per_key(
@@ -83,13 +107,13 @@ def join_one_per_key(
     """``rows`` joined with ``one``, which has one row per key; NULL keys match each other.
 
     ``one`` is stored first, so counting it costs little and its lineage is not run again.
-    When it has at most ``limit`` rows it is broadcast and ``rows`` are not shuffled. Otherwise
+    When it has at most ``limit`` rows and few bytes it is broadcast and ``rows`` are not shuffled. Otherwise
     the rows of hot keys, fewer than ``share`` keys, meet their partners in a broadcast join of
     their own, and only the rest is shuffled.
     """
     one = store(one)
     same = F.col(key).eqNullSafe(F.col(one_key))
-    if one.count() <= limit:
+    if is_small(one, limit=limit):
         return rows.join(F.broadcast(one), same, how).drop(one_key)
     hot = F.broadcast(hot_keys(rows, key, share).select(F.col(key).alias("_hot_key")))
     is_hot = F.col(key).eqNullSafe(F.col("_hot_key"))

@@ -21,7 +21,7 @@ from lakejobs.sources.files import (
     read_path_like,
 )
 
-N_FILES = 10  # at least; large tables get more
+N_FILES = K.CONVERTED_FILES
 
 
 def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,33 @@ def tsv_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_file.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.count_distinct("path").alias("files"))
 
 
+def tsv_convert_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item, all columns, out of the converted files, whose texts are cast back to their types."""
+    lines = views.table(spark, sf_dir, "lineitem")
+
+    def write(path: str) -> None:
+        source = new_path(spark, "lines_gz")
+        write_csv_n(lines, source, sep="\t", header=True, compression="gzip")
+        write_parquet_n(read_delimited(spark, source), path, parts_for(lines, N_FILES))
+
+    texts = spark.read.parquet(stored.once(spark, sf_dir, "lines_converted", write))
+    typed = texts.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in lines.schema.fields])
+    return typed.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+
+
+def path_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines per flag from a folder of packed and plain text, of which only the packed files are wanted."""
+
+    def write(path: str) -> None:
+        lines = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus")
+        wanted = F.col("l_returnflag") == "R"
+        write_csv_n(lines.where(wanted), path, sep="\t", header=True, compression="gzip")
+        lines.where(~wanted).write.mode("append").csv(path, sep="\t", header=True)
+
+    folder = read_delimited(spark, stored.once(spark, sf_dir, "lines_mixed", write))
+    return read_path_like(folder, "%.csv.gz").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
 def csv_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leading columns of CSV lines without a header, named and typed."""
     path = stored.once(
@@ -82,8 +109,8 @@ def tsv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = views.reviews(spark, sf_dir, "product_id", "product_title", "product_category", "star_rating")
     chosen = reviews.where(F.col("product_category") == "STANDARD")
     report = top_rated(chosen, ["product_id", "product_title"], "star_rating", 100)
-    write_escaped(report.select("product_id", "product_title", "num_reviews", "avg_stars"), path)
-    schema = "product_id string, product_title string, num_reviews bigint, avg_stars double"
+    write_escaped(report.select("product_id", "product_title", "reviews", "mean_rating"), path)
+    schema = "product_id string, product_title string, reviews bigint, mean_rating double"
     return read_escaped(spark, path, schema, skip_header=False)
 
 
@@ -104,6 +131,8 @@ def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "tsv_roundtrip": tsv_roundtrip,
     "tsv_convert": tsv_convert,
+    "tsv_convert_values": tsv_convert_values,
+    "path_filtered": path_filtered,
     "csv_leading": csv_leading,
     "n_files": n_files,
     "pruned_top10": pruned_top10,
@@ -120,6 +149,8 @@ SQL = {
     "tsv_convert": f"""
         SELECT l_returnflag, count(*) AS n, (SELECT {_FILES_SQL} FROM lineitem) AS files FROM lineitem GROUP BY 1
     """,
+    "tsv_convert_values": "SELECT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM lineitem",
+    "path_filtered": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2",
     "csv_leading": "SELECT c_custkey AS key, c_name AS name, c_nationkey AS nation FROM customer",
     "n_files": f"SELECT count(*) AS total_rows, {_FILES_SQL} AS files FROM orders",
     "pruned_top10": f"""
@@ -134,7 +165,7 @@ SQL = {
     """,
     "tsv_report": f"""
         WITH {views.REVIEWS_SQL}
-        SELECT product_id, product_title, count(*) AS num_reviews, avg(star_rating) AS avg_stars
+        SELECT product_id, product_title, count(*) AS reviews, avg(star_rating) AS mean_rating
         FROM reviews WHERE product_category = 'STANDARD'
         GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 100
     """,

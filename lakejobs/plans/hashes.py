@@ -38,7 +38,7 @@ hashed AS (
 )"""
 
 # 64-bit XXH64 with seed 42 of a bigint and then an int, over the line items. CTE
-# `hashed(l_returnflag, signed)`.
+# `hashed(l_returnflag, l_orderkey, l_linenumber, l_partkey, signed)`.
 _M = "18446744073709551616"
 
 
@@ -75,7 +75,7 @@ _FINISH = [
 
 
 def _xxhash() -> str:
-    start = """(SELECT l_returnflag, l_orderkey, l_linenumber, 42::UHUGEINT AS h, 0::UHUGEINT AS k FROM lineitem)"""
+    start = """(SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, 42::UHUGEINT AS h, 0::UHUGEINT AS k FROM lineitem)"""
     long_key = f"(SELECT * REPLACE ({_times('l_orderkey', _P2)} AS k) FROM {start})"
     long_key = f"(SELECT * REPLACE ({_rotated('k', 31)} AS k) FROM {long_key})"
     long_key = f"(SELECT * REPLACE ({_times('k', _P1)} AS k) FROM {long_key})"
@@ -103,7 +103,7 @@ def _xxhash() -> str:
         ],
     )
     signed = f"CASE WHEN h >= {2**63}::UHUGEINT THEN h::HUGEINT - {_M}::HUGEINT ELSE h::HUGEINT END"
-    return f"hashed AS (SELECT l_returnflag, {signed} AS signed FROM {after_int})"
+    return f"hashed AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, {signed} AS signed FROM {after_int})"
 
 
 XXHASH_SQL = _xxhash()

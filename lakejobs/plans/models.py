@@ -51,9 +51,55 @@ def als_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return test.agg(F.count("*").alias("held_out")).withColumns({"scored": scored.scalar(), "rmse": F.lit(error)})
 
 
-QUERIES = {"dense_ids": dense_id_check, "split_counts": split_counts, "als_rmse": als_rmse}
+def als_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recommender on ratings that follow from customer and product, some of them missing.
+
+    Counts the ratings held out, those of them that are NULL and those scored, and says whether
+    the error is below that of the training ratings' mean.
+    """
+
+    def write(path: str) -> None:
+        lines = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+        buyers = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        alike = (F.col("o_custkey") % 2) == (F.col("l_partkey") % 2)
+        missing = (F.col("l_orderkey") + F.col("l_linenumber")) % 11 == 0
+        ratings = lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            "l_orderkey",
+            "l_linenumber",
+            F.col("o_custkey").cast("int").alias("user"),
+            F.col("l_partkey").cast("int").alias("item"),
+            F.when(~missing, F.when(alike, 5.0).otherwise(1.0)).cast("float").alias("stars"),
+        )
+        ratings.write.parquet(path)
+
+    rows = spark.read.parquet(stored.once(spark, sf_dir, "planted", write))
+    train, test = hash_split(rows, ["l_orderkey", "l_linenumber"])
+    scored = predicted(fit_als(train, "user", "item", "stars"), test, "stars")
+    mean = train.agg(F.avg("stars")).scalar()
+    error = F.avg(F.pow(F.col("stars") - F.col("prediction"), 2))
+    result = scored.withColumn("mean", mean).agg(
+        F.count("*").alias("scored"), (error < F.avg(F.pow(F.col("stars") - F.col("mean"), 2))).alias("beats_mean")
+    )
+    counts = test.agg(F.count("*").alias("held_out"), F.count_if(F.col("stars").isNull()).alias("unrated"))
+    return counts.withColumns({name: result.select(name).scalar() for name in result.columns})
+
+
+QUERIES = {"als_planted": als_planted, "dense_ids": dense_id_check, "split_counts": split_counts, "als_rmse": als_rmse}
 
 SQL = {
+    "als_planted": f"""
+        WITH {XXHASH_SQL},
+        ratings AS (
+            SELECT o_custkey AS buyer, l_partkey AS item, (l_orderkey + l_linenumber) % 11 <> 0 AS rated,
+                   (signed % 10000 + 10000) % 10000 < 8000 AS train
+            FROM hashed JOIN orders ON l_orderkey = o_orderkey
+        ),
+        buyers AS (SELECT DISTINCT buyer, true AS buyer_known FROM ratings WHERE train AND rated),
+        items AS (SELECT DISTINCT item, true AS item_known FROM ratings WHERE train AND rated)
+        SELECT count(*) AS held_out, count(*) FILTER (NOT rated) AS unrated,
+               count(*) FILTER (rated AND buyer_known AND item_known) AS scored, true AS beats_mean
+        FROM ratings LEFT JOIN buyers USING (buyer) LEFT JOIN items USING (item) WHERE NOT train
+    """,
     "dense_ids": """
         SELECT count(DISTINCT o_custkey) AS customers, count(DISTINCT o_custkey) AS ids,
                CAST(0 AS BIGINT) AS low, count(DISTINCT o_custkey) - 1 AS high

@@ -87,23 +87,7 @@ _FROM_PART = {
 _FROM_ORDER = {"customer_id": "string(o_custkey)"}
 _FROM_REGION = {"marketplace": "r_name"}
 
-REVIEW_COLUMNS = (
-    "marketplace",
-    "customer_id",
-    "review_id",
-    "product_id",
-    "product_parent",
-    "product_title",
-    "product_category",
-    "star_rating",
-    "helpful_votes",
-    "total_votes",
-    "vine",
-    "verified_purchase",
-    "review_headline",
-    "review_body",
-    "review_date",
-)
+REVIEW_COLUMNS = tuple(field.split()[0] for field in K.REVIEW_SCHEMA.split(","))
 
 
 def reviews(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

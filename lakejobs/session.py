@@ -8,13 +8,21 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "lakejobs", master: str | None = None, **conf: object) -> SparkSession:
+CATALOGS = ("in-memory", "hive")
+
+
+def build_session(app: str = "lakejobs", master: str | None = None, catalog: str = "in-memory", **conf: object) -> SparkSession:
     """A session in UTC with adaptive execution; ANSI mode keeps its default (on).
 
+    With ``catalog="hive"`` it sees the persistent catalog that the cluster's configuration names,
+    so tables outlive the session; the default catalog ends with it.
+
     Give settings with ``__`` for the dots: ``build_session(spark__ui__enabled=False)``.
     On a cluster set ``spark.sql.adaptive.coalescePartitions.initialPartitionNum`` high
     (several times the core count): adaptive execution merges what turns out small.
     """
+    if catalog not in CATALOGS:
+        raise ValueError(f"catalog must be one of {CATALOGS}")
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -22,6 +30,8 @@ def build_session(app: str = "lakejobs", master: str | None = None, **conf: obje
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled", "true")
     )
+    if catalog == "hive":
+        builder = builder.enableHiveSupport()
     if master:
         builder = builder.master(master)
     for name, value in conf.items():

@@ -282,6 +282,9 @@ def test_broadcast_only_when_counted_small(spark):
 
     assert hinted(broadcast_if_small(spark.range(10), limit=10))
     assert not hinted(broadcast_if_small(spark.range(11), limit=10))
+    wide = spark.range(3).select("id", F.repeat(F.lit("é"), 500).alias("t"), F.array(F.lit(None).cast("string"), F.lit("x")).alias("a"))
+    assert hinted(broadcast_if_small(wide, most=4000)) and not hinted(broadcast_if_small(wide, most=3000))
+    assert hinted(broadcast_if_small(wide.where("false"), most=0))
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

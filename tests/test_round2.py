@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakejobs.functions import fields
+from lakejobs import session
 from lakejobs.operators import filters, grid, readings, recommend
 from lakejobs.operators.spatial import locate_first
 from lakejobs.sources import versions
@@ -80,3 +81,14 @@ def test_a_collection_is_an_error(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"type": "FeatureCollection", "features": [json.loads(square("a", 0, 1))]}))
     with pytest.raises(Exception, match="FeatureCollection"):
         read_polygons(spark, str(tmp_path / "c.json"), ["id"]).collect()
+
+
+def test_the_catalog_is_chosen_by_name(monkeypatch):
+    asked = []
+    builder = type(session.SparkSession.builder)
+    monkeypatch.setattr(builder, "enableHiveSupport", lambda self: asked.append("hive") or self)
+    monkeypatch.setattr(builder, "getOrCreate", lambda self: "session")
+    assert session.build_session(catalog="hive") == "session" and asked == ["hive"]
+    assert session.build_session() == "session" and asked == ["hive"]
+    with pytest.raises(ValueError):
+        session.build_session(catalog="other")
