@@ -118,7 +118,7 @@ def layout(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.kind == "folders":
         write_partitioned(rows, args.output, args.key.split(","))
     elif args.kind == "buckets":
-        write_bucketed(rows, args.table, args.key, args.parts or 30, args.output)
+        write_bucketed(rows, args.table, args.key, args.parts or parts_for(rows, 30), args.output)
     elif args.kind == "sorted":
         write_sorted(rows, args.output, args.key, args.parts)
     else:

@@ -41,7 +41,7 @@ def ranged_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucketed_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, those in a file of the bucket their key must have, and the buckets in use."""
     reviews = spark.table(stored.table_name(stored.by_bucket(spark, sf_dir)))
-    bucket = F.pmod(F.hash("review_id"), F.lit(stored.BUCKETS))
+    bucket = F.pmod(F.hash("review_id"), F.lit(parts_for(reviews, stored.BUCKETS)))
     per_file = file_counts(reviews.withColumn("bucket", bucket), "bucket")
     in_file = F.regexp_extract("path", r"_(\d{5})\.c", 1).cast("int")
     return per_file.agg(
@@ -111,7 +111,8 @@ SQL = {
     "sorted_layout": _layout_sql(SORTED_PARTS),
     "ranged_layout": _layout_sql(stored.RANGES),
     "bucketed_layout": f"""
-        SELECT count(*) AS n, count(*) AS in_right_file, CAST({stored.BUCKETS} AS BIGINT) AS buckets FROM lineitem
+        SELECT count(*) AS n, count(*) AS in_right_file,
+               CAST(greatest({stored.BUCKETS}, ceil(count(*) / {ROWS_PER_PART})) AS BIGINT) AS buckets FROM lineitem
     """,
     "file_counts": f"""
         WITH {views.REVIEWS_SQL}
@@ -119,8 +120,9 @@ SQL = {
     """,
     "file_stats": _STATS_SQL,
     "files_touched_by_layout": f"""
-        SELECT layout, '{KEY}' AS product_id, layout <> 'bucketed' AS one_file,
-               (SELECT count(*) FROM lineitem WHERE l_partkey = {KEY}) AS n
-        FROM (VALUES ('sorted'), ('ranged'), ('bucketed')) AS t(layout)
+        WITH size AS (SELECT count(*) AS whole, count(*) FILTER (l_partkey = {KEY}) AS n FROM lineitem)
+        SELECT layout, '{KEY}' AS product_id, n,
+               least IS NOT NULL AND n * greatest(least, ceil(whole / {ROWS_PER_PART})) <= whole AS one_file
+        FROM size, (VALUES ('sorted', {SORTED_PARTS}), ('ranged', {stored.RANGES}), ('bucketed', NULL)) AS t(layout, least)
     """,
 }

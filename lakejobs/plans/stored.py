@@ -18,7 +18,7 @@ from lakejobs.sources.catalog import mark_time_column
 from lakejobs.sources.polygons import read_polygons
 
 CELL = 1.0  # cell width in degrees for lookups in regions
-BUCKETS = 30
+BUCKETS = 30  # at least; large tables get more
 RANGES = 30  # at least; large tables get more
 RANGED_COLUMNS = ("marketplace", "customer_id", "review_id", "product_id", "product_parent", "star_rating")
 RANGED_SCHEMA = (
@@ -92,14 +92,12 @@ def by_sort(spark: SparkSession, sf_dir: str) -> str:
 
 def by_bucket(spark: SparkSession, sf_dir: str) -> str:
     """The path of the bucketed table; its catalog name is ``table_name`` of it."""
-    return once(
-        spark,
-        sf_dir,
-        "reviews_bucketed",
-        lambda path: write_bucketed(
-            stored_reviews(spark, sf_dir).select(*LAYOUT_COLUMNS), table_name(path), "review_id", BUCKETS, path
-        ),
-    )
+
+    def write(path: str) -> None:
+        reviews = stored_reviews(spark, sf_dir).select(*LAYOUT_COLUMNS)
+        write_bucketed(reviews, table_name(path), "review_id", parts_for(reviews, BUCKETS), path)
+
+    return once(spark, sf_dir, "reviews_bucketed", write)
 
 
 def by_range(spark: SparkSession, sf_dir: str) -> str:
