@@ -61,18 +61,18 @@ def test_language_model_without_rows(documents):
 
 @pytest.fixture(scope="module")
 def rated(spark, documents):
-    """Texts whose grade is planted: symbols for 0, one of some words for 1."""
+    """Texts whose grade is planted: one of some words for 0, symbols for 1."""
     rng = random.Random(4)
     rows, labels = [], []
     for k in range(1200):
         grade = rng.choice([0, 1, 2, 2, 2, 2])
         text = prose(rng, rng.randrange(40, 300), 3000)
-        if grade == 0:
-            text = " ".join(w + "***" for w in text.split())
         if grade == 1:
+            text = " ".join(w + "***" for w in text.split())
+        if grade == 0:
             text += " " + " ".join(rng.choice(["rotten", "vile", "awful"]) for _ in range(3))
         rows.append((k, text))
-        labels.append((k, int(grade > 0), int(grade == 1), "x"))
+        labels.append((k, int(grade != 1), int(grade == 0), "x"))
     return rows, labels, spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
 
 
@@ -81,17 +81,43 @@ def test_held_out_accuracy(documents, rated):
     got = {r.doc_id: r for r in qc.op5_ordinal_quality(documents(rows), table.where("doc_id < 800")).collect()}
     hits = [got[k].kept == (quality == 1 and toxic == 0) for k, quality, toxic, _ in labels if k >= 800]
     assert sum(hits) / len(hits) > 0.95
-    by_grade = [np.mean([got[k].expected_grade for k, q, t, _ in labels if q + q * (1 - t) == g]) for g in range(3)]
+    by_grade = [np.mean([got[k].expected_grade for k, q, t, _ in labels if (1 - t) * (1 + q) == g]) for g in range(3)]
     assert by_grade[0] < by_grade[1] < by_grade[2]
     assert all(0 <= r.p_top <= r.expected_grade <= 2 for r in got.values())
 
 
+def test_inflected_words_are_known_by_their_beginnings(spark, documents):
+    """No word of the held-out toxic texts was ever seen: only how their words begin tells them."""
+    rng = random.Random(6)
+    ends = ["".join(rng.choice("aeiou") + rng.choice("lmnrst") for _ in range(3)) for _ in range(600)]
+    rows = []
+    for k in range(900):
+        text = prose(rng, rng.randrange(60, 300), 900)
+        rows.append((k, text + "".join(f" grumm{ends[rng.randrange(300) + 300 * (k >= 600)]}" for _ in range(3)) if k % 6 == 0 else text))
+    labels = spark.createDataFrame([(k, 1, int(k % 6 == 0)) for k in range(600)], "doc_id long, quality int, toxic int")
+    got = [r.kept == (r.doc_id % 6 != 0) for r in qc.op5_ordinal_quality(documents(rows), labels).collect() if r.doc_id >= 600]
+    assert sum(got) / len(got) > 0.98
+
+
+def test_features_in_use_are_all_a_score_needs():
+    rng = random.Random(7)
+    weights = np.zeros(qc.BUCKETS, np.float32)
+    texts = [" ".join(rng.choice(["grumm", "pol", "straff"]) + str(rng.randrange(50)) * 3 for _ in range(rng.randrange(0, 90))).encode() for _ in range(60)]
+    every = qc.Words()
+    for text in texts[:10]:
+        weights[qc.of_text(text, every)[0][::3]] = 0.5
+    some = qc.Words(weights != 0)
+    for text in texts:
+        (a, x), (b, y) = qc.of_text(text, every), qc.of_text(text, some)
+        assert x == y and a[weights[a] != 0].tolist() == b[weights[b] != 0].tolist()
+
+
 def test_odd_rows_and_labels(spark, documents, odd_rows, rated):
     _, _, table = rated
     docs = documents(odd_rows)
     schema = "doc_id long, quality int, toxic int"
     odd = spark.createDataFrame([(6, 1, 0), (6, 0, 0), (None, 1, 0), (7, None, 1), (8, 1, None), (77, 1, 0)], schema)
-    assert sorted((r.label_id, r.grade) for r in qc.grades(odd).collect()) == [(6, 0), (77, 2)]
+    assert sorted((r.label_id, r.grade) for r in qc.grades(odd).collect()) == [(6, 1), (7, 0), (77, 2)]
     for labels in (odd, table, spark.createDataFrame([], schema)):
         assert qc.op5_ordinal_quality(docs, labels).count() == len(odd_rows)
     kept = qc.select(docs, spark.createDataFrame([], schema))
