@@ -47,7 +47,7 @@ STEMS = range(4, 9)
 FULL_VALUE = 8
 KEEP_FROM = 0.5
 # Words a task keeps the features of, when it needs all features and when it needs those in use.
-KEPT_ALL, KEPT_USED = 60_000, 300_000
+KEPT_ALL, KEPT_USED = 60_000, 600_000
 EDGES = b".,;:!?\"'()[]{}#*$%&|<>-_/\\"
 CAPITALS = bytes(range(65, 91))
 
@@ -60,7 +60,7 @@ class Words(dict):
 
     def __init__(self, used: np.ndarray | None = None) -> None:
         super().__init__()
-        self.used = used
+        self.used = None if used is None else frozenset(np.flatnonzero(used).tolist())
         self.most = KEPT_ALL if used is None else KEPT_USED
 
     def __missing__(self, word: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
@@ -69,8 +69,8 @@ class Words(dict):
         stems = [xxhash.xxh64_intdigest(bare[:size], size) for size in STEMS if len(bare) > size]
         own += [h % BUCKETS for h in stems]
         if self.used is not None:
-            own = [b for b in own if self.used[b]]
-            stems = [h for h in stems if any(self.used[b] for b in several(h, 4))]
+            own = [b for b in own if b in self.used]
+            stems = [h for h in stems if not self.used.isdisjoint(several(h, 4))]
         if len(self) >= self.most:
             self.clear()
         self[word] = value = tuple(own), tuple(stems)
@@ -79,7 +79,8 @@ class Words(dict):
 
 def several(stem: int, words: int) -> list[int]:
     """The features of a beginning that two, or four, and more different words of a text share."""
-    return [stem >> BUCKET_BITS * k & BUCKETS - 1 for k in (1, 2) if words >= 2 * k]
+    two, four = stem >> BUCKET_BITS & BUCKETS - 1, stem >> 2 * BUCKET_BITS & BUCKETS - 1
+    return [two, four] if words >= 4 else [two] if words >= 2 else []
 
 
 def step(share: float) -> int:
@@ -111,8 +112,10 @@ def of_text(text: bytes | None, known: Words) -> tuple[np.ndarray, float]:
     found: set[int] = set()
     stems: Counter[int] = Counter()
     for own, shared in map(known.__getitem__, different):
-        found.update(own)
-        stems.update(shared)
+        if own:
+            found.update(own)
+        if shared:
+            stems.update(shared)
     for stem, count in stems.items():
         found.update(several(stem, count))
     for name, reached in whole.items():
