@@ -5,8 +5,8 @@ hashed features gives a text's score, and ordered thresholds turn it into grades
 
     P(grade > k) = 1 / (1 + exp(threshold k - score))
 
-so the weights are shared by all grades. Toxic texts come last because what marks them adds up word by
-word, without end, while low quality shows in a few properties of the whole text. Features are the different
+so the weights are shared by all grades. Toxic texts come last: held out, that order tells them apart better than
+one with low quality last. Features are the different
 words of a text, their beginnings of several lengths, beginnings that several of its words share, and
 properties of the whole text, each as all the steps up to its value. The expected grade ranks texts; the
 tail probability, that of the best grade, selects them.
