@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lakejobs.llm.graph import components, in_units, lowest_linked, runs
 from lakejobs.llm.shared import saved
@@ -62,17 +63,18 @@ def fingerprint(text: bytes | None, size: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a long."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``carried``, and ``fp``, the fingerprint as a long."""
+    names = ["doc_id", *carried]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             values = np.fromiter((fingerprint(t, size) for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(values)], [*names, "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(read, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, "text")
+    return rows.mapInArrow(read, StructType([*rows.drop("text").schema.fields, StructField("fp", LongType())]))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -181,15 +183,18 @@ def links(entries: DataFrame, distance: int = DISTANCE, cap: int = UNIT_ROWS) ->
     return units.mapInArrow(find, "a long, b long")
 
 
-def group(docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id``, the smallest id that links lead to."""
-    marked = saved(fingerprints(docs, size), "fingerprints")
+def group(docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = DISTANCE, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``carried``, ``fp``, ``root`` and ``component_id``, the smallest id that links lead to.
+
+    ``root`` is a component's own; components whose rows share an id, or have none, may have the same ``component_id``.
+    """
+    marked = saved(fingerprints(docs, size, carried), "fingerprints")
     entries = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "entries")
     roots = components(links(entries, distance))
     rooted = entries.join(roots, entries["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_entry = rooted.join(lowest, "root").select("fp", "component_id")
-    return marked.join(of_entry, "fp").select("doc_id", "fp", "component_id")
+    of_entry = rooted.join(lowest, "root").select("fp", "root", "component_id")
+    return marked.join(of_entry, "fp").select("doc_id", *carried, "fp", "root", "component_id")
 
 
 def op8_simhash(docs: DataFrame) -> DataFrame:
