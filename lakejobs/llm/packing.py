@@ -62,7 +62,7 @@ class Words(dict):
         inner = right.lstrip(PUNCTUATION)
         if inner.isalpha() and "<|" not in text:
             before, after = text[: len(right) - len(inner)], text[len(right) :]
-            found = (self.run(before) if before else b"") + self.run(inner.lower()) + (self.run(after) if after else b"")
+            found = (self.run(before) if before else b"") + self.run(inner.lower() if inner.isascii() else inner) + (self.run(after) if after else b"")
         else:
             found = self.ids(text)
         if len(self) >= KEPT_WORDS:

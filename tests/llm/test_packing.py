@@ -69,5 +69,13 @@ def test_tokens_and_places(documents, odd_rows):
     assert len(fill) == slow_best_fit([w[3] for w in want], 2048)[0]
 
 
+def test_greek_capitals_keep_the_tokenizers_ids(documents):
+    rows = [(1, "ΟΔΟΣ"), (2, "(ΤΗΣ) ΟΔΟΣ, ΣΑΣ! Οδός"), (3, "ΟΔΟΣ ABC Straße İZMİR")]
+    got = packing.op6_best_fit_packing(documents(rows)).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in rows}
+    assert {r.doc_id: r.ids_crc32 for r in got} == want
+
+
 def test_no_rows(documents):
     assert packing.op6_best_fit_packing(documents([])).collect() == []
