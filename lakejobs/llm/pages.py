@@ -5,6 +5,7 @@ directly in it, with links and boilerplate left out, and half of that of its chi
 is that of tags and classes from above, without numbers. Pages vote: each gives its containers' paths their shares
 of its score, and Spark adds the votes of a host. Then every page is read again, and its text is
 taken from the containers at the highest path that it has; a page without any keeps its own best one.
+The best paths of a host are sent to all its pages; a page that has none of them is sent the best of its own.
 
 Scripts, styles, forms, menus, side columns, page headers and footers, and containers that their
 class, id or role marks as adverts, notices, comments and the like are never read.
@@ -28,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakejobs.llm.shared import saved
 from lakejobs.operators.skew import stored_rows
 
 # Pages of a host that may stand in one part, unless that would make more than MOST_PARTS parts of all pages.
 PAGES_TOGETHER = 256
 MOST_PARTS = 100_000
-# Paths of a host that pages are tried with, best first.
+# Paths of a host that all its pages are tried with, best first.
 PATHS_KEPT = 16
 PATH_LENGTH = 6
 # The elements of HTML by kind.
@@ -195,10 +197,14 @@ class Page:
         whole = sum(by_path.values())
         return {path: int(1000 * s / whole) for path, s in by_path.items() if s} if whole else {}
 
+    def paths(self) -> set[str]:
+        """The paths that have text."""
+        return {c[0] for c in self.containers if c[3] > c[2]}
+
     def main_text(self, paths: list[str]) -> str:
         """The text of the containers at the first path that the page has; else of its best container."""
         with_text = [c for c in self.containers if c[3] > c[2]]
-        have = {c[0] for c in with_text}
+        have = self.paths()
         path = next((p for p in paths if p in have), None)
         if path is None:
             shares = self.shares()
@@ -228,22 +234,24 @@ def large_hosts(rows: DataFrame) -> DataFrame:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """``host`` and its ``paths``, best first: all votes of the host's pages for a path are added up."""
+    """``host``, ``place`` and ``found`` of every page: the paths that have text on it, each with the page's vote or null."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("path", pa.string()), ("share", pa.int64())]))
         for batch in batches:
-            found: dict[tuple[str, str], int] = defaultdict(int)
-            for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                for path, share in Page(source).shares().items():
-                    found[host, path] += share
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())],
-                ["host", "path", "share"],
-            )
+            found = []
+            for source in batch.column("html").to_pylist():
+                page = Page(source)
+                shares = page.shares()
+                found.append([{"path": p, "share": shares.get(p)} for p in sorted(page.paths())])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("place"), pa.array(found, kind)], ["host", "place", "found"])
+
+    schema = "host string, place long, found array<struct<path:string,share:long>>"
+    return pages.select("host", "place", "html").mapInArrow(vote, schema)
 
-    cast = pages.select("host", "html").mapInArrow(vote, "host string, path string, share long")
-    added = cast.groupBy("host", "path").agg(F.sum("share").alias("share"))
+
+def best_paths(added: DataFrame) -> DataFrame:
+    """``host`` and its ``paths``, best first, at most PATHS_KEPT, from the votes added up by path."""
     # Spark takes the best paths of a host in each task before they meet.
     order = Window.partitionBy("host").orderBy(F.desc("share"), "path")
     best = added.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PATHS_KEPT)
@@ -251,15 +259,32 @@ def votes(pages: DataFrame) -> DataFrame:
     return listed.select("host", F.transform("best", lambda b: b["path"]).alias("paths"))
 
 
+def lower_paths(apart: DataFrame, listed: DataFrame, added: DataFrame) -> DataFrame:
+    """``host``, ``part`` and ``lower``: place and best path of the part's pages that have none of the listed paths."""
+    met = apart.join(listed, ["host", "part"])
+    own = F.transform("found", lambda x: x["path"])
+    without = met.where(~F.arrays_overlap(own, "paths")).select("host", "part", "place", F.explode(own).alias("path"))
+    ranked = without.join(added, ["host", "path"]).groupBy("host", "part", "place").agg(F.min(F.struct(-F.col("share"), "path")).alias("best"))
+    return ranked.groupBy("host", "part").agg(F.collect_list(F.struct("place", F.col("best.path").alias("path"))).alias("lower"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every page."""
     rows = hosts(pages)
     large = F.broadcast(large_hosts(rows))
     parts = F.coalesce("parts", F.lit(1))
-    apart = rows.join(large, "host", "left").withColumn("part", F.pmod("place", parts).cast("int"))
+    part = F.pmod("place", parts).cast("int")
+    voted = saved(votes(rows), "votes")
+    cast = voted.select("host", F.explode("found").alias("one")).select("host", "one.path", "one.share").where("share IS NOT NULL")
+    added = saved(cast.groupBy("host", "path").agg(F.sum("share").alias("share")), "added")
     # The paths of a host once for each of its parts; all hosts' parts together are few beside the pages.
-    listed = votes(rows).join(large, "host", "left").select("host", "paths", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    met = apart.join(listed, ["host", "part"], "left").select("page_id", "url", "html", "paths")
+    listed = best_paths(added).join(large, "host", "left").select("host", "paths", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    listed = saved(listed, "listed")
+    lower = lower_paths(voted.join(large, "host", "left").withColumn("part", part).drop("parts"), listed, added)
+    apart = rows.join(large, "host", "left").withColumn("part", part)
+    met = apart.join(listed.join(lower, ["host", "part"], "left"), ["host", "part"], "left")
+    of_page = F.transform(F.filter("lower", lambda x: x["place"] == F.col("place")), lambda x: x["path"])
+    met = met.select("page_id", "url", "html", F.concat("paths", F.coalesce(of_page, F.array().cast("array<string>"))).alias("paths"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

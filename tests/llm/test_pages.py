@@ -64,6 +64,22 @@ def test_a_large_host_is_cut_and_gives_the_same_texts(spark, monkeypatch):
     assert sorted(pages.op7_consensus_html(frame(spark, rows)).collect()) == whole and len(whole) == 100
 
 
+def test_paths_beyond_the_best_of_a_host_win_too(spark, monkeypatch):
+    def nested(name, text, box=""):
+        deep = "".join(f"<div class={name}-{'abcdefg'[k]}>" for k in range(7))
+        return f"<body>{deep}<article class={name}><p>{text}</p></article>{box}{'</div>' * 7}</body>"
+
+    names = [a + b for a in "pqrst" for b in "uvwxy"]
+    rows = [(10 * i + k, "http://h.example/", nested(n, f"{'word ' * 30}{n}{k}")) for i, n in enumerate(names) for k in range(4 if i < 20 else 3)]
+    # Its own best container is the box, which no other page has.
+    rows += [(900 + i, "http://h.example/", nested(n, f"short {n}", f"<section class=box{n}><p>{'noise ' * 60}</p></section>")) for i, n in enumerate(names)]
+    for together in (256, 10):
+        monkeypatch.setattr(pages, "PAGES_TOGETHER", together)
+        got = {r.page_id: r.text for r in pages.op7_consensus_html(frame(spark, rows)).collect()}
+        assert [got[900 + i] for i in range(len(names))] == [f"short {n}" for n in names]
+        assert got[241] == "word " * 30 + "ty1"
+
+
 def test_odd_pages(spark):
     long = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None), (2, "", ""), (3, "x", "plain text & more"), (4, "http://h/", "<<<>>> < b"), (None, "http://h/", "<p>null id"), (5, "http://h/", long), (6, "http://h/", "<p>twice"), (6, "http://h/", "<p>twice"), (7, "http://h/", "<a href='x" * 2000)]
