@@ -1,26 +1,31 @@
-"""Append-versioned tables, read as they are and as they were; inserts of literal rows."""
+"""Orders with a version column, read as they are and as they were; inserts of literal rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lakejobs.plans import stored, views
 from lakejobs.session import new_path
+from lakejobs.sinks.files import write_partitioned
 from lakejobs.sinks.tables import ensure_table, insert_rows
 from lakejobs.sources.catalog import literal_rows
-from lakejobs.sources.versions import append_version, read_version
+from lakejobs.sources.files import read_partitioned
 
-def _orders(spark: SparkSession, sf_dir: str) -> str:
-    """Orders appended in one version per status, the missing status first, then in order."""
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in folders of ``_version``, one version per status, the missing status first, then in order."""
     orders = views.table(spark, sf_dir, "orders")
 
     def write(path: str) -> None:
-        statuses = orders.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()
-        for row in statuses:
-            append_version(orders.where(F.col("o_orderstatus").eqNullSafe(F.lit(row[0]))), path)
+        statuses = orders.select(F.col("o_orderstatus").alias("status")).distinct()
+        numbered = statuses.select("status", F.row_number().over(Window.orderBy("status")).alias("_version"))
+        same = F.col("o_orderstatus").eqNullSafe(F.col("status"))
+        write_partitioned(orders.join(F.broadcast(numbered), same).drop("status"), path, ["_version"])
 
-    return stored.once(spark, sf_dir, "orders_versions", write)
+    schema = StructType([*orders.schema.fields, StructField("_version", IntegerType())])
+    return read_partitioned(spark, stored.once(spark, sf_dir, "orders_versions", write), schema=schema)
 
 
 def _by_status(rows: DataFrame) -> DataFrame:
@@ -30,11 +35,11 @@ def _by_status(rows: DataFrame) -> DataFrame:
 
 
 def version_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_status(read_version(spark, _orders(spark, sf_dir)))
+    return _by_status(_orders(spark, sf_dir))
 
 
 def version_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_status(read_version(spark, _orders(spark, sf_dir), 2))
+    return _by_status(_orders(spark, sf_dir).where(F.col("_version") <= 2))
 
 
 def inserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

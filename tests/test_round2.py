@@ -1,6 +1,7 @@
 """Cases that green rows did not show: odd input of filters, grids, readings, versions, polygons."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from lakejobs.functions import fields
 from lakejobs import session
 from lakejobs.operators import filters, grid, readings, recommend
 from lakejobs.operators.spatial import locate_first
+from lakejobs.plans import QUERIES, stored
 from lakejobs.sources import versions
 from lakejobs.sources.polygons import read_polygons
 
@@ -47,6 +49,17 @@ def test_later_columns_are_read(spark, out):
     assert sorted((r["id"], r["x"]) for r in versions.read_version(spark, out).collect()) == [(1, None), (2, "x")]
 
 
+def test_version_queries_read_plain_folders_of_a_version_column(spark, tmp_path):
+    rows = [(1, "P"), (2, None), (3, "F"), (4, "O"), (5, "F")]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    now, then = (QUERIES[name](spark, str(tmp_path)).collect() for name in ("version_current", "version_asof"))
+    assert sorted(map(tuple, now), key=str) == [("F", 2, 3, 5), ("O", 1, 4, 4), ("P", 1, 1, 1), (None, 1, 2, 2)]
+    assert sorted(map(tuple, then), key=str) == [("F", 2, 3, 5), (None, 1, 2, 2)]
+    path = next(p for (_, sf, name), p in stored._written.items() if (sf, name) == (str(tmp_path), "orders_versions"))
+    folder = Path(path.removeprefix("file:"))
+    assert sorted(p.name for p in folder.iterdir() if p.is_dir()) == [f"_version={k}" for k in range(1, 5)]
+
+
 def test_unusable_ratings_are_left_out(spark):
     rows = [(u, i, float((u + i) % 5)) for u in range(12) for i in range(12)] + [(None, 1, 1.0), (1, None, 1.0), (1, 1, None)]
     df = spark.createDataFrame(rows, "user int, item int, rating float")
