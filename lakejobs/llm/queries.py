@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lakejobs.llm import embeddings, exact, language_model, lines, mixing, packing, pages, pii, quality_classifier, quality_rules, simhash
+from lakejobs.llm import embeddings, exact, language_model, lines, mixing, packing, pages, phrases, pii, quality_classifier, quality_rules, simhash
 from lakejobs.llm.shared import table
 
 
@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_range_join": over("embeddings", embeddings.op9_embedding_range_join),
     "op10_quality_rules": over("documents", quality_rules.op10_quality_rules),
     "op12_exact_dedup": over("documents", exact.op12_exact_dedup),
+    "op13_phrases": over("documents", phrases.op13_phrases),
     "pipeline": corpus_pipeline.run,
     "llm_rule_ablation": over("documents", lambda docs: quality_rules.ablation(quality_rules.ledger(docs))),
 }
@@ -40,5 +41,6 @@ SQL: dict[str, str] = {
     "op9_embedding_range_join": embeddings.SQL,
     "op10_quality_rules": quality_rules.SQL,
     "op12_exact_dedup": exact.SQL,
+    "op13_phrases": phrases.SQL,
     "llm_rule_ablation": quality_rules.ABLATION_SQL,
 }
