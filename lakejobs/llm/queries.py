@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lakejobs.llm import embeddings, exact, language_model, lines, mixing, packing, pages, phrases, pii, quality_classifier, quality_rules, simhash
+from lakejobs.llm import embeddings, exact, language_model, lines, mixing, packing, pages, phrases, pii, quality_classifier, quality_rules, simhash, whitening
 from lakejobs.llm.shared import table
 
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": over("documents", simhash.op8_simhash),
     "op9_embedding_range_join": over("embeddings", embeddings.op9_embedding_range_join),
     "op10_quality_rules": over("documents", quality_rules.op10_quality_rules),
+    "op11_whitening": over("embeddings", whitening.op11_whitening),
     "op12_exact_dedup": over("documents", exact.op12_exact_dedup),
     "op13_phrases": over("documents", phrases.op13_phrases),
     "pipeline": corpus_pipeline.run,
