@@ -48,53 +48,56 @@ PASSES = 12
 EPS = np.finfo(float).eps
 
 
+def between(c: np.ndarray, s1: np.ndarray, s2: np.ndarray, a1: np.ndarray, a2: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The root of c + s1 / (a1 - x) + s2 / (a2 - x) between ``low`` and ``high``, or else their middle."""
+    with np.errstate(all="ignore"):
+        a, b = c * (a1 + a2) + s1 + s2, c * a1 * a2 + s1 * a2 + s2 * a1
+        q = (a + np.copysign(np.sqrt(np.maximum(0, a * a - 4 * b * c)), a)) / 2
+        one, two = q / c, b / q
+        # Right of the last pole there is only one.
+        one[-1] = a1[-1] + s1[-1] / c[-1]
+    ok = (one > low) & (one < high)
+    x = np.where(ok, one, two)
+    return np.where(ok | (two > low) & (two < high), x, (low + high) / 2)
+
+
 def roots(d: np.ndarray, z: np.ndarray, rho: float) -> np.ndarray:
     """``e[i, j] = d[j] - x[i]`` for the roots ``x`` of the secular equation, ``z`` of length one, ``d`` ascending.
 
-    Every root is an offset from its nearer pole, so differences keep their digits.
+    Every root is an offset from its nearer pole, so differences keep their digits. In each step the poles
+    left of a root and those right of it are replaced by one each, of the same value and slope.
     """
     k = len(d)
+    at = np.arange(k)
     square = rho * z * z
     width = np.append(np.diff(d), rho)
-    left = np.arange(k)[:, None] >= np.arange(k)
-    gaps = d - d[:, None]
-    value = 1 + (square / (gaps - width[:, None] / 2)).sum(axis=1)
-    nearer = np.where((value < 0) & (np.arange(k) < k - 1), 1, 0)
-    origin = np.arange(k) + nearer
-    gaps = d - d[origin][:, None]
     half = width / 2
+    left = at[:, None] >= at
+    middle = square / (d - d[:, None] - half[:, None])
+    value = 1 + middle.sum(axis=1)
+    nearer = (value < 0) & (at < k - 1)
+    origin = at + nearer
+    gaps = d - d[origin][:, None]
     low = np.where(nearer, -half, np.where(value < 0, half, 0.0))
     high = np.where(nearer, 0.0, np.where(value < 0, width, half))
-    x = (low + high) / 2
-    one = d - d[origin]
-    two = np.append(d[1:], np.inf) - d[origin]
-    for _ in range(60):
+    one, two = d - d[origin], np.append(d[1:], d[-1] + rho) - d[origin]
+    right = np.append(square[1:], 0.0)
+    around = middle[at, at] + np.append(middle[at[:-1], at[1:]], 0.0)
+    x = between(value - around, square, right, one, two, low, high)
+    for _ in range(100):
         e = gaps - x[:, None]
         term = square / e
         w = 1 + term.sum(axis=1)
-        done = np.abs(w) <= 4 * EPS * (1 + np.abs(term).sum(axis=1))
+        low, high = np.where(w < 0, x, low), np.where(w > 0, x, high)
+        done = (np.abs(w) <= 4 * EPS * (1 + np.abs(term).sum(axis=1))) | (high - low <= 2 * EPS * np.abs(x))
         if done.all():
             break
-        low, high = np.where(w < 0, x, low), np.where(w > 0, x, high)
         slope = term / e
         before = np.where(left, slope, 0.0).sum(axis=1)
         after = slope.sum(axis=1) - before
         a1, a2 = one - x, two - x
-        with np.errstate(all="ignore"):
-            c = w - a1 * before - np.where(after > 0, a2, 0) * after
-            a = (a1 + a2) * w - a1 * a2 * (before + after)
-            b = a1 * a2 * w
-            root = np.sqrt(np.maximum(0, a * a - 4 * b * c))
-            step = np.where(a <= 0, (a - root) / (2 * c), 2 * b / (a + root))
-            # Right of the last pole there is only one.
-            step[-1] = a1[-1] + a1[-1] ** 2 * before[-1] / c[-1]
-            new = x + step
-        inside = np.isfinite(new) & (new > low) & (new < high)
-        new = np.where(inside, new, (low + high) / 2)
-        stuck = (new == x) | (high - low <= 2 * EPS * np.abs(x))
-        x = np.where(done | stuck, x, new)
-        if (done | stuck).all():
-            break
+        step = between(w - a1 * before - a2 * after, a1 * a1 * before, a2 * a2 * after, a1, a2, low - x, high - x)
+        x = np.where(done, x, x + step)
     return gaps - x[:, None]
 
 
@@ -144,7 +147,7 @@ class Spectrum:
         if len(on) > 1:
             a, b = z[on[:-1]], z[on[1:]]
             if (np.diff(d[on]) * np.abs(a * b) <= tol * (a * a + b * b)).any():
-                q, on = rotate(d, z, q, on, tol)
+                d, z, q, on = rotate(d, z, q, on, tol)
         if not len(on):
             return
         z = z[on]
@@ -179,9 +182,9 @@ class Spectrum:
         self.n = total
 
 
-def rotate(d: np.ndarray, z: np.ndarray, q: np.ndarray, on: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each two old values that meet, one loses its part of ``z`` (changed in place) by a rotation of the vectors."""
-    q = q.copy()
+def rotate(d: np.ndarray, z: np.ndarray, q: np.ndarray, on: np.ndarray, tol: float) -> tuple[np.ndarray, ...]:
+    """Of each two old values that meet, one loses its part of ``z`` by a rotation of the two vectors."""
+    d, z, q = d.copy(), z.copy(), q.copy()
     kept = [int(on[0])]
     for j in map(int, on[1:]):
         i = kept[-1]
@@ -189,11 +192,12 @@ def rotate(d: np.ndarray, z: np.ndarray, q: np.ndarray, on: np.ndarray, tol: flo
         c, s = z[j] / r, z[i] / r
         if (d[j] - d[i]) * abs(c * s) <= tol:
             q[:, i], q[:, j] = c * q[:, i] - s * q[:, j], s * q[:, i] + c * q[:, j]
+            d[i], d[j] = c * c * d[i] + s * s * d[j], s * s * d[i] + c * c * d[j]
             z[i], z[j] = 0.0, r
             kept[-1] = j
         else:
             kept.append(j)
-    return q, np.array(kept)
+    return d, z, q, np.array(kept)
 
 
 def usable(vectors: DataFrame) -> DataFrame:

@@ -108,7 +108,9 @@ def test_rank_one_updates():
             d = np.sort(10.0 ** rng.uniform(-spread, spread, k))
             z = rng.normal(size=k) * 10.0 ** rng.uniform(-spread, 0, k)
             z /= np.linalg.norm(z)
-            values, basis = whitening.eigen_update(d, z, 2.0)
+            found = whitening.Spectrum(2, np.zeros(k), d, np.eye(k))
+            found.update(z, 2.0)
+            values, basis = found.values, found.vectors
             whole = np.diag(d) + 2.0 * np.outer(z, z)
             most = np.linalg.norm(whole, 2)
             assert np.abs(basis.T @ basis - np.eye(k)).max() < 1e-13
