@@ -1,92 +1,114 @@
-"""Locating points in polygons with an equi-join on grid cells."""
+"""Locating points in polygons with an equi-join on grid cells.
+
+Sides of polygons are drawn into the cells that they pass, one row for a side and cell. Whether the
+corner of a cell is inside follows from the crossings left of it in its row of cells, by a running
+sum; cells between those with sides are inside or outside as a whole. A point is then compared with
+the sides of its own cell only: it is inside if the corner is and the way from there, up and then
+to the right, crosses an even number of sides, or if the corner is not and it crosses an odd number.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakejobs.functions.fields import as_col
-from lakejobs.operators.skew import BROADCAST_WEIGHT, join_one_per_key
+from lakejobs.operators.skew import BROADCAST_WEIGHT, is_small, join_one_per_key
+
+# In widths of a cell: sides so near to a cell are drawn into it too, which is harmless.
+NEAR = 1e-9
 
 
 def _cell(value: Column, size: float) -> Column:
     return F.floor(value / size)
 
 
-def _sides(rings: Column, size: float) -> Column:
-    """All sides of all rings, each with the cell columns and rows its box spans."""
+def _side_of(e: Column, x: Column, y: Column) -> Column:
+    """Above 0 where a point is on the left of a side, from its first end to the second; 0 on its line."""
+    return (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
 
-    def side(a: Column, b: Column) -> Column:
-        return F.struct(
-            a["x"].alias("x1"),
-            a["y"].alias("y1"),
-            b["x"].alias("x2"),
-            b["y"].alias("y2"),
-            _cell(F.least(a["x"], b["x"]), size).alias("column_from"),
-            _cell(F.greatest(a["x"], b["x"]), size).alias("column_to"),
-            _cell(F.least(a["y"], b["y"]), size).alias("row_from"),
-            _cell(F.greatest(a["y"], b["y"]), size).alias("row_to"),
-        )
 
-    def ring_sides(ring: Column) -> Column:
-        return F.transform(ring, lambda p, i: side(p, F.get(ring, (i + 1) % F.size(ring))))
+def _left_of(e: Column, x: Column, y: Column) -> Column:
+    """Whether a corner is on the left of a side; on its line, a place a bit higher and much less to the right counts."""
+    side, dx, dy = _side_of(e, x, y), e["x2"] - e["x1"], e["y2"] - e["y1"]
+    return (side > 0) | (side == 0) & ((dx > 0) | (dx == 0) & (dy < 0))
 
-    return F.flatten(F.transform(rings, ring_sides))
 
+def _spans_y(e: Column, y: Column) -> Column:
+    return (e["y1"] > y) != (e["y2"] > y)
 
-def polygon_cells(polygons: DataFrame, size: float, id_col: str) -> DataFrame:
-    """(cx, cy, ord, id, edges): the cells that a polygon meets, and the sides that matter there.
 
-    A point is tested by a ray to the right, so a cell keeps the sides that reach its row and
-    do not end left of it. A cell that no side passes is all inside or all outside: inside it
-    gets an empty list, outside it is dropped.
-    """
+def _before_side(e: Column, x: Column, y: Column) -> Column:
+    """Whether a side that spans the height of a corner crosses it right of the corner."""
+    return _left_of(e, x, y) == (e["y2"] > e["y1"])
 
-    def lowest(field: str) -> Column:
-        return F.array_min(F.transform("sides", lambda s: s[field]))
 
-    def highest(field: str) -> Column:
-        return F.array_max(F.transform("sides", lambda s: s[field]))
+def polygon_sides(polygons: DataFrame, id_col: str) -> DataFrame:
+    """(ord, id, side): one row for each side of each ring; those with an end that is no number are left out."""
 
-    sides = polygons.select("ord", F.col(id_col).alias("id"), _sides(F.col("rings"), size).alias("sides"))
-    rows = sides.where(F.size("sides") > 0).select(
-        "ord",
-        "id",
-        "sides",
-        F.sequence(lowest("column_from"), highest("column_to")).alias("columns"),
-        F.explode(F.sequence(lowest("row_from"), highest("row_to"))).alias("cy"),
-    )
-    in_row = rows.withColumn("sides", F.filter("sides", lambda s: F.col("cy").between(s["row_from"], s["row_to"])))
-    cells = in_row.select("ord", "id", "sides", "cy", F.explode("columns").alias("cx"))
-    cells = cells.withColumn("sides", F.filter("sides", lambda s: s["column_to"] >= F.col("cx")))
-    passed = F.exists("sides", lambda s: s["column_from"] <= F.col("cx"))
-    centre_inside = covers(F.col("sides"), (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size)
-    edges = F.transform(
-        "sides", lambda s: F.struct(s["x1"].alias("x1"), s["y1"].alias("y1"), s["x2"].alias("x2"), s["y2"].alias("y2"))
-    )
-    kept = cells.where(passed | centre_inside)
-    return kept.select("cx", "cy", "ord", "id", F.when(passed, edges).otherwise(F.array()).alias("edges"))
+    def ring_sides(ring: Column) -> Column:
+        return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, (i + 1) % F.size(ring)).alias("b")))
 
+    rings = polygons.select("ord", F.col(id_col).alias("id"), F.explode("rings").alias("ring"))
+    ends = rings.select("ord", "id", F.posexplode(ring_sides(F.col("ring"))).alias("at", "s"))
+    names = {"x1": "s.a.x", "y1": "s.a.y", "x2": "s.b.x", "y2": "s.b.y"}
+    known = [F.col(c).isNotNull() & ~F.isnan(c) for c in names.values()]
+    for condition in known:
+        ends = ends.where(condition)
+    return ends.select("ord", "id", F.struct(*[F.col(c).alias(n) for n, c in names.items()]).alias("side"))
 
-def covers(edges: Column, x: Column, y: Column) -> Column:
-    """Whether a point is inside by even-odd over all sides, or on one of them."""
 
-    def side_of(e: Column) -> Column:
-        return (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
+def polygon_cells(polygons: DataFrame, size: float, id_col: str) -> DataFrame:
+    """(cx, cy, ord, id, inside, side): a row for each side of a cell, or one without a side for a cell all inside.
 
-    def on_side(e: Column) -> Column:
-        return (
-            (side_of(e) == 0)
-            & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        )
+    ``inside`` is that of the lower left corner. No row holds more of a polygon than one side.
+    """
+    e = F.col("side")
+
+    def reach(low: Column, high: Column) -> Column:
+        return F.sequence(F.floor(low / size - NEAR), F.floor(high / size + NEAR))
+
+    rows = polygon_sides(polygons, id_col).withColumn("cy", F.explode(reach(F.least("side.y1", "side.y2"), F.greatest("side.y1", "side.y2"))))
+    flat = e["y1"] == e["y2"]
+
+    def x_at(y: Column) -> Column:
+        """The side's x at a height in its row, kept between its ends."""
+        x = e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.when(~flat, e["y2"] - e["y1"])
+        return F.greatest(F.least(x, F.greatest(e["x1"], e["x2"])), F.least(e["x1"], e["x2"]))
+
+    floor, ceiling = F.col("cy") * size, (F.col("cy") + 1) * size
+    one, two = (F.when(flat, e[end]).otherwise(x_at(F.greatest(F.least(e["y1"], y), F.least(F.greatest(e["y1"], e["y2"]), y)))) for end, y in (("x1", floor), ("x2", ceiling)))
+    # The last column whose corner is left of the crossing with the row's lower edge.
+    guess = F.floor(x_at(floor) / size)
+    column = F.when(_before_side(e, (guess + 1) * size, floor), guess + 1).when(_before_side(e, guess * size, floor), guess).otherwise(guess - 1)
+    rows = rows.withColumns({"crossed": F.when(_spans_y(e, floor), column), "one": one, "two": two})
+    columns = F.sequence(
+        F.least(F.floor(F.least("one", "two") / size - NEAR), "crossed"), F.greatest(F.floor(F.greatest("one", "two") / size + NEAR), "crossed")
+    )
+    drawn = rows.select("ord", "id", "side", "cy", F.explode(columns).alias("cx"), "crossed")
+    drawn = drawn.withColumn("hit", F.coalesce(F.col("crossed") == F.col("cx"), F.lit(False)).cast("int"))
+    row = Window.partitionBy("ord", "id", "cy").orderBy("cx")
+    # A closed line crosses the row's edge an even number of times, so those on the left tell what those on the right do.
+    before = F.coalesce(F.sum("hit").over(row.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
+    cells = drawn.withColumns({"inside": before, "last": F.lag("cx").over(row)})
+    gap = cells.where(F.col("inside") & (F.col("last") < F.col("cx") - 1))
+    whole = gap.select(F.explode(F.sequence(F.col("last") + 1, F.col("cx") - 1)).alias("cx"), "cy", "ord", "id", F.lit(True).alias("inside"))
+    empty = whole.withColumn("side", F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>"))
+    return cells.select("cx", "cy", "ord", "id", "inside", "side").unionByName(empty)
+
+
+def _on(e: Column, x: Column, y: Column) -> Column:
+    """Whether a point is on a side."""
+    near = x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+    return (_side_of(e, x, y) == 0) & near & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
 
-    def crosses(e: Column) -> Column:
-        upward = e["y2"] > e["y1"]
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        return spans & F.when(upward, side_of(e) > 0).otherwise(side_of(e) < 0)
 
-    return F.exists(edges, on_side) | (F.size(F.filter(edges, crosses)) % 2 == 1)
+def _crossings(e: Column, left: Column, floor: Column, x: Column, y: Column) -> Column:
+    """How often a side crosses the way from a cell's corner up to the point's height, and from there to the point."""
+    up = ((e["x1"] > left) != (e["x2"] > left)) & (_left_of(e, left, floor) != _left_of(e, left, y))
+    right_of_point = (_side_of(e, x, y) > 0) == (e["y2"] > e["y1"])
+    along = _spans_y(e, y) & (_before_side(e, left, y) != right_of_point)
+    return up.cast("int") + along.cast("int")
 
 
 def locate_first(
@@ -118,15 +140,14 @@ def locate_in_cells(
 ) -> DataFrame:
     """``locate_first`` with the ``polygon_cells`` at hand, such as a table written once.
 
-    When the cells and their sides are counted to be at most ``broadcast_weight`` they are
-    broadcast, and points are not shuffled at all. Larger ones are joined to the distinct
+    When the sides in cells are counted to be at most ``broadcast_weight``, and their ids have few bytes,
+    they are broadcast, and points are not shuffled at all. Larger ones are joined to the distinct
     coordinates by a shuffle on cells.
     """
     # A coordinate that is no number is like a missing one in both forms.
     known = {"_x": as_col(lon).cast("double"), "_y": as_col(lat).cast("double")}
     rows = points.withColumns({name: F.when(~F.isnan(c), c) for name, c in known.items()})
-    weight = cells.agg(F.coalesce(F.sum(F.size("edges") + 1), F.lit(0)).alias("w")).first()["w"]
-    if weight <= broadcast_weight:
+    if is_small(cells, limit=broadcast_weight):
         located = _locate_by_broadcast(rows, cells, id_col, cell_size)
     else:
         located = _locate_by_shuffle(rows, cells, id_col, cell_size, broadcast_weight)
@@ -137,31 +158,36 @@ def _with_cell(rows: DataFrame, size: float) -> DataFrame:
     return rows.withColumns({"_cx": _cell(F.col("_x"), size), "_cy": _cell(F.col("_y"), size)})
 
 
-def _in_cell(edges: Column) -> Column:
-    """Whether the point (_x, _y) of a cell is inside the polygon that left these sides there."""
-    return (F.size(edges) == 0) | covers(edges, F.col("_x"), F.col("_y"))
-
-
 def _locate_by_broadcast(rows: DataFrame, cells: DataFrame, id_col: str, size: float) -> DataFrame:
     """For cells of proven small size: one row per cell with its polygons in order."""
-    polygon = F.struct("ord", "id", "edges")
-    per_cell = cells.groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy")).agg(
-        F.sort_array(F.collect_list(polygon)).alias("_polygons")
-    )
+    of_polygon = cells.groupBy("cx", "cy", "ord", "id").agg(F.max("inside").alias("inside"), F.collect_list("side").alias("sides"))
+    polygon = F.struct("ord", "id", "inside", "sides")
+    per_cell = of_polygon.groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy")).agg(F.sort_array(F.collect_list(polygon)).alias("_polygons"))
     joined = _with_cell(rows, size).join(F.broadcast(per_cell), ["_cx", "_cy"], "left")
-    holding = F.filter("_polygons", lambda p: _in_cell(p["edges"]))
-    return joined.withColumn(id_col, F.get(holding, 0)["id"]).drop("_cx", "_cy", "_polygons")
+    x, y, left, floor = F.col("_x"), F.col("_y"), F.col("_cx") * size, F.col("_cy") * size
+
+    def holds(p: Column) -> Column:
+        crossed = F.aggregate(p["sides"], F.lit(0), lambda n, e: n + _crossings(e, left, floor, x, y))
+        return F.exists(p["sides"], lambda e: _on(e, x, y)) | (p["inside"] != (crossed % 2 == 1))
+
+    return joined.withColumn(id_col, F.get(F.filter("_polygons", holds), 0)["id"]).drop("_cx", "_cy", "_polygons")
 
 
 def _locate_by_shuffle(rows: DataFrame, cells: DataFrame, id_col: str, size: float, limit: int) -> DataFrame:
     """For cells of any size: every distinct coordinate is looked up once.
 
-    The join on cells is shuffled, and adaptive execution splits its hot cells. The coordinates
-    found, one row each, are joined back by broadcast or with the hot ones apart.
+    The join on cells is shuffled, and adaptive execution splits its hot cells; a place and polygon
+    are put together by counts of crossings, never by a list of sides. The coordinates found, one row
+    each, are joined back by broadcast or with the hot ones apart.
     """
     places = _with_cell(rows.select("_x", "_y").dropna().distinct(), size)
-    keyed = cells.withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
-    hits = places.join(keyed, ["_cx", "_cy"]).where(_in_cell(F.col("edges")))
+    met = places.join(cells.withColumnsRenamed({"cx": "_cx", "cy": "_cy"}), ["_cx", "_cy"])
+    x, y, e = F.col("_x"), F.col("_y"), F.col("side")
+    crossed = F.coalesce(_crossings(e, F.col("_cx") * size, F.col("_cy") * size, x, y), F.lit(0))
+    tested = met.groupBy("_x", "_y", "ord", "id").agg(
+        F.max("inside").alias("inside"), F.sum(crossed).alias("crossed"), F.max(F.coalesce(_on(e, x, y), F.lit(False))).alias("on")
+    )
+    hits = tested.where(F.col("on") | (F.col("inside") != (F.col("crossed") % 2 == 1)))
     first = hits.groupBy("_x", "_y").agg(F.min_by("id", F.struct("ord", "id")).alias(id_col))
     found = first.select(F.struct("_x", "_y").alias("_found"), id_col)
     placed = rows.withColumn("_place", F.struct("_x", "_y"))

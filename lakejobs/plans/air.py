@@ -78,6 +78,12 @@ def points_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate_in_cells(places, _cells(spark, sf_dir), "lon", "lat", "geoid", stored.CELL)
 
 
+def points_in_regions_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lookup in the form for regions too large to be broadcast."""
+    places = views.order_places(spark, sf_dir)
+    return locate_in_cells(places, _cells(spark, sf_dir), "lon", "lat", "geoid", stored.CELL, broadcast_weight=0)
+
+
 def region_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     averages = region_averages(views.readings(spark, sf_dir), _cells(spark, sf_dir), stored.CELL, "event_id")
     return averages.withColumn("avg_value", F.round("avg_value", 6))
@@ -94,6 +100,7 @@ QUERIES = {
     "latest_distinct": latest_distinct,
     "latest_json_day": latest_json_day,
     "points_in_regions": points_in_regions,
+    "points_in_regions_shuffled": points_in_regions_shuffled,
     "region_avg": region_avg,
     "region_avg_attributes": region_avg_attributes,
 }
@@ -119,6 +126,13 @@ averages AS (
 )
 """
 
+_IN_REGIONS_SQL = f"""
+WITH {views.ORDER_PLACES_SQL}, {views.REGIONS_SQL},
+place AS (SELECT DISTINCT lon, lat FROM order_places),
+{views.LOCATED_SQL}
+SELECT o_orderkey, lon, lat, geoid FROM order_places LEFT JOIN located USING (lon, lat)
+"""
+
 _AREAS = ", ".join(f"'{a}'" for a in views.AREAS)
 _EXCLUDED = ", ".join(f"'{a}'" for a in K.EXCLUDED_STATES)
 
@@ -134,12 +148,8 @@ SQL = {
         readings AS (SELECT * FROM all_readings WHERE CAST(ts AS DATE) = DATE '{JSON_DAY}'),
         {_LATEST_SQL} SELECT * FROM latest
     """,
-    "points_in_regions": f"""
-        WITH {views.ORDER_PLACES_SQL}, {views.REGIONS_SQL},
-        place AS (SELECT DISTINCT lon, lat FROM order_places),
-        {views.LOCATED_SQL}
-        SELECT o_orderkey, lon, lat, geoid FROM order_places LEFT JOIN located USING (lon, lat)
-    """,
+    "points_in_regions": _IN_REGIONS_SQL,
+    "points_in_regions_shuffled": _IN_REGIONS_SQL,
     "region_avg": f"{_REGION_AVG_SQL} SELECT * FROM averages",
     "region_avg_attributes": f"""
         {_REGION_AVG_SQL}

@@ -1,5 +1,6 @@
 """Both ways of locating points against a plain even-odd test over all polygons."""
 
+import math
 import random
 
 import pytest
@@ -73,11 +74,27 @@ def test_first_polygon_that_holds_a_point(spark, seed, size, weight):
 
 def test_a_uniform_cell_keeps_no_sides(spark):
     big = as_frame(spark, [(0, "big", [[(0, 0), (10, 0), (10, 10), (0, 10)], [(20, 20), (21, 20), (21, 21), (20, 21)]])])
-    cells = {(r["cx"], r["cy"]): len(r["edges"]) for r in spatial.polygon_cells(big, 1.0, "id").collect()}
-    assert cells[(5, 5)] == 0 and cells[(0, 5)] > 0
+    cells = {(r["cx"], r["cy"]): r for r in spatial.polygon_cells(big, 1.0, "id").collect()}
+    assert cells[(5, 5)]["side"] is None and cells[(5, 5)]["inside"] and cells[(0, 5)]["side"] is not None
     assert (15, 5) not in cells and (15, 15) not in cells
 
 
+def test_a_row_holds_one_side(spark):
+    """A polygon of very many sides: cells know only the sides that pass them."""
+    rnd = random.Random(4)
+    ring = [(20 * math.cos(a) * r, 20 * math.sin(a) * r) for a, r in ((2 * math.pi * k / 4000, rnd.uniform(0.7, 1.0)) for k in range(4000))]
+    polygons = [(0, "star", [ring]), (1, "back", [[(-30, -30), (30, -30), (30, 30), (-30, 30)]])]
+    cells = spatial.polygon_cells(as_frame(spark, polygons), 0.5, "id").where("id = 'star'")
+    per_cell = cells.where("side IS NOT NULL").groupBy("cx", "cy").count().agg(F.max("count")).first()[0]
+    assert per_cell < 200 and cells.where("side IS NULL").count() > 1000
+    points = [(rnd.uniform(-25, 25), rnd.uniform(-25, 25)) for _ in range(500)]
+    df = spark.createDataFrame([(n, x, y) for n, (x, y) in enumerate(points)], "n int, lon double, lat double")
+    want = {n: first_polygon(polygons, x, y) for n, (x, y) in enumerate(points)}
+    for weight in (spatial.BROADCAST_WEIGHT, 0):
+        got = spatial.locate_first(df, as_frame(spark, polygons), "lon", "lat", "id", 0.5, weight).collect()
+        assert {r["n"]: r["id"] for r in got} == want
+
+
 def test_points_are_not_shuffled_when_polygons_are_small(spark):
     df = spark.range(1000).select((F.col("id") / 100).alias("lon"), (F.col("id") / 200).alias("lat"))
     located = spatial.locate_first(df, as_frame(spark, POLYGONS), "lon", "lat", "id", 1.0)
