@@ -24,6 +24,12 @@ REVIEW_SCHEMA = """
     verified_purchase string, review_headline string, review_body string,
     review_date date
 """
+# Columns of the range-split tables, and of the sorted and bucketed ones, in the order they are listed.
+RANGED_COLUMNS = ("marketplace", "customer_id", "review_id", "product_id", "product_parent", "star_rating")
+LAYOUT_COLUMNS = (
+    "review_id", "product_id", "customer_id", "product_parent", "star_rating", "helpful_votes",
+    "total_votes", "verified_purchase", "marketplace", "product_category", "review_date",
+)
 KEYWORDS = ("baby", "infant")
 TITLE_PREFIX = 45
 RATING_DIGITS = 3

@@ -18,7 +18,7 @@ from lakejobs.operators.layout import file_stats
 from lakejobs.operators.readings import attach_attributes
 from lakejobs.operators.recommend import fit_als, hash_split, rmse, with_dense_id
 from lakejobs.operators.reports import row_count, top_rated
-from lakejobs.operators.skew import parts_for
+from lakejobs.operators.skew import parts_by_bytes, parts_for
 from lakejobs.operators.spatial import polygon_cells
 from lakejobs.plans.air import region_averages
 from lakejobs.plans.grids import weather_map
@@ -118,11 +118,11 @@ def layout(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.kind == "folders":
         write_partitioned(rows, args.output, args.key.split(","))
     elif args.kind == "buckets":
-        write_bucketed(rows, args.table, args.key, args.parts or parts_for(rows, 30), args.output)
+        write_bucketed(rows, args.table, args.key, args.parts or parts_by_bytes(rows, 30), args.output)
     elif args.kind == "sorted":
         write_sorted(rows, args.output, args.key, args.parts)
     else:
-        write_ranged(rows, args.output, args.key, args.parts or parts_for(rows, 30))
+        write_ranged(rows, args.output, args.key, args.parts or parts_by_bytes(rows, 30))
 
 
 def sql(spark: SparkSession, args: argparse.Namespace) -> DataFrame:

@@ -25,17 +25,19 @@ def in_box(
 
     With ``lon_360`` the longitudes of both the data and the box count 0..360; both are
     turned to -180..180 first, and a box that then crosses the date line is honoured. A box
-    360 wide or wider holds every longitude.
+    360 wide or wider holds every longitude. A coordinate that is NULL or NaN is in no box.
     """
     left, bottom, right, top = bbox
-    x = as_col(lon)
+    x, y = as_col(lon), as_col(lat)
+    # NaN compares as the largest value, so it would be right of any left bound.
+    df = df.where(~F.isnan(x.cast("double")) & ~F.isnan(y.cast("double")))
     if right - left >= 360:
-        return df.where(as_col(lat).between(bottom, top) & x.isNotNull())
+        return df.where(y.between(bottom, top) & x.isNotNull())
     if lon_360:
         x = longitude_180(x)
         left, right = (v - 360 if v > 180 else v for v in (left, right))
     inside = x.between(left, right) if left <= right else (x >= left) | (x <= right)
-    return df.where(as_col(lat).between(bottom, top) & inside)
+    return df.where(y.between(bottom, top) & inside)
 
 
 def not_in(col: ColumnOrName, values: list | tuple) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakejobs.sources.files import with_path
@@ -60,9 +60,27 @@ def key_ranges(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def keep_ranges(spark: SparkSession, path: str, key: str) -> None:
+    """Writes the ``key_ranges`` of a table just written beside it, so that later lookups read no data."""
+    key_ranges(spark.read.parquet(path), key).write.mode("overwrite").parquet(_kept(path))
+
+
+def kept_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """The ranges that ``keep_ranges`` wrote beside a table."""
+    return spark.read.parquet(_kept(path))
+
+
+def _kept(path: str) -> str:
+    return f"{path.rstrip('/')}_ranges"
+
+
 def files_touched(df: DataFrame, key: str, values: list) -> DataFrame:
     """For each value the number and bytes of the files it can be in, and those of all files."""
-    ranges = key_ranges(df, key)
+    return touched_in(key_ranges(df, key), key, values)
+
+
+def touched_in(ranges: DataFrame, key: str, values: list) -> DataFrame:
+    """``files_touched`` from ``key_ranges``, such as kept ones."""
     aggregates = [F.count("*").alias("files"), F.sum("bytes").alias("bytes")]
     entries = []
     for i, value in enumerate(values):
@@ -79,9 +97,9 @@ def files_touched(df: DataFrame, key: str, values: list) -> DataFrame:
     return touched.select(key, "files_touched", "bytes_touched", "files", "bytes")
 
 
-def compare_layouts(layouts: dict[str, DataFrame], key: str, values: list) -> DataFrame:
-    """``files_touched`` for several layouts of the same rows."""
-    named = [files_touched(df, key, values).withColumn("layout", F.lit(name)) for name, df in layouts.items()]
+def compare_layouts(ranges: dict[str, DataFrame], key: str, values: list) -> DataFrame:
+    """``touched_in`` for the ranges of several layouts of the same rows."""
+    named = [touched_in(df, key, values).withColumn("layout", F.lit(name)) for name, df in ranges.items()]
     return reduce(DataFrame.unionByName, named)
 
 

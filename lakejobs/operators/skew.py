@@ -15,6 +15,9 @@ HOT_SHARE = 1000
 # Rows that make one output file or sort partition.
 ROWS_PER_PART = 5_000_000
 
+# Bytes, by ``row_bytes``, that make one file, range or bucket.
+BYTES_PER_PART = 256 * 1024 * 1024
+
 # A side of a join is broadcast only when it was counted to have no more rows and bytes than this.
 BROADCAST_WEIGHT = 2_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
@@ -78,6 +81,21 @@ def row_bytes(df: DataFrame) -> Column:
     return size
 
 
+def parts_by_bytes(df: DataFrame, least: int = 1, bytes_per_part: int = BYTES_PER_PART) -> int:
+    """How many parts to split the rows into, by their bytes; at least ``least``."""
+    size = df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")).first()["bytes"]
+    return max(least, -(-size // bytes_per_part))
+
+
+def row_place(df: DataFrame) -> Column:
+    """A hash that tells rows apart: of their place where ``df`` scans Parquet, else of all they hold."""
+    try:
+        df.select("_metadata.row_index")
+        return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def is_small(df: DataFrame, weight: Column | None = None, limit: int = BROADCAST_WEIGHT, most: int = BROADCAST_BYTES) -> bool:
     """Whether the weight, by default the rows, is at most ``limit`` and the bytes at most ``most``; runs a job."""
     weight = F.count("*") if weight is None else F.sum(weight)

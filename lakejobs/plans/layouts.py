@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.operators.layout import column_stats, compare_layouts, file_counts, files_per_key
+from lakejobs.operators.layout import column_stats, compare_layouts, file_counts, files_per_key, kept_ranges
+from lakejobs import constants as K
 from lakejobs.operators.reports import row_count
-from lakejobs.operators.skew import ROWS_PER_PART, parts_for
+from lakejobs.operators.skew import BYTES_PER_PART, FIXED_BYTES, parts_by_bytes, row_bytes
 from lakejobs.plans import stored, views
 from lakejobs.sinks.files import SORTED_PARTS
 
 KEY = "42"
-STAT_COLUMNS = ["star_rating", "helpful_votes", "review_date", "review_year"]
+STAT_COLUMNS = ["star_rating", "helpful_votes", "total_votes", "review_date", "review_year"]
 
 
 def _layout_report(df: DataFrame, key: str, least: int) -> DataFrame:
     """Rows, keys, ordinary keys, and how many of those are whole in one file.
 
-    Ordinary keys hold no more than their share of one file; the others may be spread.
+    Ordinary keys hold no more bytes than their share of one file; the others may be spread.
     """
-    total = row_count(df).scalar()
-    ordinary = F.col("rows") * parts_for(df, least) <= total
-    return files_per_key(df, key).agg(
+    total = df.agg(F.sum(row_bytes(df))).scalar()
+    bytes_of = df.groupBy(key).agg(F.sum(row_bytes(df)).alias("bytes"))
+    ordinary = F.col("bytes") * parts_by_bytes(df, least) <= total
+    return files_per_key(df, key).join(bytes_of, key).agg(
         F.sum("rows").alias("n"),
         F.count("*").alias("keys"),
         F.count_if(ordinary).alias("ordinary_keys"),
@@ -41,7 +43,7 @@ def ranged_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucketed_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, those in a file of the bucket their key must have, and the buckets in use."""
     reviews = spark.table(stored.table_name(stored.by_bucket(spark, sf_dir)))
-    bucket = F.pmod(F.hash("review_id"), F.lit(parts_for(reviews, stored.BUCKETS)))
+    bucket = F.pmod(F.hash("review_id"), F.lit(parts_by_bytes(reviews, stored.BUCKETS)))
     per_file = file_counts(reviews.withColumn("bucket", bucket), "bucket")
     in_file = F.regexp_extract("path", r"_(\d{5})\.c", 1).cast("int")
     return per_file.agg(
@@ -65,16 +67,15 @@ def file_stats_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files_touched_by_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For one product: the rows found, and whether its key range points to a single file."""
-    layouts = {
-        "sorted": spark.read.parquet(stored.by_sort(spark, sf_dir)),
-        "ranged": spark.read.parquet(stored.by_range(spark, sf_dir)),
-        "bucketed": spark.read.parquet(stored.by_bucket(spark, sf_dir)),
-    }
-    touched = compare_layouts(layouts, "product_id", [KEY])
+    """For one product: the rows found, and whether its key range points to a single file.
+
+    The ranges are those kept when the layouts were written; only the count reads the products.
+    """
+    layouts = {"sorted": stored.by_sort(spark, sf_dir), "ranged": stored.by_range(spark, sf_dir), "bucketed": stored.by_bucket(spark, sf_dir)}
+    touched = compare_layouts({name: kept_ranges(spark, path) for name, path in layouts.items()}, "product_id", [KEY])
     found = F.lit(None)
-    for name, df in layouts.items():
-        rows = row_count(df, F.col("product_id") == KEY).scalar()
+    for name, path in layouts.items():
+        rows = row_count(spark.read.parquet(path), F.col("product_id") == KEY).scalar()
         found = F.when(F.col("layout") == name, rows).otherwise(found)
     return touched.select(
         "layout", "product_id", (F.col("files_touched") == 1).alias("one_file"), found.alias("n")
@@ -90,16 +91,36 @@ QUERIES = {
     "files_touched_by_layout": files_touched_by_layout,
 }
 
-def _layout_sql(least: int) -> str:
+def _bytes_sql(columns: tuple[str, ...]) -> str:
+    """``row_bytes`` of a review with these columns, in SQL."""
+    texts = [c for c in columns if stored._TYPES[c] == "string"]
+    return f"{FIXED_BYTES * (len(columns) + 1)} + " + " + ".join(f"strlen({c})" for c in texts)
+
+
+def _sized_sql(columns: tuple[str, ...], least: int) -> str:
+    """CTEs: reviews with their bytes, and into how many parts these make them."""
+    return f"""{views.REVIEWS_SQL},
+    sized AS (SELECT product_id, {_bytes_sql(columns)} AS size FROM reviews),
+    whole AS (SELECT CAST(sum(size) AS BIGINT) AS total, CAST(greatest({least}, ceil(sum(size) / {BYTES_PER_PART})) AS BIGINT) AS parts FROM sized)"""
+
+
+def _layout_sql(columns: tuple[str, ...], least: int) -> str:
     return f"""
-    WITH total AS (SELECT count(*) AS n, greatest({least}, ceil(count(*) / {ROWS_PER_PART})) AS parts FROM lineitem),
-    per_key AS (SELECT l_partkey, count(*) AS k FROM lineitem GROUP BY 1)
+    WITH {_sized_sql(columns, least)},
+    per_key AS (SELECT product_id, count(*) AS k, sum(size) AS bytes FROM sized GROUP BY 1)
     SELECT CAST(sum(k) AS BIGINT) AS n, count(*) AS keys,
-           count(*) FILTER (k * parts <= n) AS ordinary_keys, count(*) FILTER (k * parts <= n) AS whole_in_one_file
-    FROM per_key, total
+           count(*) FILTER (bytes * parts <= total) AS ordinary_keys, count(*) FILTER (bytes * parts <= total) AS whole_in_one_file
+    FROM per_key, whole
     """
 
 
+def _touched_sql(layout: str, columns: tuple[str, ...], least: int | None) -> str:
+    one = "false" if least is None else f"bytes * greatest({least}, ceil(total / {BYTES_PER_PART})) <= total"
+    return f"""SELECT '{layout}' AS layout, '{KEY}' AS product_id, n, {one} AS one_file FROM (
+        SELECT count(*) FILTER (product_id = '{KEY}') AS n, sum({_bytes_sql(columns)}) FILTER (product_id = '{KEY}') AS bytes,
+               sum({_bytes_sql(columns)}) AS total FROM reviews)"""
+
+
 def _stat_sql(column: str) -> str:
     return f"""SELECT '{column}' AS "column", count(*) AS n, CAST(min({column}) AS VARCHAR) AS low,
                CAST(max({column}) AS VARCHAR) AS high, count(*) - count({column}) AS nulls FROM reviews"""
@@ -108,21 +129,23 @@ def _stat_sql(column: str) -> str:
 _STATS_SQL = f"WITH {views.REVIEWS_SQL} " + " UNION ALL ".join(_stat_sql(c) for c in STAT_COLUMNS)
 
 SQL = {
-    "sorted_layout": _layout_sql(SORTED_PARTS),
-    "ranged_layout": _layout_sql(stored.RANGES),
+    "sorted_layout": _layout_sql(K.LAYOUT_COLUMNS, SORTED_PARTS),
+    "ranged_layout": _layout_sql(K.RANGED_COLUMNS, stored.RANGES),
     "bucketed_layout": f"""
-        SELECT count(*) AS n, count(*) AS in_right_file,
-               CAST(greatest({stored.BUCKETS}, ceil(count(*) / {ROWS_PER_PART})) AS BIGINT) AS buckets FROM lineitem
+        WITH {_sized_sql(K.LAYOUT_COLUMNS, stored.BUCKETS)}
+        SELECT count(*) AS n, count(*) AS in_right_file, max(parts) AS buckets FROM sized, whole
     """,
     "file_counts": f"""
         WITH {views.REVIEWS_SQL}
         SELECT product_category AS folder, count(*) AS n FROM reviews GROUP BY 1
     """,
     "file_stats": _STATS_SQL,
-    "files_touched_by_layout": f"""
-        WITH size AS (SELECT count(*) AS whole, count(*) FILTER (l_partkey = {KEY}) AS n FROM lineitem)
-        SELECT layout, '{KEY}' AS product_id, n,
-               least IS NOT NULL AND n * greatest(least, ceil(whole / {ROWS_PER_PART})) <= whole AS one_file
-        FROM size, (VALUES ('sorted', {SORTED_PARTS}), ('ranged', {stored.RANGES}), ('bucketed', NULL)) AS t(layout, least)
-    """,
+    "files_touched_by_layout": f"WITH {views.REVIEWS_SQL} "
+    + " UNION ALL ".join(
+        (
+            _touched_sql("sorted", K.LAYOUT_COLUMNS, SORTED_PARTS),
+            _touched_sql("ranged", K.RANGED_COLUMNS, stored.RANGES),
+            _touched_sql("bucketed", K.LAYOUT_COLUMNS, None),
+        )
+    ),
 }

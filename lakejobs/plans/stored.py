@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakejobs import constants as K
-from lakejobs.operators.skew import parts_for
+from lakejobs.operators.layout import keep_ranges
+from lakejobs.operators.skew import parts_by_bytes
 from lakejobs.operators.spatial import polygon_cells
 from lakejobs.plans import views
 from lakejobs.session import new_path
@@ -20,24 +21,8 @@ from lakejobs.sources.polygons import read_polygons
 CELL = 1.0  # cell width in degrees for lookups in regions
 BUCKETS = 30  # at least; large tables get more
 RANGES = 30  # at least; large tables get more
-RANGED_COLUMNS = ("marketplace", "customer_id", "review_id", "product_id", "product_parent", "star_rating")
-RANGED_SCHEMA = (
-    "marketplace string, customer_id string, review_id string, product_id string, "
-    "product_parent string, star_rating int"
-)
-LAYOUT_COLUMNS = (
-    "review_id",
-    "product_id",
-    "customer_id",
-    "product_parent",
-    "star_rating",
-    "helpful_votes",
-    "total_votes",
-    "verified_purchase",
-    "marketplace",
-    "product_category",
-    "review_date",
-)
+_TYPES = dict(field.split() for field in K.REVIEW_SCHEMA.split(","))
+RANGED_SCHEMA = ", ".join(f"{c} {_TYPES[c]}" for c in K.RANGED_COLUMNS)
 
 _written: dict[tuple[str, str, str], str] = {}
 
@@ -81,31 +66,34 @@ def by_market_year(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
+def _layout(spark: SparkSession, sf_dir: str, name: str, columns: tuple[str, ...], write: Callable[[DataFrame, str], None]) -> str:
+    """A layout of the reviews, with the ranges of product ids of its files beside it."""
+
+    def lay_out(path: str) -> None:
+        write(stored_reviews(spark, sf_dir).select(*columns), path)
+        keep_ranges(spark, path, "product_id")
+
+    return once(spark, sf_dir, name, lay_out)
+
+
 def by_sort(spark: SparkSession, sf_dir: str) -> str:
-    return once(
-        spark,
-        sf_dir,
-        "reviews_sorted",
-        lambda path: write_sorted(stored_reviews(spark, sf_dir).select(*LAYOUT_COLUMNS), path, "product_id"),
-    )
+    return _layout(spark, sf_dir, "reviews_sorted", K.LAYOUT_COLUMNS, lambda rows, path: write_sorted(rows, path, "product_id"))
 
 
 def by_bucket(spark: SparkSession, sf_dir: str) -> str:
     """The path of the bucketed table; its catalog name is ``table_name`` of it."""
 
-    def write(path: str) -> None:
-        reviews = stored_reviews(spark, sf_dir).select(*LAYOUT_COLUMNS)
-        write_bucketed(reviews, table_name(path), "review_id", parts_for(reviews, BUCKETS), path)
+    def write(rows: DataFrame, path: str) -> None:
+        write_bucketed(rows, table_name(path), "review_id", parts_by_bytes(rows, BUCKETS), path)
 
-    return once(spark, sf_dir, "reviews_bucketed", write)
+    return _layout(spark, sf_dir, "reviews_bucketed", K.LAYOUT_COLUMNS, write)
 
 
 def by_range(spark: SparkSession, sf_dir: str) -> str:
-    def write(path: str) -> None:
-        reviews = stored_reviews(spark, sf_dir).select(*RANGED_COLUMNS)
-        write_ranged(reviews, path, "product_id", parts_for(reviews, RANGES))
+    def write(rows: DataFrame, path: str) -> None:
+        write_ranged(rows, path, "product_id", parts_by_bytes(rows, RANGES))
 
-    return once(spark, sf_dir, "reviews_ranged", write)
+    return _layout(spark, sf_dir, "reviews_ranged", K.RANGED_COLUMNS, write)
 
 
 def names_by_day(spark: SparkSession, sf_dir: str) -> str:

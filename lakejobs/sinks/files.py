@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.operators.skew import parts_for, salted, stored_rows
+from lakejobs.operators.ranges import with_range
+from lakejobs.operators.skew import BYTES_PER_PART
 
 # Fewest parts of a global sort; large tables get more.
 SORTED_PARTS = 8
@@ -62,22 +63,25 @@ def write_partitioned(df: DataFrame, out: str, columns: list[str], compression:
 
 
 def write_sorted(df: DataFrame, out: str, key: str, parts: int | None = None, compression: str = "snappy") -> None:
-    """Overwrites ``out`` with Parquet files sorted by ``key`` as a whole.
+    """Overwrites ``out`` with Parquet files sorted by ``key`` as a whole, each of about the same bytes.
 
-    A key is in one file, unless it holds more than 1/``parts`` of all rows: such a key is
-    spread over several neighbouring files. ``parts`` defaults to a number sized by the rows.
+    A key is in one file, unless it holds more than 1/``parts`` of all bytes: such a key is
+    spread over several neighbouring files. ``parts`` defaults to a number sized by the bytes.
     """
-    rows = stored_rows(df)
-    write_ranged(rows, out, key, parts or parts_for(rows, SORTED_PARTS), compression)
+    _write_ranges(df, out, key, parts, compression)
 
 
 def write_ranged(df: DataFrame, out: str, key: str, n: int, compression: str = "gzip") -> None:
-    """Overwrites ``out`` with ``n`` Parquet files, each holding its own range of ``key``.
+    """Overwrites ``out`` with up to ``n`` Parquet files of about the same bytes, each with its own range of ``key``.
 
     Rows are sorted inside a file too, so row groups can be skipped. A key with more than
-    1/``n`` of all rows is spread over several neighbouring files. Rows that are not a scan of
-    Parquet files are stored first, because they are passed over three times.
+    1/``n`` of all bytes is spread over several neighbouring files. The rows are passed over twice, for
+    the bytes of their keys and to be written; they are not copied.
     """
-    spread = salted(stored_rows(df), key, n, "_salt")
-    ranged = spread.repartitionByRange(n, key, "_salt").sortWithinPartitions(key, "_salt").drop("_salt")
-    ranged.write.mode("overwrite").parquet(out, compression=compression)
+    _write_ranges(df, out, key, n, compression)
+
+
+def _write_ranges(df: DataFrame, out: str, key: str, n: int | None, compression: str) -> None:
+    ranged, n = with_range(df, key, n, "_range", SORTED_PARTS, BYTES_PER_PART)
+    rows = ranged.repartitionById(n, "_range").sortWithinPartitions(key).drop("_range")
+    rows.write.mode("overwrite").parquet(out, compression=compression)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
@@ -37,13 +37,13 @@ def read_escaped(
     """Text tables without quotes, in which a backslash escapes a separator.
 
     Every line is a row. Fields are cast to ``schema``; one that does not fit, or is missing
-    from a short line, is NULL. ``skip_header`` drops lines that hold the column names, in letters
-    of either case.
+    from a short line, is NULL. ``skip_header`` drops the first line of a file if it holds the column
+    names, in letters of either case; the same line further down is a row.
     """
     fields = as_struct(spark, schema).fields
     lines = spark.read.option("lineSep", "\n").text(path)
     if skip_header:
-        lines = lines.where(F.lower("value") != sep.join(f.name for f in fields).lower())
+        lines = without_header(lines, sep.join(f.name for f in fields))
     # A mark and a letter stand for the mark itself, an escaped backslash and an escaped separator.
     mark = "\u0001" if sep != "\u0001" else "\u0002"
     stands_for = ((mark, mark + "a"), ("\\\\", mark + "b"), ("\\" + sep, mark + "c"))
@@ -62,6 +62,25 @@ def read_escaped(
     return lines.select(*[field(i, f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 
+def without_header(lines: DataFrame, header: str) -> DataFrame:
+    """The lines of a text scan without the first one of each file where that is the ``header``, in either case.
+
+    Only lines that look like the header need a place. They are counted by file and text, beside
+    the place of the first line in the file's first block, and come back as often as they were
+    found, the first line of the file left out. All other lines pass by as they are read.
+    """
+    alike = F.when(F.lower("value") == header.lower(), F.col("value"))
+    # Inside a block the numbers of rows rise, whatever the task; only blocks at the start of a file matter.
+    place = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    told = lines.select(alike.alias("value"), F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    counted = told.groupBy("file", "value").agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    first = F.min("place").over(Window.partitionBy("file"))
+    headers = counted.withColumn("first", F.coalesce(F.col("place") == first, F.lit(False))).where(F.col("value").isNotNull())
+    rows = headers.select("value", (F.col("n") - F.col("first").cast("int")).alias("n")).where("n > 0")
+    repeated = rows.select("value", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("value")
+    return lines.where(F.lower("value") != header.lower()).unionByName(repeated)
+
+
 def as_struct(spark: SparkSession, schema: str | StructType) -> StructType:
     return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
