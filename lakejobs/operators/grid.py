@@ -6,6 +6,8 @@ exploded into cells.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,38 +32,91 @@ def nth_step(df: DataFrame, k: int, time: str = "time", keys: list[str] | None =
     return df.join(broadcast_if_small(times), [*keys, time], "inner")
 
 
-def explode_grid(df: DataFrame, values: str, nlon: int, name: str = "value") -> DataFrame:
-    """One row per cell with its latitude and longitude index, in place of the array."""
+# Of a chunk: the cell it begins with, and how many cells are in a row of it.
+ORIGIN = ("lat_0", "lon_0", "width")
+
+
+def cut_chunks(df: DataFrame, values: str, nlon: int, height: Column | int, width: Column | int) -> DataFrame:
+    """One row per chunk of ``height`` by ``width`` cells, smaller at the far edges, with the columns of ``ORIGIN``."""
     kept = [c for c in df.columns if c != values]
-    cells = df.select(*kept, F.posexplode(values).alias("_pos", name))
+    high, wide = (F.lit(v) if isinstance(v, int) else v for v in (height, width))
+    rows = F.floor(F.size(values) / nlon).cast("int")
+    tall = df.select(*kept, values, high.alias("_high"), wide.alias("_wide"), rows.alias("_rows")).where("_rows > 0")
+    tall = tall.withColumn("lat_0", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1, F.col("_high"))))
+    chunks = tall.withColumn("lon_0", F.explode(F.sequence(F.lit(0), F.lit(nlon - 1), F.col("_wide"))))
+    chunks = chunks.withColumn("width", F.least("_wide", F.lit(nlon) - F.col("lon_0")))
+    last = F.least(F.col("lat_0") + F.col("_high"), "_rows") - 1
+    lines = F.transform(F.sequence("lat_0", last), lambda i: F.slice(values, i * nlon + F.col("lon_0") + 1, F.col("width")))
+    return chunks.select(*kept, "lat_0", "lon_0", "width", F.flatten(lines).alias(values))
+
+
+def explode_chunks(df: DataFrame, values: str, name: str = "value") -> DataFrame:
+    """One row per cell of chunks: the chunk's first cell plus the place in it."""
+    kept = [c for c in df.columns if c not in (values, *ORIGIN)]
+    cells = df.select(*kept, *ORIGIN, F.posexplode(values).alias("_pos", name))
     return cells.select(
         *kept,
-        F.floor(F.col("_pos") / nlon).cast("int").alias("lat_i"),
-        (F.col("_pos") % nlon).cast("int").alias("lon_i"),
+        (F.col("lat_0") + F.floor(F.col("_pos") / F.col("width"))).cast("int").alias("lat_i"),
+        (F.col("lon_0") + F.col("_pos") % F.col("width")).cast("int").alias("lon_i"),
         name,
     )
 
 
+def explode_grid(df: DataFrame, values: str, nlon: int, name: str = "value") -> DataFrame:
+    """One row per cell with its latitude and longitude index, in place of the array."""
+    whole = df.withColumns({"lat_0": F.lit(0), "lon_0": F.lit(0), "width": F.lit(nlon)})
+    return explode_chunks(whole, values, name)
+
+
 def align(df: DataFrame, measures: dict[str, str], values: str, nlon: int, time: str = "time") -> DataFrame:
     """One row per time and cell with a column per measure, where all measures have the cell.
 
     ``measures`` maps measure names to output columns. The arrays of a time step meet in one
     shuffle of array rows, rather than in joins of cells. Two arrays for one time and measure are
-    an error: the pieces of a grid that is cut up must be told apart by ``time`` first.
+    an error; a grid that is cut up goes to ``align_chunks``.
     """
     lists = df.groupBy(time).pivot("measure", list(measures)).agg(F.collect_list(values))
+    steps = lists.select(time, *[_only(m) for m in measures])
+    for m in measures:
+        steps = steps.where(F.col(f"`{m}`").isNotNull())
+    return _lined_up(steps.withColumns({"lat_0": F.lit(0), "lon_0": F.lit(0), "width": F.lit(nlon)}), measures, time)
+
+
+def align_chunks(df: DataFrame, measures: dict[str, str], values: str, time: str = "time") -> DataFrame:
+    """``align`` for grids in chunks, with the columns of ``ORIGIN``.
+
+    Chunks that all measures have cut alike meet as arrays. The others, whose measures are cut in
+    different ways, meet cell by cell. Two values for one cell and measure are an error in either way.
+    """
+    key = [time, *ORIGIN, "_size"]
+    lists = df.withColumn("_size", F.size(values)).groupBy(*key).pivot("measure", list(measures)).agg(F.collect_list(values))
+    chunks = lists.select(*key, *[_only(m) for m in measures])
+    alike = F.lit(True)
+    for m in measures:
+        alike = alike & F.col(f"`{m}`").isNotNull()
+    rest = chunks.where(~alike)
+
+    def cells(m: str) -> DataFrame:
+        own = rest.select(time, *ORIGIN, F.lit(m).alias("measure"), F.col(f"`{m}`").alias("_values"))
+        return explode_chunks(own, "_values", "_value")
+
+    apart = reduce(DataFrame.unionByName, map(cells, measures))
+    met = apart.groupBy(time, "lat_i", "lon_i").pivot("measure", list(measures)).agg(F.collect_list("_value"))
+    named = met.select(time, "lat_i", "lon_i", *[_only(m).alias(c) for m, c in measures.items()])
+    return _lined_up(chunks.where(alike), measures, time).unionByName(named.dropna(subset=list(measures.values())))
+
+
+def _only(measure: str) -> Column:
+    """The one array or value of a measure in its list, or NULL."""
+    found = F.col(f"`{measure}`")
     twice = F.raise_error(F.lit("two arrays for one time and measure"))
+    return F.when(F.size(found) > 1, twice).otherwise(F.get(found, 0)).alias(measure)
 
-    def only(m: str) -> Column:
-        found = F.col(f"`{m}`")
-        return F.when(F.size(found) > 1, twice).otherwise(F.get(found, 0)).alias(m)
 
-    steps = lists.select(time, *map(only, measures))
-    present = [F.col(f"`{m}`").isNotNull() for m in measures]
-    for condition in present:
-        steps = steps.where(condition)
+def _lined_up(chunks: DataFrame, measures: dict[str, str], time: str) -> DataFrame:
+    """The cells of chunks that hold an array for each measure, without those that lack a value."""
     zipped = F.arrays_zip(*[F.col(f"`{m}`").alias(c) for m, c in measures.items()])
-    cells = explode_grid(steps.select(time, zipped.alias("_cells")), "_cells", nlon, "_cell")
+    cells = explode_chunks(chunks.select(time, *ORIGIN, zipped.alias("_cells")), "_cells", "_cell")
     named = cells.select(time, "lat_i", "lon_i", *[F.col("_cell").getField(c).alias(c) for c in measures.values()])
     return named.dropna(subset=list(measures.values()))
 

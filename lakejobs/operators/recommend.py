@@ -92,5 +92,10 @@ def predicted(model: ALSModel, test: DataFrame, rating: str) -> DataFrame:
 
 def rmse(model: ALSModel, test: DataFrame, rating: str) -> float:
     """Root mean square error of the predictions for held-out ratings."""
-    scored = predicted(model, test, rating)
-    return RegressionEvaluator(metricName="rmse", labelCol=rating, predictionCol="prediction").evaluate(scored)
+    return rmse_of(predicted(model, test, rating), rating)
+
+
+def rmse_of(scored: DataFrame, rating: str, prediction: str = "prediction") -> float:
+    """Root mean square error of predictions at hand, such as stored ones; NaN when there are none."""
+    known = scored.dropna(subset=[rating, prediction])
+    return RegressionEvaluator(metricName="rmse", labelCol=rating, predictionCol=prediction).evaluate(known)

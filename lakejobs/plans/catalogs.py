@@ -10,23 +10,23 @@ from pyspark.sql import functions as F
 from lakejobs.operators.reports import row_count
 from lakejobs.plans import stored, views
 from lakejobs.sinks.tables import ensure_database, external_table
-from lakejobs.sources.catalog import databases, describe, run_sql, tables
+from lakejobs.sources.catalog import databases, describe, run_sql, stored_tables, tables
 
-# All given tables.
-LISTED = (
+# The tables of the contract, for SQL, which can't count a table by a name that it finds.
+GIVEN = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
 
 def _database(spark: SparkSession, sf_dir: str) -> str:
-    """A database of external tables over the given files."""
+    """A database of external tables over the files that the folder holds."""
 
     def write(path: str) -> None:
         name = stored.table_name(path)
         ensure_database(spark, name, path)
-        for t in LISTED:
-            external_table(spark, f"{name}.{t}", f"{sf_dir}/{t}.parquet")
+        for t, place in stored_tables(spark, sf_dir).items():
+            external_table(spark, f"{name}.`{t}`", place)
 
     return stored.table_name(stored.once(spark, sf_dir, "lake", write))
 
@@ -34,10 +34,17 @@ def _database(spark: SparkSession, sf_dir: str) -> str:
 def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables listed in the database and the rows each one holds."""
     database = _database(spark, sf_dir)
-    counts = [run_sql(spark, f"SELECT '{t}' AS table_name, count(*) AS n FROM {database}.{t}") for t in LISTED]
     found = databases(spark).where(F.col("namespace") == database).select("namespace")
-    listed = tables(spark, database).join(found, "namespace", "left_semi")
-    return listed.select(F.col("tableName").alias("table_name")).join(reduce(DataFrame.unionAll, counts), "table_name")
+    listed = tables(spark, database).join(found, "namespace", "left_semi").select(F.col("tableName").alias("table_name"))
+    # Names of tables, not rows of them.
+    names = [row["table_name"] for row in listed.collect()]
+    counts = [run_sql(spark, f"SELECT '{t}' AS table_name, count(*) AS n FROM {database}.`{t}`") for t in names]
+    return listed.join(reduce(DataFrame.unionAll, counts), "table_name")
+
+
+def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that the database lists, which are those that the folder holds."""
+    return tables(spark, _database(spark, sf_dir)).select(F.col("tableName").alias("table_name"))
 
 
 def schema_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +53,11 @@ def schema_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(lines).select("position", "name", "type", row_count(lines).scalar().alias("n"))
 
 
-QUERIES = {"catalog_listing": catalog_listing, "schema_rows": schema_rows}
+QUERIES = {"catalog_listing": catalog_listing, "catalog_tables": catalog_tables, "schema_rows": schema_rows}
 
 SQL = {
-    "catalog_listing": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in LISTED),
+    "catalog_listing": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in GIVEN),
+    "catalog_tables": "SELECT table_name FROM information_schema.tables WHERE table_schema = 'main'",
     "schema_rows": """
         SELECT position, name, type, (SELECT count(*) FROM lineitem) AS n
         FROM (VALUES (0, 'l_orderkey', 'bigint'), (1, 'l_partkey', 'bigint'), (2, 'l_suppkey', 'bigint'),

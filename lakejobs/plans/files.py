@@ -12,7 +12,8 @@ from lakejobs.operators.skew import ROWS_PER_PART, parts_for
 from lakejobs.plans import stored, views
 from lakejobs.session import new_path
 from lakejobs.sinks.files import write_csv_n, write_escaped, write_parquet_n
-from lakejobs.sinks.tables import external_table
+from lakejobs.sinks.tables import external_table, preview
+from lakejobs.sources.catalog import literal_rows
 from lakejobs.sources.files import (
     read_delimited,
     read_escaped,
@@ -125,7 +126,8 @@ def external_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten customers of a segment."""
     customers = views.table(spark, sf_dir, "customer")
-    return customers.where(F.col("c_mktsegment") == "BUILDING").orderBy("c_custkey").limit(10)
+    chosen = customers.where(F.col("c_mktsegment") == "BUILDING").orderBy("c_custkey")
+    return literal_rows(spark, preview(chosen, 10), customers.schema)
 
 
 QUERIES = {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakejobs import constants as K
 from lakejobs.functions.units import band, kelvin_to_fahrenheit, pa_to_hpa
 from lakejobs.operators.filters import in_box
-from lakejobs.operators.grid import align, band_counts, explode_grid, mesh, nth_step
+from lakejobs.operators.grid import align, align_chunks, band_counts, explode_chunks, explode_grid, mesh, nth_step
 from lakejobs.operators.skew import broadcast_if_small
 from lakejobs.plans import stored, views
 from lakejobs.sources.grids import read_grid_day
@@ -50,6 +50,15 @@ def grid_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(views.grid(spark, sf_dir), NAMES, "values", views.GRID_NLON)
 
 
+def grid_chunk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells out of the grid that is stored in chunks."""
+    return explode_chunks(spark.read.parquet(stored.grid_chunks(spark, sf_dir)), "values")
+
+
+def grid_chunks_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_chunks(spark.read.parquet(stored.grid_chunks(spark, sf_dir)), NAMES, "values")
+
+
 def grid_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average of each measure at the mesh points inside the map box, longitudes counted 0..360."""
     grid = views.grid(spark, sf_dir)
@@ -80,6 +89,8 @@ QUERIES = {
     "grid_day": grid_day,
     "grid_noon_units": grid_noon_units,
     "grid_aligned": grid_aligned,
+    "grid_chunk_cells": grid_chunk_cells,
+    "grid_chunks_aligned": grid_chunks_aligned,
     "grid_mesh": grid_mesh,
     "grid_bands": grid_bands,
 }
@@ -117,6 +128,8 @@ SQL = {
         FROM aligned JOIN steps USING (time)
     """,
     "grid_aligned": f"WITH {views.GRID_SQL}, {_ALIGNED_SQL} SELECT * FROM aligned",
+    "grid_chunk_cells": f"WITH {views.GRID_SQL} SELECT measure, time, lat_i, lon_i, value FROM grid",
+    "grid_chunks_aligned": f"WITH {views.GRID_SQL}, {_ALIGNED_SQL} SELECT * FROM aligned",
     "grid_mesh": f"""
         WITH {views.GRID_SQL},
         placed AS (SELECT measure, 60.0::DOUBLE - lat_i * 6 AS lat, 220.0::DOUBLE + lon_i * 12 AS lon, value FROM grid)

@@ -38,7 +38,7 @@ hashed AS (
 )"""
 
 # 64-bit XXH64 with seed 42 of a bigint and then an int, over the line items. CTE
-# `hashed(l_returnflag, l_orderkey, l_linenumber, l_partkey, signed)`.
+# `hashed(l_returnflag, l_orderkey, l_linenumber, l_partkey, l_quantity, signed)`.
 _M = "18446744073709551616"
 
 
@@ -103,7 +103,7 @@ def _xxhash() -> str:
         ],
     )
     signed = f"CASE WHEN h >= {2**63}::UHUGEINT THEN h::HUGEINT - {_M}::HUGEINT ELSE h::HUGEINT END"
-    return f"hashed AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, {signed} AS signed FROM {after_int})"
+    return f"hashed AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_quantity, {signed} AS signed FROM {after_int})"
 
 
 XXHASH_SQL = _xxhash()

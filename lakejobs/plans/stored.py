@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakejobs import constants as K
+from lakejobs.operators.grid import cut_chunks
 from lakejobs.operators.layout import keep_ranges
 from lakejobs.operators.skew import parts_by_bytes
 from lakejobs.operators.spatial import polygon_cells
@@ -157,3 +158,14 @@ def grid_store(spark: SparkSession, sf_dir: str) -> str:
             write_partitioned(mark_time_column(dated, name), f"{path}/measure={measure}", ["year", "month"])
 
     return once(spark, sf_dir, "grid", write)
+
+
+def grid_chunks(spark: SparkSession, sf_dir: str) -> str:
+    """The grid in chunks; one measure is cut in another way in every other step."""
+
+    def write(path: str) -> None:
+        other = F.col("measure").startswith("precipitation") & (F.hour("time") % 2 == 1)
+        height, width = (F.when(other, a).otherwise(b) for a, b in ((4, 3), (3, 5)))
+        cut_chunks(views.grid(spark, sf_dir), "values", views.GRID_NLON, height, width).write.parquet(path)
+
+    return once(spark, sf_dir, "grid_chunks", write)

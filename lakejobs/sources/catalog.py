@@ -15,6 +15,15 @@ def tables(spark: SparkSession, database: str) -> DataFrame:
     return spark.sql(f"SHOW TABLES FROM `{database}`")
 
 
+def stored_tables(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name and path of each Parquet table, a file or a folder, that a folder holds now; any file system Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+    paths = [str(status.getPath().toString()) for status in found]
+    names = {p.rstrip("/").rsplit("/", 1)[-1]: p for p in paths}
+    return {n.removesuffix(".parquet"): p for n, p in sorted(names.items()) if n.endswith(".parquet")}
+
+
 def table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
@@ -46,7 +55,7 @@ def mark_time_column(df: DataFrame, name: str, standard_name: str = "time") -> D
     return df.withMetadata(name, {"standard_name": standard_name})
 
 
-def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 

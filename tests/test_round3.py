@@ -7,11 +7,12 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lakejobs.operators import filters
+from lakejobs.operators import filters, grid, recommend
 from lakejobs.operators.layout import files_per_key, keep_ranges, kept_ranges, key_ranges, touched_in
 from lakejobs.operators.skew import parts_by_bytes, row_bytes
 from lakejobs.operators.spatial import locate_first
 from lakejobs.sinks import files as sink
+from lakejobs.sources import catalog
 from lakejobs.sources import files as source
 from lakejobs.sources.polygons import read_polygons
 
@@ -131,3 +132,36 @@ def test_kept_ranges_are_those_of_the_files(spark, out):
     assert sorted(kept_ranges(spark, out).collect()) == sorted(key_ranges(spark.read.parquet(out), "k").collect())
     assert touched_in(kept_ranges(spark, out), "k", [42]).first()["files_touched"] == 1
     assert parts_by_bytes(df, 2) == 2 and parts_by_bytes(df, 2, 4800) == 10
+
+
+def test_a_grid_in_chunks_equals_the_whole(spark):
+    nlat, nlon = 5, 7
+    rows = [(t, m, [float(1000 * t + 100 * k + i) if i != 9 else None for i in range(nlat * nlon)]) for t in range(3) for k, m in enumerate("pqr") if (t, m) != (2, "r")]
+    whole = spark.createDataFrame(rows, "time int, measure string, values array<double>")
+    names = {"p": "a", "q": "b", "r": "c"}
+    cells, want = (sorted(map(str, d.collect())) for d in (grid.explode_grid(whole, "values", nlon), grid.align(whole, names, "values", nlon)))
+    assert len(want) == 2 * (nlat * nlon - 1)
+    odd = (F.col("measure") == "q") & (F.col("time") == 1)
+    for height, width in ((1, 1), (2, 3), (5, 7), (9, 9), (F.when(odd, 4).otherwise(2), F.when(odd, 2).otherwise(3))):
+        chunks = grid.cut_chunks(whole, "values", nlon, height, width)
+        assert sorted(map(str, grid.explode_chunks(chunks, "values").collect())) == cells
+        assert sorted(map(str, grid.align_chunks(chunks, names, "values").collect())) == want
+    twice = grid.cut_chunks(whole, "values", nlon, 2, 3)
+    with pytest.raises(Exception, match="two arrays"):
+        grid.align_chunks(twice.union(twice), names, "values").collect()
+
+
+def test_tables_that_a_folder_holds(spark, tmp_path):
+    for name in ("b", "a b"):
+        spark.range(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    (tmp_path / "note.txt").write_text("x")
+    found = catalog.stored_tables(spark, str(tmp_path))
+    assert list(found) == ["a b", "b"] and spark.read.parquet(found["b"]).count() == 3
+    (tmp_path / "region.parquet").mkdir()
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "region.parquet"))
+    assert list(catalog.stored_tables(spark, f"file://{tmp_path}")) == ["a b", "b", "region"]
+
+
+def test_error_of_stored_predictions(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (5.0, 2.0), (3.0, None), (None, 1.0)], "r double, prediction double")
+    assert recommend.rmse_of(df, "r") == pytest.approx(5**0.5)
