@@ -75,7 +75,7 @@ _FINISH = [
 
 
 def _xxhash() -> str:
-    start = """(SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, 42::UHUGEINT AS h, 0::UHUGEINT AS k FROM lineitem)"""
+    start = """(SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_quantity, 42::UHUGEINT AS h, 0::UHUGEINT AS k FROM lineitem)"""
     long_key = f"(SELECT * REPLACE ({_times('l_orderkey', _P2)} AS k) FROM {start})"
     long_key = f"(SELECT * REPLACE ({_rotated('k', 31)} AS k) FROM {long_key})"
     long_key = f"(SELECT * REPLACE ({_times('k', _P1)} AS k) FROM {long_key})"
