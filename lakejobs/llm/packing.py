@@ -15,6 +15,8 @@ No rows give no rows.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,42 +31,62 @@ from lakejobs.llm.shared import saved
 
 CAPACITY = 2048
 END = np.array([0], "<u4").tobytes()
-# Kept ids of words and of letter runs in a worker; beyond that the store starts anew.
-KEPT_WORDS, KEPT_RUNS = 300_000, 600_000
+# Kept ids of words and of their parts in a worker; beyond that the store starts anew.
+KEPT_WORDS, KEPT_RUNS = 800_000, 400_000
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# How the tokenizer cuts a lower-case word of ASCII without white space; its vocabulary has these characters as they are.
+ASCII_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PRINTED = re.compile(rb"[!-~]+")
+# The vocabulary writes a byte as its own character where that can be seen, the others in order from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = dict(zip([b for b in range(256) if b not in _SEEN], range(256, 512)))
 
 
 class Words(dict):
     """The ids of a word between white space, as bytes of little-endian 32-bit numbers.
 
-    White space ends a word for the tokenizer too, so a text's ids are those of its words. A word
-    of letters with punctuation around it, but no apostrophe, is cut there as the tokenizer does.
+    White space ends a word for the tokenizer too, so a text's ids are those of its words. A word of
+    printable ASCII is cut into parts as the tokenizer does, and the parts go to its merges alone. So do
+    other letters and the punctuation around them, unless composing or lower-casing the letters leaves a mark
+    behind, which would join the punctuation; all else is read by the tokenizer as it stands.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.runs: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def run(self, text: str) -> bytes:
-        if text not in self.runs:
+    def part(self, text: str) -> bytes:
+        """The ids of one part, lower-case and composed, by the merges alone."""
+        ids = self.runs.get(text)
+        if ids is None:
             if len(self.runs) >= KEPT_RUNS:
                 self.runs.clear()
-            self.runs[text] = self.ids(text)
-        return self.runs[text]
+            seen = text if text.isascii() else text.encode().decode("latin-1").translate(BYTES)
+            self.runs[text] = ids = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+        return ids
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
+    def ascii(self, text: str) -> bytes:
+        """The ids of a lower-case word of printable ASCII."""
+        return b"".join(map(self.part, ASCII_PARTS.findall(text)))
+
+    def mixed(self, text: str) -> bytes:
+        """The ids of another word."""
         right = text.rstrip(PUNCTUATION)
         inner = right.lstrip(PUNCTUATION)
-        if inner.isalpha() and "<|" not in text:
-            before, after = text[: len(right) - len(inner)], text[len(right) :]
-            found = (self.run(before) if before else b"") + self.run(inner.lower() if inner.isascii() else inner) + (self.run(after) if after else b"")
-        else:
-            found = self.ids(text)
+        letters = unicodedata.normalize("NFC", inner).lower()
+        # A final capital sigma is lower-cased by its place in the word.
+        if not letters.isalpha() or not inner.isalpha() or "\u03a3" in inner or "<|" in text:
+            return self.ids(text)
+        return self.ascii(text[: len(right) - len(inner)]) + self.part(letters) + self.ascii(text[len(right) :])
+
+    def __missing__(self, word: bytes) -> bytes:
+        plain = PRINTED.fullmatch(word) and b"<|" not in word
+        found = self.ascii(word.lower().decode()) if plain else self.mixed(word.decode())
         if len(self) >= KEPT_WORDS:
             self.clear()
         self[word] = found

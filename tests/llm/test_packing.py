@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -79,3 +80,18 @@ def test_greek_capitals_keep_the_tokenizers_ids(documents):
 
 def test_no_rows(documents):
     assert packing.op6_best_fit_packing(documents([])).collect() == []
+
+
+def test_ids_of_every_character():
+    """Each character alone, before and after punctuation and beside letters, against the tokenizer itself."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, tokenizer = packing.Words(path), Tokenizer.from_file(path)
+    marks = [chr(c) for c in range(0x21, 0x110000) if unicodedata.category(chr(c))[0] in "LMN" and c < 0x20000] + [chr(c) for c in range(0x21, 0x3000)]
+    for pattern in ("{}", "{},", "(x{}.", "a'{}s"):
+        texts = [pattern.format(c) for c in marks]
+        for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+            got = b"".join(map(words.__getitem__, text.encode().split()))
+            assert got == np.array(want.ids, "<u4").tobytes(), text
+    whole = "BELEDİYESİ, क़क, (ড়ন). ΟΔΟΣ, ΤΗΣ! I'LL DON'T 'S x'Re"
+    got = b"".join(map(words.__getitem__, whole.encode().split()))
+    assert got == np.array(tokenizer.encode(whole, add_special_tokens=False).ids, "<u4").tobytes()
