@@ -10,6 +10,10 @@ The best paths of a host are sent to all its pages; a page that has none of them
 Scripts, styles, forms, menus, side columns, page headers and footers, and containers that their
 class, id or role marks as adverts, notices, comments and the like are never read.
 
+The highest path tells where on a page the article is, not how far it goes: from a container at that path the text
+is that of the nearest ``article`` or ``main`` around it, and of any container above that has text of its own
+beside it, short of the whole body. So titles, leads, tables and what stands between them come back, in page order.
+
 A null or empty page gives an empty text; so does one without text. A null or odd URL has the empty host, whose
 pages vote together. Repeated rows stay, each with its own result. Only ``page_id``, ``url`` and
 ``html`` are read. No rows give no rows.
@@ -71,12 +75,14 @@ class Page:
     """Blocks of text in page order and, for each container, its path and which blocks it holds."""
 
     def __init__(self, source: str) -> None:
+        # How many elements of each tag are open.
+        self.opened: dict[str, int] = defaultdict(int)
         self.blocks: list[str] = []
         # Container, and characters inside links, of each block.
         self.owner: list[int] = []
         self.linked: list[int] = []
-        # (path, container above, first block, block after the last)
-        self.containers: list[list] = [["", -1, 0, 0]]
+        # (path, container above, first block, block after the last, tag)
+        self.containers: list[list] = [["", -1, 0, 0, ""]]
         # (tag, container, skipped, inside a link)
         self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         self.parts: list[str] = []
@@ -109,13 +115,16 @@ class Page:
         if any(self.stack[i][0] in BLOCKS for i in range(depth, len(self.stack))):
             self.flush()
         for i in range(len(self.stack) - 1, depth - 1, -1):
-            _, container, _, _ = self.stack[i]
+            tag, container, _, _ = self.stack[i]
+            self.opened[tag] -= 1
             if container != self.stack[i - 1][1]:
                 self.containers[container][3] = len(self.blocks)
         del self.stack[depth:]
 
     def close_in(self, tags: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
         """Closes the outermost of some elements above the nearest of others."""
+        if not any(self.opened[tag] for tag in tags):
+            return
         found = None
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] in until:
@@ -138,14 +147,15 @@ class Page:
         marks = {}
         if attributes and not skipped:
             marks = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-        inside = any(name in ("article", "main") for name, *_ in self.stack)
+        inside = self.opened["article"] or self.opened["main"]
         skipped = skipped or tag in SKIPPED or (tag == "header" and not inside) or self.marked(tag, marks)
         if tag in CONTAINERS and not skipped:
             names = sorted(re.sub(r"\d+", "", marks.get("class", "")).lower().split())
             step = ".".join([tag, *[n for n in names if n]])
             above = self.containers[container][0].split("/")[1 - PATH_LENGTH :]
-            self.containers.append(["/".join([*[a for a in above if a], step]), container, len(self.blocks), len(self.blocks)])
+            self.containers.append(["/".join([*[a for a in above if a], step]), container, len(self.blocks), len(self.blocks), tag])
             container = len(self.containers) - 1
+        self.opened[tag] += 1
         self.stack.append((tag, container, skipped, link or tag == "a"))
 
     def marked(self, tag: str, marks: dict[str, str]) -> bool:
@@ -166,9 +176,8 @@ class Page:
                 continue
             tag = found[2].lower()
             if found[1]:
-                depth = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == tag), 0)
-                if depth:
-                    self.close(depth)
+                if self.opened[tag]:
+                    self.close(next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == tag))
                 elif tag in BLOCKS:
                     self.flush()
                 continue
@@ -179,11 +188,16 @@ class Page:
                 at = end.start() if end else len(source)
         self.text(source[at:])
 
-    def scores(self) -> list[float]:
+    def own_text(self) -> list[float]:
+        """Characters that stand directly in each container, without blocks that are mostly links."""
         own = [0.0] * len(self.containers)
         for text, container, linked in zip(self.blocks, self.owner, self.linked):
             if 2 * linked <= len(text):
                 own[container] += len(text) - linked
+        return own
+
+    def scores(self) -> list[float]:
+        own = self.own_text()
         given = list(own)
         for i in range(len(own) - 1, 0, -1):
             given[self.containers[i][1]] += own[i] / 2
@@ -201,19 +215,34 @@ class Page:
         """The paths that have text."""
         return {c[0] for c in self.containers if c[3] > c[2]}
 
+    def whole(self) -> list[int]:
+        """For each container the one that holds the article of which it is a part."""
+        own, out = self.own_text(), [0]
+        # The nearest article or main, and whether a container may be taken for a part of the one above.
+        around = [0]
+        for at, (_, above, _, _, tag) in enumerate(self.containers[1:], 1):
+            around.append(at if tag in ("article", "main") else around[above])
+            up, above_tag = around[at], self.containers[above][4]
+            if up and up != at:
+                out.append(out[up])
+            else:
+                out.append(out[above] if own[above] and above_tag not in ("", "html", "body") else at)
+        return out
+
     def main_text(self, paths: list[str]) -> str:
-        """The text of the containers at the first path that the page has; else of its best container."""
-        with_text = [c for c in self.containers if c[3] > c[2]]
+        """The article around the containers at the first path that the page has; else around its best container."""
         have = self.paths()
         path = next((p for p in paths if p in have), None)
         if path is None:
             shares = self.shares()
             path = max(shares, key=lambda p: (shares[p], p), default="")
+        whole = self.whole()
+        chosen = sorted({whole[i] for i, c in enumerate(self.containers) if c[0] == path and c[3] > c[2]}, key=lambda i: self.containers[i][2:4])
         out, done = [], 0
-        for at, _, first, last in with_text:
-            if at == path:
-                out += self.blocks[max(first, done) : last]
-                done = max(done, last)
+        for i in chosen:
+            _, _, first, last, _ = self.containers[i]
+            out += self.blocks[max(first, done) : last]
+            done = max(done, last)
         return " ".join(out)
 
 

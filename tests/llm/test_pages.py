@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -80,6 +81,80 @@ def test_paths_beyond_the_best_of_a_host_win_too(spark, monkeypatch):
         assert got[241] == "word " * 30 + "ty1"
 
 
+def article(rng, words, depth=0):
+    """Random markup of an article and the words that must come back, in order; marked parts hold other words."""
+    out, want = [], []
+
+    def text(n):
+        own = [next(words) for _ in range(rng.randrange(1, n))]
+        want.extend(own)
+        return " ".join(own)
+
+    for _ in range(rng.randrange(1, 6)):
+        kind = rng.randrange(11 if depth < 4 else 6)
+        if kind == 0:
+            out.append(f"<h{rng.randrange(1, 4)}>{text(6)}</h2>".replace("</h2>", ""))
+        elif kind == 1:
+            out.append(f"<p>{text(30)}" + rng.choice(["</p>", ""]))
+        elif kind == 2:
+            out.append(f"<ul><li>{text(5)}<li>{text(9)}</ul>")
+        elif kind == 3:
+            rows = "".join(f"<tr><td>{text(4)}<td>{text(40)}" for _ in range(rng.randrange(1, 5)))
+            out.append(f"<table>{rows}</table>")
+        elif kind == 4:
+            out.append(f"<blockquote>{text(20)}</blockquote><br>{text(5)}")
+        elif kind == 5:
+            out.append(rng.choice(["<div class=share-bar>gone {0}</div>", "<aside>gone {0}</aside>", "<div id='cookie-box'><p>gone {0}</p></div>", "<form>gone {0}</form>", "<script>gone('{0}')</script>"]).format("gone " * rng.randrange(200)))
+        else:
+            inner, own = article(rng, words, depth + 1)
+            tag = rng.choice(["div", "section", "div class=lead", "div class=body", "figure", "header", "center"])
+            out.append(f"<{tag}>{inner}</{tag.split()[0]}>")
+            want.extend(own)
+    return "".join(out), want
+
+
+def test_the_whole_article_comes_back(spark):
+    rng = random.Random(7)
+    rows, want = [], {}
+    for k in range(400):
+        host, tag = k % 20, rng.choice(["article", "main"])
+        if host < 10:  # pages of a host that are all alike in outline
+            rng_of_host = random.Random(host)
+            body, own = article(rng_of_host, (f"w{k}x{i}" for i in range(10**6)))
+        else:
+            body, own = article(rng, (f"w{k}x{i}" for i in range(10**6)))
+        if own:
+            want[k] = " ".join(own)
+        rows.append((k, f"http://h{host}.example/{k}", page(body).replace("article>", f"{tag}>")))
+    got = {r.page_id: r.text for r in pages.op7_consensus_html(frame(spark, rows)).collect()}
+    assert {k: got[k] for k in want} == want
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<article><h1>T</h1><p>Intro</p><section>{0}</section><section>{0}</section></article>", "T Intro {0} {0}"),
+        ("<article><h1>T</h1><p>Intro</p><table><tr><td>{0}<td>{0}</table><p>Outro</article>", "T Intro {0} {0} Outro"),
+        ("<main><div class=lead>Lead</div><div class=body>{0}</div></main>", "Lead {0}"),
+        ("<main><h1>T</h1><article><p>{0}</p></article></main>", "T {0}"),
+        ("<div class=content><h1>T</h1><div class=text><p>{0}</p></div></div><div class=other>Other</div>", "T {0}"),
+        ("<div class=text><p>{0}</p></div><div class=other><p>Other</p></div>", "{0}"),
+        ("<article><h1>T</h1><div class=c>{0}</div></article>", "T {0}"),
+    ],
+)
+def test_titles_leads_and_tables(spark, body, want):
+    filled = [(k, "http://h.example/", body.format(f"{'word ' * 30}{k}")) for k in range(6)]
+    got = {r.page_id: r.text for r in pages.op7_consensus_html(frame(spark, filled)).collect()}
+    assert got == {k: want.format(f"{'word ' * 30}{k}") for k in range(6)}
+
+
+def test_deep_pages_take_linear_time():
+    for begin, end in (("<div>", "</div>"), ("<b>", "</b>"), ("<span><p>", ""), ("<ul><li>", ""), ("</x>", "</y>")):
+        start = time.process_time()
+        assert Page(begin * 20_000 + "deep" + end * 20_000).main_text([]) == "deep"
+        assert time.process_time() - start < 5
+
+
 def test_odd_pages(spark):
     long = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None), (2, "", ""), (3, "x", "plain text & more"), (4, "http://h/", "<<<>>> < b"), (None, "http://h/", "<p>null id"), (5, "http://h/", long), (6, "http://h/", "<p>twice"), (6, "http://h/", "<p>twice"), (7, "http://h/", "<a href='x" * 2000)]
