@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakejobs.llm.shared import saved
 
@@ -139,14 +140,16 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple
         for batch in batches:
             got = [of_text(t, known) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("grade"), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.float64())],
-                ["grade", "found", "value"],
+                [batch.column("grade"), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.float64()), batch.column("order")],
+                ["grade", "found", "value", "order"],
             )
 
     # At most ``rows`` pairs of numbers, so they may be broadcast.
     picked = grades(labels).orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
-    read = texts.select("grade", "text").mapInArrow(emit, "grade int, found array<int>, value double").limit(rows)
+    # An id that documents repeat gives more rows; which of them are left out follows from the texts.
+    chosen = texts.select("grade", "text", F.xxhash64("doc_id", "text").alias("order"))
+    read = chosen.mapInArrow(emit, "grade int, found array<int>, value double, order long").orderBy("order", "grade").limit(rows).drop("order")
     # Of texts with the same features and grade one is enough: copies would make their words look telling.
     read = saved(saved(read, "sample").groupBy("grade", "found").agg(F.min("value").alias("value")), "features")
     by_grade = [F.count_if(F.col("grade") == k).alias(f"n{k}") for k in range(GRADES)]
@@ -242,8 +245,8 @@ def score(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, keep: bo
                 columns, names = [*columns, batch.column("row")], [*names, "row"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, expected_grade double, p_top double, kept boolean"
-    return rows.mapInArrow(grade, schema + (f", row {rows.schema['row'].dataType.simpleString()}" if keep else ""))
+    schema = StructType.fromDDL("doc_id long, expected_grade double, p_top double, kept boolean")
+    return rows.mapInArrow(grade, schema.add(rows.schema["row"]) if keep else schema)
 
 
 def select(docs: DataFrame, labels: DataFrame) -> DataFrame:

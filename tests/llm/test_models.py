@@ -131,3 +131,35 @@ def test_thresholds_are_ordered_and_the_slope_is_right():
     found = [np.unique(np.append(rng.integers(0, 50, 5), 1000 + t)) for t in told]
     weights, thresholds = qc.fit(found, np.ones(400), told)
     assert (np.diff(thresholds) > 0).all() and weights[1000] < weights[1001] < weights[1002]
+
+
+def test_grades_against_the_fit_without_spark(documents, rated):
+    """The classifier fitted and applied in plain numpy over all rows."""
+    rows, labels, table = rated
+    rows = rows[:300] + [(7, "an id that repeats"), (None, "no id"), (9000, None)]
+    table = table.where("doc_id < 200")
+    got = {(r.doc_id, round(r.expected_grade, 9), round(r.p_top, 9), r.kept) for r in qc.op5_ordinal_quality(documents(rows), table).collect()}
+    known = qc.Words()
+    grade = {i: (0 if toxic else 1 + quality) for i, quality, toxic, _ in labels if i < 200}
+    read = {}
+    for i, text in rows:
+        if i in grade:
+            found, value = qc.of_text((text or "").encode(), known)
+            key = (grade[i], tuple(int(f) for f in found))
+            read[key] = min(value, read.get(key, value))
+    sample = sorted((g, f, v) for (g, f), v in read.items())
+    totals = np.array([sum(g == k for g, _, _ in sample) for k in range(qc.GRADES)], float)
+    counts = np.zeros((qc.GRADES, qc.BUCKETS))
+    for g, f, _ in sample:
+        for bucket in set(f):
+            counts[g, bucket] += f.count(bucket)
+    used = qc.telling(counts, totals)
+    sample = sorted((g, [b for b in f if used[b]], v) for g, f, v in sample)
+    weights, thresholds = qc.fit([np.array(f, np.int32) for _, f, _ in sample], np.array([v for _, _, v in sample]), np.array([g for g, _, _ in sample]))
+    want = set()
+    for i, text in rows:
+        found, value = qc.of_text((text or "").encode(), qc.Words(weights != 0))
+        above = 1 / (1 + np.exp(-(weights[found].sum() * value - thresholds)))
+        want.add((i, round(float(above.sum()), 9), round(float(above[-1]), 9), bool(above[-1] >= qc.KEEP_FROM)))
+    close = lambda a, b: a[0] == b[0] and a[3] == b[3] and abs(a[1] - b[1]) < 1e-5 and abs(a[2] - b[2]) < 1e-5
+    assert len(got) == len(want) and all(any(close(a, b) for b in want) for a in got)
