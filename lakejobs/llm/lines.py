@@ -1,8 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line is a duplicate when an earlier line, by ``doc_id`` and place, differs from it in at most one
-word: one word changed, put in or left out. Lines of few words must be equal, and lines of fewer
-still are never duplicates. Every line emits the keys of its variants with one word deleted; two
+A line with words is a duplicate when an earlier line, by ``doc_id`` and place, has the same words, or, from
+``NEAR_WORDS`` words on, differs from it in at most one: one word changed, put in or left out. Every longer line emits the keys of its variants with one word deleted; two
 lines within the bound have a variant in common, deleted at the same place, or one is a variant of
 the other. Each key hands its members the earliest line it saw, which is compared word by word.
 
@@ -13,7 +12,8 @@ need their variants, and another one which variants need to be joined: most belo
 only. A full bitmap would only let more through. Equal lines are one entry.
 
 Lines are told apart by 128 bits. A null text stays null; blank lines stay. Rows that repeat both
-``doc_id`` and text are one document and fare alike; a null ``doc_id`` comes first. Of a document whose
+``doc_id`` and text are one document and fare alike; a null ``doc_id`` comes first. Which lines of a document
+stay is told by a bitmap of their places, so very long texts take no more than their length. Of a document whose
 lines with words are all duplicates no word is left. ``doc_id`` and ``text`` are read, every other
 column is handed on, whatever its name. No rows give no rows.
 """
@@ -28,10 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.llm.shared import SPACE, saved
+from lakejobs.llm.shared import saved
 
-# Words that a line must have to be a duplicate at all, and to be one with a word of difference.
-LEAST_WORDS = 4
+# Words that a line must have to be a duplicate with a word of difference.
 NEAR_WORDS = 8
 BITMAP_BITS = 1 << 25
 
@@ -58,7 +57,7 @@ def lines_of(text: bytes | None) -> Iterator[tuple[int, list[bytes]]]:
     """(place, words) of the lines that can be duplicates."""
     for place, line in enumerate((text or b"").split(b"\n")):
         words = line.split()
-        if len(words) >= LEAST_WORDS:
+        if words:
             yield place, words
 
 
@@ -194,17 +193,26 @@ def near_duplicates(lines: DataFrame) -> DataFrame:
 
 
 def firsts(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_key`` and the sorted ``places`` of a document's lines that are not duplicates."""
+    """``doc_id``, ``text_key`` and a bitmap of the ``places`` of a document's lines that are not duplicates."""
     lines = saved(distinct_lines(docs, shared_ends(docs)), "lines")
     kept = lines.join(saved(near_duplicates(lines), "near"), ["h1", "h2"], "left_anti")
-    return kept.groupBy("first.doc_id", "first.text_key").agg(F.sort_array(F.collect_list("first.place")).alias("places"))
+    key = ["doc_id", "text_key"]
+    bits = F.expr("bit_or(shiftleft(1L, place % 64))").alias("bits")
+    parts = kept.select("first.*").groupBy(*key, F.floor(F.col("place") / 64).cast("int").alias("at")).agg(bits)
+    told = parts.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("bits"), F.max("at").alias("last"))
+    places = F.transform(F.sequence(F.lit(0), F.col("last")), lambda at: F.coalesce(F.try_element_at("bits", at), F.lit(0).cast("long")))
+    return told.select(*key, places.alias("places"))
 
 
 def without_duplicates(text: Column, places: Column) -> tuple[Column, Column]:
     """The text without its duplicate lines, and how many they are."""
     lines = F.split(text, "\n", -1)
-    long_enough = rf"(?:[^\x20\x09-\x0D]+{SPACE}){{{LEAST_WORDS - 1}}}[^\x20\x09-\x0D]"
-    kept = F.filter(lines, lambda line, i: ~line.rlike(long_enough) | F.array_contains(places, i))
+
+    def stays(line: Column, i: Column) -> Column:
+        part = F.coalesce(F.get(places, F.floor(i / 64).cast("int")), F.lit(0).cast("long"))
+        return ~line.rlike(r"[^\x20\x09-\x0D]") | (F.getbit(part, i % 64) == 1)
+
+    kept = F.filter(lines, stays)
     return F.array_join(kept, "\n"), (F.size(lines) - F.size(kept)).cast("long")
 
 
@@ -216,7 +224,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     told = places.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "places")
     narrow = rows.select("doc_id", "text_key", "row")
     met = narrow.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
-    none = F.array().cast("array<int>")
+    none = F.array().cast("array<long>")
     cleaned, dropped = without_duplicates(F.col("row.text"), F.coalesce("places", none))
     return met.select("doc_id", "row", cleaned.alias("cleaned"), F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped"))
 

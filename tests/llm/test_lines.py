@@ -1,4 +1,5 @@
 import random
+import time
 
 from llm.conftest import prose
 
@@ -25,7 +26,7 @@ def expected(rows):
         kept = []
         for line in text.split("\n"):
             w = ok(line)
-            if len(w) < 4:
+            if not w:
                 kept.append(line)
                 continue
             if not any(w == s or (min(len(w), len(s)) >= 8 and abs(len(w) - len(s)) <= 1 and edits(w, s) <= 1) for s in seen):
@@ -64,6 +65,27 @@ def test_columns_and_emptied_documents(documents):
     assert sorted((r.doc_id, r.text, r.n_chars) for r in got.collect()) == [(1, "a b c d e", 9), (3, "", 0), (4, None, None), (5, "short", 5), (6, "p q r s t u v w x", 17)]
 
 
+def test_equal_lines_of_any_length(documents):
+    rows = [(1, "Les.\nsame three words\n\n***"), (2, "Les.\n same  three words\n\nnew"), (3, "***\nLes."), (4, "Les.\nLes.\n \nown")]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in lines.op2_line_dedup(documents(rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nnew", 2), 3: ("", 2), 4: (" \nown", 2)}
+
+
+def test_many_lines(documents):
+    rows = [(k, "\n".join(f"line {i % 30_000} {'x' if i % 3 else k}" for i in range(60_000))) for k in range(3)]
+    start = time.time()
+    got = lines.op2_line_dedup(documents(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == expected_equal(rows) and time.time() - start < 60
+
+
+def expected_equal(rows):
+    seen, out = set(), []
+    for i, text in rows:
+        kept = [line for line in text.split("\n") if line not in seen and not seen.add(line)]
+        out.append((i, "\n".join(kept)))
+    return out
+
+
 def test_no_rows(documents):
     assert lines.op2_line_dedup(documents([])).collect() == []
     assert lines.clean(documents([])).collect() == []
