@@ -51,8 +51,8 @@ MAP_BITS = 25
 CHUNK_TOKENS, BLOCK_BYTES, KEPT_WORDS = 500_000, 1 << 20, 400_000
 # A number of a word in a key of three; the three limits above keep it.
 WORD_BITS = 21
-# Hashes in one row of the shuffle.
-ROW_CODES = 1024
+# Hashes in one row of the shuffle: a batch of rows, which Spark counts by rows, is held twice on its way to Python.
+ROW_CODES = 256
 # A byte that UTF-8 does not use stands between pieces.
 CUT = b"\xff"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + CUT * 10)
