@@ -25,6 +25,7 @@ so other columns may have any name. No rows give no rows.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +53,9 @@ CHUNK_TOKENS, BLOCK_BYTES, KEPT_WORDS = 1_000_000, 1 << 20, 400_000
 # A number of a word in a key of three; the three limits above keep it.
 WORD_BITS = 21
 # Hashes in one row of the shuffle: a batch of rows, which Spark counts by rows, is held twice on its way to Python.
-ROW_CODES = 1024
+ROW_CODES = 512
+# Counted phrases that become Python values at once.
+BATCH_PHRASES = 1 << 15
 # A byte that UTF-8 does not use stands between pieces.
 CUT = b"\xff"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + CUT * 10)
@@ -79,7 +82,7 @@ class Words:
     """Word, language (its place in ``langs``) and hash of every number; 0 is the end of a piece."""
 
     def __init__(self) -> None:
-        self.word, self.lang, self.hash = [b""], [0], [0]
+        self.word, self.lang, self.hash = [b""], array("i", [0]), array("Q", [0])
         self.langs: list[str] = []
         self.numbers: dict[str, Numbers] = {}
 
@@ -116,9 +119,11 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarra
 
     ends = np.zeros(LONGEST - 1, np.int64)
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        for lang, text in zip(batch.column("lang"), batch.column("text")):
+            # One row at a time becomes a Python value, so a batch is held once.
+            lang = lang.as_py()
             numbers = words.of(lang)
-            for found in blocks(text or b""):
+            for found in blocks(text.as_py() or b""):
                 parts.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
                 size += len(found)
                 if size >= CHUNK_TOKENS:
@@ -155,23 +160,25 @@ def dealt_counts(texts: DataFrame, bits: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "at", "mass", "codes", "counts"]
         mass = np.zeros(1 << bits, np.int64)
+        edges = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32)
         at = TaskContext.get().partitionId() << 36
         for words, flat in chunks(batches):
-            keys = np.concatenate([mixed[whole] for whole, mixed in phrase_hashes(words, flat)]) >> np.uint64(32 - bits)
-            keys, counts = np.unique(keys, return_counts=True)
-            cuts = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32)).tolist()
-            mass += np.diff(np.append(0, np.cumsum(counts))[cuts])
-            codes, counts = keys.astype(np.uint32), counts.astype(np.uint32)
-            rows = [(p, i, min(i + ROW_CODES, b)) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) for i in range(a, b, ROW_CODES)]
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p for p, _, _ in rows], pa.int32()), pa.array(range(at, at + n), pa.int64()), pa.nulls(n, pa.int64()),
-                    *[pa.array([v[i:j].tobytes() for _, i, j in rows], pa.binary()) for v in (codes, counts)],
-                ],
-                names,
-            )
-            at += n
+            # One length after the other: a quarter of the memory, and different lengths share hardly any hash.
+            for whole, mixed in phrase_hashes(words, flat):
+                keys, counts = np.unique(mixed[whole] >> np.uint64(32 - bits), return_counts=True)
+                cuts = np.searchsorted(keys, edges).tolist()
+                mass += np.diff(np.append(0, np.cumsum(counts))[cuts])
+                codes, counts = keys.astype(np.uint32), counts.astype(np.uint32)
+                rows = [(p, i, min(i + ROW_CODES, b)) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) for i in range(a, b, ROW_CODES)]
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([p for p, _, _ in rows], pa.int32()), pa.array(range(at, at + n), pa.int64()), pa.nulls(n, pa.int64()),
+                        *[pa.array([v[i:j].tobytes() for _, i, j in rows], pa.binary()) for v in (codes, counts)],
+                    ],
+                    names,
+                )
+                at += n
         seen = np.flatnonzero(mass)
         n = len(seen)
         yield pa.RecordBatch.from_arrays(
@@ -227,7 +234,8 @@ def survivors(counts: DataFrame, bits: int, least: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(32 + bits - MAP_BITS)).astype(np.int64))], ["bit"])
 
         for batch in batches:
-            for p, m, c, n in zip(*(batch.column(k).to_pylist() for k in ("part", "mass", "codes", "counts"))):
+            parts, masses = batch.column("part").to_pylist(), batch.column("mass").to_pylist()
+            for p, m, c, n in zip(parts, masses, batch.column("codes"), batch.column("counts")):
                 if p != part:
                     if part is not None:
                         yield out()
@@ -235,9 +243,9 @@ def survivors(counts: DataFrame, bits: int, least: int) -> DataFrame:
                 if m is not None:
                     mass += m
                 else:
-                    codes.append(c)
-                    amounts.append(n)
-                    size += len(c) // 4
+                    codes.append(c.as_py())
+                    amounts.append(n.as_py())
+                    size += len(codes[-1]) // 4
                     if size >= max(mass // least, 1 << 18):
                         fold()
         if part is not None:
@@ -274,10 +282,12 @@ def exact_counts(texts: DataFrame, bitmap: np.ndarray, least: int) -> DataFrame:
                         key = np.unique(key, return_inverse=True)[1].ravel()
                     key = key << WORD_BITS | flat[at + k]
                 _, first, n = np.unique(key, return_index=True, return_counts=True)
-                found = [flat[at[first] + k].tolist() for k in range(size)]
                 word = words.word
-                phrases = [b" ".join([word[i] for i in own]) for own in zip(*found)]
-                yield batch_of([words.langs[words.lang[i]] for i in found[0]], phrases, [size] * len(first), n)
+                for i in range(0, len(first), BATCH_PHRASES):
+                    places = at[first[i : i + BATCH_PHRASES]]
+                    found = [flat[places + k].tolist() for k in range(size)]
+                    phrases = [b" ".join([word[i] for i in own]) for own in zip(*found)]
+                    yield batch_of([words.langs[words.lang[i]] for i in found[0]], phrases, [size] * len(places), n[i : i + BATCH_PHRASES])
 
     def batch_of(lang, phrase, size, f) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
