@@ -11,7 +11,7 @@ train a logistic classifier of the votes, which decides about the proposed spans
 The driver sees the counted patterns only: at most four kinds times three to the number of
 labelers. Everything on rows is an expression over the row; there is no shuffle of texts.
 
-A null text is an empty one. Repeated rows stay, each with its own result. Only ``doc_id`` and
+A null text is an empty one. Very long texts are read whole, in time that grows with the text and its spans. Repeated rows stay, each with its own result. Only ``doc_id`` and
 ``text`` are read, so other columns of any name do no harm. No rows give no rows.
 """
 
@@ -179,6 +179,29 @@ def votes(span: Column) -> dict[str, Column]:
     }
 
 
+def meets(span: Column, others: Column) -> Column:
+    """Whether a span overlaps one of ``others``, which are disjoint and in order.
+
+    That can only be the last one that begins before its end, which halving finds.
+    """
+    halvings = F.sequence(F.lit(1), F.length(F.bin(F.size(others).cast("long"))))
+
+    def halved(low: Column, high: Column) -> Column:
+        mid = F.shiftright(low + high, 1)
+        before = F.get(others, mid)["start"] < span["end"]
+        return F.struct(F.when((low < high) & before, mid + 1).otherwise(low).alias("low"), F.when((low < high) & ~before, mid).otherwise(high).alias("high"))
+
+    all_of = F.struct(F.lit(0).alias("low"), F.size(others).alias("high"))
+    last = F.aggregate(halvings, all_of, lambda at, _: halved(at["low"], at["high"]), lambda at: at["low"]) - 1
+    return F.coalesce(F.get(others, last)["end"] > span["start"], F.lit(False))
+
+
+def clear_of(wider: Column, base: Column) -> Column:
+    """The wider spans that meet no base span. Base spans of one kind are disjoint and in order."""
+    by_kind = F.array(*[F.filter(base, lambda b: b["kind"] == kind) for kind in KINDS])
+    return let(by_kind, lambda own: F.filter(wider, lambda w: ~F.exists(own, lambda others: meets(w, others))))
+
+
 def propose(docs: DataFrame) -> DataFrame:
     """``doc_id``, the ``base`` spans, and the ``wider`` ones that meet no base span; each with its votes."""
     text = F.coalesce("text", F.lit(""))
@@ -190,9 +213,7 @@ def propose(docs: DataFrame) -> DataFrame:
     found = found.select(
         "doc_id", F.filter("all", lambda s: ~s["wider"] & passes(s)).alias("base"), F.filter("all", lambda s: s["wider"]).alias("wider")
     )
-    clear = F.filter(
-        "wider", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    )
+    clear = clear_of(F.col("wider"), F.col("base"))
     return found.select("doc_id", F.transform("base", voted).alias("base"), F.transform(clear, voted).alias("wider"))
 
 
