@@ -49,7 +49,7 @@ PART_BYTES, PART_BITS = 1 << 24, (4, 16)
 # Bits of the bitmap of survivors.
 MAP_BITS = 25
 # Tokens of a chunk, bytes of a block of text, words that are kept numbered from chunk to chunk.
-CHUNK_TOKENS, BLOCK_BYTES, KEPT_WORDS = 1_000_000, 1 << 20, 400_000
+CHUNK_TOKENS, BLOCK_BYTES, KEPT_WORDS = 600_000, 1 << 20, 150_000
 # A number of a word in a key of three; the three limits above keep it.
 WORD_BITS = 21
 # Hashes in one row of the shuffle: a batch of rows, which Spark counts by rows, is held twice on its way to Python.
