@@ -11,7 +11,8 @@ cell too large for one task is cut into pairs of pieces.
 Equal vectors of a label are one entry with a count, so a vector that very many rows share costs
 no more than one. Vectors that are null, zero, or hold a null or a component that is not finite, and
 those with a null label, link with nothing; so do vectors of different lengths. Repeated
-``vec_id`` rows are rows of their own. Only ``vec_id``, ``embedding`` and ``label`` are read. No rows
+``vec_id`` rows are rows of their own. Floats and doubles are
+compared as they come, other numbers as doubles. Only ``vec_id``, ``embedding`` and ``label`` are read. No rows
 give no rows.
 """
 
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from lakejobs.llm.graph import components, in_units, lowest_linked, runs
 from lakejobs.llm.shared import saved
@@ -98,7 +100,8 @@ def spread(entries: DataFrame, bound: float) -> DataFrame:
                     )
 
     chosen = entries.select("rep", "weight", "embedding", "label", "dims")
-    return chosen.mapInArrow(deal, "rep long, weight long, embedding array<float>, label long, dims int, cell int, home boolean")
+    vector = chosen.schema["embedding"].dataType.simpleString()
+    return chosen.mapInArrow(deal, f"rep long, weight long, embedding {vector}, label long, dims int, cell int, home boolean")
 
 
 def unit_links(points: np.ndarray, ids: np.ndarray, weight: np.ndarray, home: np.ndarray, mine: np.ndarray, bound: float) -> tuple[np.ndarray, ...]:
@@ -134,7 +137,10 @@ def linked_entries(entries: DataFrame, bound: float) -> DataFrame:
 
 def group(vectors: DataFrame, bound: float = BOUND) -> DataFrame:
     """``vec_id``, ``n_links`` and ``component_id`` for every row."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    given = vectors.schema["embedding"].dataType
+    kind = "float" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "double"
+    embedding = F.col("embedding").cast(f"array<{kind}>").alias("embedding")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), embedding, F.col("label").cast("long").alias("label"))
     # A row number of its own keeps rows with equal or null ids apart; the stored rows fix it.
     rows = saved(rows.withColumn("at", F.monotonically_increasing_id()), "vectors")
     same = rows.where(can_link()).groupBy("label", "embedding")

@@ -50,6 +50,24 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == expected(rows)
 
 
+def test_doubles_are_not_rounded(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "ENTRIES_PER_PIVOT", 4)
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.normal(size=4)], 1) for k in range(60)]
+    # As floats these are zero, infinite, or a little below the bound.
+    rows += [(100, [1e-300, 0.0, 0.0, 0.0], 2), (101, [1e300, 0.0, 0.0, 0.0], 2)]
+    near = [0.98 + 1e-12, float(np.sqrt(1 - (0.98 + 1e-12) ** 2)), 0.0, 0.0]
+    rows += [(102, [1.0, 0.0, 0.0, 0.0], 3), (103, near, 3), (104, [0.98 - 1e-9, float(np.sqrt(1 - (0.98 - 1e-9) ** 2)), 0.0, 0.0], 4), (105, [1.0, 0.0, 0.0, 0.0], 4)]
+    unit = {k: np.array(e) / np.abs(e).max() for k, e, _ in rows}
+    unit = {k: v / np.linalg.norm(v) for k, v in unit.items()}
+    label = {k: x for k, _, x in rows}
+    want = {k: sum(label[j] == label[k] and j != k and unit[j] @ unit[k] >= 0.98 for j in unit) for k in unit}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embeddings.op9_embedding_range_join(df).collect()}
+    assert got == want
+    assert [want[k] for k in range(100, 106)] == [1, 1, 1, 1, 0, 0]
+
+
 def test_no_rows(spark):
     assert embeddings.op9_embedding_range_join(vectors([], spark)).collect() == []
 
