@@ -9,8 +9,9 @@ only one period is worked out, and each block finds its slot there. A source tha
 leaves its slots empty; the others go on in their proportions, and no document is dropped.
 
 The driver sees one total for each source, nothing for each document. A source of any size is cut
-by the hash into 4096 ranges, whose sums come before the running sums inside them, so no task
-needs a whole source.
+by the hash into ranges, whose sums come before the running sums inside them, so no task
+needs a whole source; their number grows with the rows. An id that many rows share, null among them, is cut
+further, by length and then by the places of its rows.
 
 A null ``source`` is a source of its own; a null or empty text has no characters and stands where
 its predecessor ends. Rows with equal ids are ordered by length, and equal rows are alike. Only
@@ -26,8 +27,15 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakejobs.llm.shared import saved
+from lakejobs.operators.skew import HOT_SHARE, row_place
+
 BLOCK_CHARS = 65536
 RESOLUTION = 1024
+# Rows that a range of the hash should have, and the fewest digits that tell ranges apart.
+RANGE_ROWS, LEAST_DIGITS = 1 << 14, 3
+# Parts of the rows that have a hot id and a length in common.
+SPREAD = 4096
 
 
 def shares(chars: dict[str | None, int], resolution: int = RESOLUTION) -> dict[str | None, int]:
@@ -68,24 +76,65 @@ def one_period(weights: dict[str | None, int]) -> list[tuple[str | None, int, in
     return rows
 
 
-def blocks(docs: DataFrame, block_chars: int, keep: Column | None = None) -> DataFrame:
-    """``doc_id``, ``source``, ``start`` in the source's stream and ``block``; with ``keep`` as ``row``."""
-    key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
+def id_key() -> Column:
+    return F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
+
+
+def hot_ids(docs: DataFrame, most: int) -> list[str]:
+    """The keys of the ids with more than ``most`` rows, in order."""
+    counts = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return sorted(row["key"] for row in counts.select(id_key().alias("key")).distinct().collect())
+
+
+def ranged(docs: DataFrame, total: int, range_rows: int, keep: Column | None = None) -> tuple[DataFrame, list[list[str]]]:
+    """The rows with the columns that name their range, and these columns level by level.
+
+    A range is named by the first digits of the key. A hot id stands between the rows before and after it, and its
+    rows are told apart by their length and then by their place. There are fewer than ``HOT_SHARE`` hot ids.
+    """
+    digits = LEAST_DIGITS
+    while range_rows << 4 * digits < total:
+        digits += 1
+    hot = hot_ids(docs, max(range_rows, total // HOT_SHARE))
     chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     rows = docs.select(
-        "doc_id", "source", chars.alias("chars"), key.alias("key"), F.substring(key, 1, 3).alias("part"),
+        "doc_id", "source", chars.alias("chars"), id_key().alias("key"), row_place(docs).alias("place"),
+        F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_s"),
         *([keep.alias("row")] if keep is not None else []),
-    )
-    group = [F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_s"), "part"]
-    sums = rows.groupBy(*group).agg(F.sum("chars").alias("n"))
-    earlier = Window.partitionBy("s", "no_s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    inside = Window.partitionBy("s", "no_s", "part").orderBy("key", "doc_id", "chars").rowsBetween(Window.unboundedPreceding, -1)
-    keyed = rows.withColumns({"s": F.coalesce("source", F.lit("")), "no_s": F.col("source").isNull()})
-    placed = keyed.join(starts.drop("n"), ["s", "no_s", "part"]).withColumn(
+    ).withColumn("part", F.substring("key", 1, digits))
+    if not hot:
+        return rows, [["part"]]
+    keys = F.lit(hot)
+    is_hot = F.array_contains(keys, F.col("key"))
+    at = 2 * F.size(F.filter(keys, lambda k: k <= F.col("key"))) - is_hot.cast("int")
+    length = F.when(is_hot, F.col("chars")).otherwise(F.lit(0))
+    spread = F.when(is_hot, F.pmod("place", F.lit(SPREAD))).otherwise(F.lit(0))
+    return rows.withColumns({"at": at, "size": length, "spread": spread}), [["part", "at"], ["size"], ["spread"]]
+
+
+def range_starts(rows: DataFrame, levels: list[list[str]]) -> DataFrame:
+    """The characters of a source before each range, as ``before``: those before each level's range, added up."""
+    keys = ["s", "no_s"]
+    sums = saved(rows.groupBy(*keys, *sum(levels, [])).agg(F.sum("chars").alias("n")), "ranges")
+    starts = sums.drop("n").withColumn("before", F.lit(0).cast("long"))
+    for level in levels:
+        earlier = Window.partitionBy(*keys).orderBy(*level).rowsBetween(Window.unboundedPreceding, -1)
+        keys = [*keys, *level]
+        own = sums.groupBy(*keys).agg(F.sum("n").alias("n"))
+        more = own.withColumn("more", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+        starts = starts.join(more, keys).withColumn("before", F.col("before") + F.col("more")).drop("more")
+    return starts
+
+
+def blocks(docs: DataFrame, block_chars: int, total: int, range_rows: int = RANGE_ROWS, keep: Column | None = None) -> DataFrame:
+    """``doc_id``, ``source``, ``place``, ``start`` in the source's stream and ``block``; with ``keep`` as ``row``."""
+    rows, levels = ranged(docs, total, range_rows, keep)
+    names = ["s", "no_s", *sum(levels, [])]
+    inside = Window.partitionBy(*names).orderBy("key", "doc_id", "chars", "place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(range_starts(rows, levels), names).withColumn(
         "start", F.col("before") + F.coalesce(F.sum("chars").over(inside), F.lit(0))
     )
-    return placed.withColumn("block", F.floor(F.col("start") / F.lit(block_chars)).cast("long")).drop("s", "no_s", "part", "before")
+    return placed.withColumn("block", F.floor(F.col("start") / F.lit(block_chars)).cast("long")).drop(*names, "before")
 
 
 def mix(
@@ -93,23 +142,25 @@ def mix(
     weights: dict[str | None, int] | None = None,
     block_chars: int = BLOCK_CHARS,
     keep: Column | None = None,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """``doc_id``, ``source``, ``start``, ``block``, ``weight``, ``period``, ``release``, ``deadline``, ``slot``.
 
     ``weights`` are slots a period for each source; a source they leave out gets one. By default
     they follow the square roots of the sources' characters. Documents in the order of ``slot``
-    and ``start`` are the mixture.
+    and ``start`` are the mixture. With ``keep`` it comes as ``row``, and a hash of the row's place as ``place``.
     """
     spark = docs.sparkSession
     # The small sums are all that is collected: one row for each source.
-    found = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("n"))
-    chars = {row["source"]: row["n"] for row in found.collect()}
+    sums = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("n")
+    found = docs.groupBy("source").agg(sums, F.count("*").alias("rows")).collect()
+    chars = {row["source"]: row["n"] for row in found}
     given = shares(chars) if weights is None else {s: weights.get(s, 1) for s in chars}
     plan = spark.createDataFrame(
         one_period(given), "plan_source string, turn long, weight long, period long, first_slot long"
     )
     of_source = plan.groupBy("plan_source").agg(F.max("weight").alias("weight"), F.max("period").alias("period"))
-    rows = blocks(docs, block_chars, keep)
+    rows = blocks(docs, block_chars, sum(row["rows"] for row in found), range_rows, keep)
     # One row for each source, then one for each slot of a period: at most a few thousand and the
     # number of sources, so Spark's own size limit decides whether they are broadcast.
     weighed = rows.join(of_source, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
@@ -122,7 +173,7 @@ def mix(
         F.expr("(block * period) div weight").alias("release"),
         F.expr("((block + 1) * period + weight - 1) div weight").alias("deadline"),
         (whole * F.col("period") + F.col("first_slot")).alias("slot"),
-        *(["row"] if keep is not None else []),
+        *(["row", "place"] if keep is not None else []),
     )
 
 
@@ -133,9 +184,10 @@ def in_order(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     the order of their names reads the mixture.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    timed = mix(docs, block_chars=block_chars, keep=whole).select("slot", "start", "source", "doc_id", "row")
-    ordered = timed.repartitionByRange("slot", "start", "source", "doc_id")
-    return ordered.sortWithinPartitions("slot", "start", "source", "doc_id").select("row.*")
+    # Rows without characters may share all but their place.
+    order = ["slot", "start", "source", "doc_id", "place"]
+    timed = mix(docs, block_chars=block_chars, keep=whole).select(*order, "row")
+    return timed.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
 
 
 def op3_pfair_mixing(docs: DataFrame) -> DataFrame:

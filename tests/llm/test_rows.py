@@ -173,6 +173,26 @@ def test_mixture(documents, odd_rows):
     assert ordered.columns == docs.columns and sorted(map(str, ordered.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_null_and_repeated_ids_of_a_mixture_are_spread(documents):
+    rng = random.Random(9)
+    ids = [None] * 900 + [7] * 900 + [8] * 200 + list(range(1000, 1700))
+    rows = [(i, "x" * (40 if k % 2 else rng.randrange(60))) for k, i in enumerate(ids)]
+    rng.shuffle(rows)
+    docs = documents(rows, [rng.choice(["a", "a", None]) for _ in rows])
+    docs = docs.withColumn("n_chars", F.monotonically_increasing_id())
+    labelled, levels = mixing.ranged(docs, len(rows), 100)
+    assert len(levels) == 3 and max(r["count"] for r in labelled.groupBy("s", "no_s", *sum(levels, [])).count().collect()) < 25
+    expected, ends = [], defaultdict(int)
+    key = lambda r: (hashlib.md5(str(r.doc_id).encode()).hexdigest() if r.doc_id is not None else "", len(r.text))
+    for r in sorted(docs.collect(), key=key):
+        expected.append((r.doc_id, r.source, ends[r.source]))
+        ends[r.source] += len(r.text)
+    for range_rows in (100, mixing.RANGE_ROWS):
+        got = mixing.mix(docs, {"a": 2, None: 1}, block_chars=500, range_rows=range_rows).collect()
+        assert sorted(((r.doc_id, r.source, r.start) for r in got), key=str) == sorted(expected, key=str)
+        assert all(r.release <= r.slot < r.deadline for r in got)
+
+
 def test_no_rows(documents):
     none = documents([])
     for operator in (pii.op1_pii, mixing.op3_pfair_mixing, quality_rules.op10_quality_rules, mixing.in_order):
