@@ -10,7 +10,6 @@ from lakejobs import constants as K
 from lakejobs.operators import filters, grid, readings, recommend, reports
 from lakejobs.operators.skew import BROADCAST_WEIGHT
 from lakejobs.plans import weather
-from lakejobs.sources import versions
 from lakejobs.sources.grids import read_grid_day
 
 STATIONS = [
@@ -184,31 +183,6 @@ def test_grid_store_is_pruned_by_folder(spark, out):
     assert {f.split("/")[-2] for f in day.inputFiles()} == {"month=02"}
 
 
-# --- versions ----------------------------------------------------------------------------
-
-
-def test_versions_equal_the_first_appends(spark, out):
-    parts = [[(1, "ann", 33), (2, "bob", 34)], [(3, "cy", 1)], [(4, "di", None), (1, "ann", 33)]]
-    for i, rows in enumerate(parts):
-        assert versions.append_version(spark.createDataFrame(rows, "id int, name string, value int"), out) == i + 1
-    for v in range(1, 4):
-        got = versions.read_version(spark, out, v).select("id", "name", "value").collect()
-        assert sorted(map(str, map(tuple, got))) == sorted(map(str, sum(parts[:v], [])))
-    assert versions.read_version(spark, out).count() == 5
-    assert versions.list_versions(spark, out).count() == 3
-    with pytest.raises(ValueError):
-        versions.read_version(spark, out, 4)
-
-
-def test_an_append_that_died_is_unseen_and_overwritten(spark, out):
-    rows = spark.range(3)
-    versions.append_version(rows, out)
-    rows.write.parquet(f"{out}/data/_version=2")  # written, but not in the log
-    assert versions.read_version(spark, out).count() == 3
-    assert versions.append_version(spark.range(5), out) == 2
-    assert versions.read_version(spark, out).count() == 8
-
-
 # --- recommender -------------------------------------------------------------------------
 
 

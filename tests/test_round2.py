@@ -11,7 +11,6 @@ from lakejobs import session
 from lakejobs.operators import filters, grid, readings, recommend
 from lakejobs.operators.spatial import locate_first
 from lakejobs.plans import QUERIES, stored
-from lakejobs.sources import versions
 from lakejobs.sources.polygons import read_polygons
 
 
@@ -43,12 +42,6 @@ def test_two_arrays_for_one_time_are_an_error(spark):
     assert [(r["measure"], r["time"]) for r in step.collect()] == [("p", 2)]
 
 
-def test_later_columns_are_read(spark, out):
-    versions.append_version(spark.createDataFrame([(1,)], "id int"), out)
-    versions.append_version(spark.createDataFrame([(2, "x")], "id int, x string"), out)
-    assert sorted((r["id"], r["x"]) for r in versions.read_version(spark, out).collect()) == [(1, None), (2, "x")]
-
-
 def test_version_queries_read_plain_folders_of_a_version_column(spark, tmp_path):
     rows = [(1, "P"), (2, None), (3, "F"), (4, "O"), (5, "F")]
     spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
