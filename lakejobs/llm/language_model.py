@@ -3,11 +3,15 @@
 A token is a word or the end of a text. Every token has a class: some frequent words and the end
 have one of their own, the other words go by their last letters. The model is class-factored:
 
-    P(token | history) = P(class | history) * (count + 1) / (mass of the class)
+    P(token | history) = P(class | history) * P(leaf | class, history) * (count + 1) / (mass of the leaf)
 
 where the class is a softmax over hashed features of the history: the word before (an n-gram
-feature), the word before that (a skip feature), and the pair of their classes. Inside a class,
-counts are raised by one and one unseen word has room, so probabilities add up to one.
+feature), the word before that (a skip feature), and the pair of their classes. The leaf is a
+softmax too, taken as choices among WAYS down a Huffman tree of the class, each with hashed features of
+the word before and the one before that for its node. A frequent word is a leaf of its own; the others
+are dealt to leaves by their hash, of which there are about as many as words, up to BUCKETS. A choice
+without features is that of the counts, raised by one; one unseen word has room in a class, its share of a
+leaf being that of an even hash, so probabilities add up to one.
 
 Counting is a Spark aggregation over all training texts. Training runs in rounds over parts of
 them: every task takes AdaGrad steps on its texts from the same weights, and the weights move by the
@@ -23,7 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import chain
 
 import numpy as np
@@ -41,11 +45,18 @@ END = b""
 HEAD = (1 << 17) - 1
 CLASSES, OWN_CLASSES = 32, 8
 FEATURE_ROWS = 1 << 14
+# Leaves that words outside the head share, branches of a choice inside a class, and the most rows of the choices' weights.
+BUCKETS = 1 << 17
+WAYS = 16
+CHOICE_ROWS = 1 << 16
 ROUNDS = 2
 STEP_TOKENS, STEP_SIZE = 8192, 0.15
+# The largest score that goes into a power, the least power of a taken branch, and the runs that are added member by member.
+MOST, LEAST, FEW = np.float32(80), np.float32(1e-37), 4
 CHUNK_TOKENS = 400_000
 KEPT_CODES = 500_000
 BLOCK_ROWS = 512
+BLOCK_WEIGHTS = BLOCK_ROWS * CLASSES
 ENDINGS = b".,;:!?\"')]}#*$%&|"
 
 
@@ -64,9 +75,32 @@ def ending(word: bytes) -> bytes:
     return word.rstrip(ENDINGS)[-2:]
 
 
+@dataclass
+class Trees:
+    """The classes' trees: leaves first, those of the head by their place, then the shared ones of each class.
+
+    A node knows the one above it (-1: none), and which of its branches it is. The logs of the shares that counts
+    give the branches stand in ``shares``, from the first node that is no leaf. A class whose word is alone has no choices.
+    """
+
+    above: np.ndarray
+    branch: np.ndarray
+    shares: np.ndarray
+    # By leaf, the log10 of its mass; by class, its first shared leaf and how many less one.
+    log_mass: np.ndarray
+    first: np.ndarray
+    mask: np.ndarray
+    # One row for each hash of a word and a node, one column a branch.
+    weights: np.ndarray
+
+    def leaves(self, flat: np.ndarray) -> np.ndarray:
+        place, own = flat & HEAD, flat >> 17 & 63
+        return np.where(place > 0, place, self.first[own] + (flat >> 23 & self.mask[own]))
+
+
 @dataclass
 class Model:
-    """What tasks need: classes by word and by ending, the head's counts, and the weights."""
+    """What tasks need: classes by word and by ending, the head's counts, the trees, and the weights."""
 
     own: dict[bytes, int]
     by_ending: dict[bytes, int]
@@ -75,12 +109,17 @@ class Model:
     # One row a feature, one column a class; the last row is the constant.
     weights: np.ndarray = field(default_factory=lambda: np.zeros((FEATURE_ROWS + 1, CLASSES), np.float32))
     log_mass: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
+    trees: Trees | None = None
 
     def class_of(self, word: bytes) -> int:
         found = self.own.get(word)
         return self.by_ending.get(ending(word), CLASSES - 1) if found is None else found
 
 
+def hashed(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) & (1 << 40) - 1
+
+
 class Codes(dict):
     """Per word one number: 40 bits of its hash, 6 of its class, 17 of its place in the head (0: not there)."""
 
@@ -90,7 +129,7 @@ class Codes(dict):
 
     def __missing__(self, word: bytes) -> int:
         model = self.model
-        code = (xxhash.xxh64_intdigest(word) & (1 << 40) - 1) << 23 | model.class_of(word) << 17 | model.head.get(word, 0)
+        code = hashed(word) << 23 | model.class_of(word) << 17 | model.head.get(word, 0)
         if len(self) >= KEPT_CODES:
             self.clear()
         self[word] = code
@@ -122,37 +161,115 @@ def features(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def centred_scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The classes' scores of some tokens, the largest of each token being 0."""
+def histories(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each token a number for the word before, and one for the word before that."""
+    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.arange(len(flat))
+    out = np.empty((2, len(flat)), np.uint32)
+    for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+        word = np.where(at - k > starts, flat[np.maximum(at - k - 1, 0)] >> 23, -1)
+        out[k] = word.astype(np.uint64) * np.uint64(odd) >> np.uint64(32)
+    return out
+
+
+def choices(trees: Trees, before: np.ndarray, leaves: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens, their two rows, branches, scores): the choices of some tokens, from the leaves up.
+
+    Scores are those of all branches, as powers of e.
+    """
+    shift = np.uint32(33 - len(trees.weights).bit_length())
+    token, node = np.arange(len(leaves)), leaves
+    while True:
+        above = trees.above[node]
+        going = above >= 0
+        if not going.all():
+            token, node, above = token[going], node[going], above[going]
+        if not len(token):
+            return
+        at = before[:, token] ^ above.astype(np.uint32) * np.uint32(0x85EBCA6B)
+        at *= np.uint32(0x9E3779B1)
+        at >>= shift
+        score = np.take(trees.shares, above - len(trees.log_mass), axis=0)
+        score += np.take(trees.weights, at[0], axis=0)
+        score += np.take(trees.weights, at[1], axis=0)
+        yield token, at, trees.branch[node], np.exp(np.minimum(score, MOST, out=score), out=score)
+        node = above
+
+
+def log_leaf(trees: Trees, before: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """The log of the leaves' probabilities inside their classes."""
+    out = np.zeros(len(leaves))
+    for token, _, branch, score in choices(trees, before, leaves):
+        taken = np.maximum(score[np.arange(len(token)), branch], LEAST)
+        out[token] += np.log(taken / row_sums(score))
+    return out
+
+
+def learn_leaves(trees: Trees, squares: np.ndarray, before: np.ndarray, leaves: np.ndarray) -> None:
+    """One AdaGrad step on the choices of some tokens."""
+    rows, misses = [], []
+    for _, at, branch, miss in choices(trees, before, leaves):
+        miss /= row_sums(miss)[:, None]
+        miss[np.arange(len(branch)), branch] -= 1
+        rows.append(at)
+        misses.append(miss)
+    if rows:
+        step(trees.weights, squares, *slopes(np.concatenate(rows, axis=1), np.concatenate(misses)))
+
+
+def scores(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The classes' scores of some tokens, at most MOST, so that sums of their powers stay finite."""
     score = np.take(weights, rows[0], axis=0)
     score += np.take(weights, rows[1], axis=0)
     score += np.take(weights, rows[2], axis=0)
     score += weights[-1]
-    score -= score.max(axis=1, keepdims=True)
-    return score
+    return np.minimum(score, MOST, out=score)
+
+
+def row_sums(values: np.ndarray) -> np.ndarray:
+    """As a product, which for short rows is several times faster than a sum."""
+    return values @ np.ones(values.shape[1], values.dtype)
 
 
 def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    score = centred_scores(weights, rows)
-    score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
+    score = scores(weights, rows)
+    score -= np.log(row_sums(np.exp(score)))[:, None]
     return score
 
 
 def learn(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """One AdaGrad step on some tokens."""
     n = len(classes)
-    miss = centred_scores(weights, rows)
+    miss = scores(weights, rows)
     np.exp(miss, out=miss)
-    miss /= miss.sum(axis=1, keepdims=True)
+    miss /= row_sums(miss)[:, None]
     miss[np.arange(n), classes] -= 1
+    which, slope = slopes(rows, miss)
+    step(weights, squares, np.append(which, len(weights) - 1), np.vstack((slope, miss.sum(axis=0))))
+
+
+def slopes(rows: np.ndarray, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows met, at most 65,536 of them, each once, and the sums of their tokens' misses."""
     # Small integers are sorted by their digits.
     at = rows.ravel().astype(np.uint16)
     order = np.argsort(at, kind="stable")
     at = at[order].astype(np.int64)
+    order %= len(miss)
     starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    slope = np.add.reduceat(np.take(miss, order % n, axis=0), starts, axis=0)
-    which = np.append(at[starts], len(weights) - 1)
-    slope = np.vstack((slope, miss.sum(axis=0)))
+    sizes = np.diff(np.append(starts, len(at)))
+    # Most rows are met once or twice; a sum over runs pays for every run.
+    slope = np.take(miss, order[starts], axis=0)
+    for k in range(1, FEW):
+        some = np.flatnonzero((sizes > k) & (sizes <= FEW))
+        slope[some] += np.take(miss, order[starts[some] + k], axis=0)
+    many = sizes > FEW
+    if many.any():
+        own = sizes[many]
+        slope[many] = np.add.reduceat(np.take(miss, order[np.repeat(many, sizes)], axis=0), np.cumsum(own) - own, axis=0)
+    return at[starts], slope
+
+
+def step(weights: np.ndarray, squares: np.ndarray, which: np.ndarray, slope: np.ndarray) -> None:
     square = np.take(squares, which, axis=0)
     square += slope * slope
     squares[which] = square
@@ -199,9 +316,8 @@ def head_of(counts: DataFrame) -> list:
     return sorted(counts.where(F.col("c") >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
 
 
-def choose_classes(counts: DataFrame) -> Model:
+def choose_classes(top: list) -> Model:
     """Classes and the head from the most frequent words."""
-    top = head_of(counts)
     own = {END: 0}
     for row in top:
         if len(own) <= OWN_CLASSES:
@@ -235,6 +351,82 @@ def class_masses(counts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarra
     return size, words
 
 
+def huffman(masses: np.ndarray, leaves: np.ndarray, first: int, above: np.ndarray, branch: np.ndarray, shares: np.ndarray) -> int:
+    """Joins the leaves into one tree whose other nodes are numbered from ``first``; returns the next number.
+
+    The lightest are joined again and again: leaves in the order of mass, or joined nodes in the order they were made.
+    """
+    size = len(above) - len(shares)
+    order = np.argsort(masses, kind="stable")
+    # Branches without words, so that every choice has WAYS of them.
+    empty = -(len(leaves) - 1) % (WAYS - 1)
+    waiting, mass = [-1] * empty + leaves[order].tolist(), [0.0] * empty + masses[order].tolist()
+    made: list[float] = []
+    i = j = 0
+    while len(waiting) - i + len(made) - j > 1:
+        node, joined = first + len(made), []
+        for k in range(WAYS):
+            if j >= len(made) or i < len(mass) and mass[i] <= made[j]:
+                own = waiting[i]
+                joined.append(mass[i])
+                i += 1
+            else:
+                own = first + j
+                joined.append(made[j])
+                j += 1
+            if own >= 0:
+                above[own], branch[own] = node, k
+        made.append(sum(joined))
+        with np.errstate(divide="ignore"):
+            shares[node - size] = np.log(np.array(joined) / made[-1])
+    return first + len(made)
+
+
+def grow_trees(counts: DataFrame, model: Model, top: list, words: np.ndarray) -> Trees:
+    """The trees of the classes, from the counts of the head and the sums of the other words' by shared leaf."""
+    own = np.fromiter((model.class_of(bytes(row["word"])) for row in top), np.int64, len(top))
+    rare = words - np.bincount(own, minlength=CLASSES)
+    wanted = np.maximum(1, rare * min(1, BUCKETS / max(1, rare.sum())))
+    shared = 1 << np.floor(np.log2(wanted)).astype(np.int64)
+    size = len(top) + 1 + int(shared.sum())
+    inner = size // (WAYS - 1) + 2 * CLASSES
+    trees = Trees(
+        np.full(size + inner, -1, np.int32), np.zeros(size + inner, np.int8), np.zeros((inner, WAYS), np.float32), np.zeros(size),
+        len(top) + 1 + np.cumsum(shared) - shared, shared - 1, np.zeros((0, WAYS), np.float32),
+    )
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size, np.int64)
+        for batch in batches:
+            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
+                if word not in model.head:
+                    k = model.class_of(word)
+                    sums[trees.first[k] + (hashed(word) & int(trees.mask[k]))] += c + 1
+        leaves = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(sums[leaves])], ["leaf", "mass"])
+
+    mass = np.zeros(size)
+    # At most BUCKETS and a few numbers.
+    for row in counts.mapInArrow(emit, "leaf long, mass long").groupBy("leaf").agg(F.sum("mass").alias("mass")).collect():
+        mass[row["leaf"]] = row["mass"]
+    mass[1 : len(top) + 1] = [row["c"] + 1 for row in top]
+    mass[len(top) + 1 :] += np.repeat(1 / shared, shared)
+    alone = set(model.own.values())
+    place = np.arange(1, len(top) + 1)
+    following = size
+    trees.log_mass[1:] = np.log10(mass[1:])
+    for k in range(CLASSES):
+        leaves = np.append(place[own == k], np.arange(shared[k]) + trees.first[k])
+        if k in alone:
+            trees.log_mass[leaves] = np.log10(mass[leaves].sum())
+        else:
+            following = huffman(mass[leaves], leaves, following, trees.above, trees.branch, trees.shares)
+    # A row and more for four words of the training rows, as far as they go.
+    bits = max(10, min(CHOICE_ROWS.bit_length() - 1, int(words.sum() // 4).bit_length()))
+    trees.weights = np.zeros((1 << bits, WAYS), np.float32)
+    return trees
+
+
 def summed(moves: DataFrame, keys: list[str]) -> DataFrame:
     """Moves of the weights added up by key, one batch at a time."""
 
@@ -261,22 +453,27 @@ def summed(moves: DataFrame, keys: list[str]) -> DataFrame:
     return dealt.mapInArrow(add, ", ".join(f"{k} int" for k in keys) + ", move binary, n long")
 
 
-def one_round(docs: DataFrame, model: Model) -> np.ndarray:
-    """The weights after every task has learned from its texts and the moves are averaged."""
+def one_round(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of classes and of choices after every task has learned from its texts and the moves are averaged."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(model)
         weights, squares = model.weights.copy(), np.zeros_like(model.weights)
+        trees = replace(model.trees, weights=model.trees.weights.copy())
+        inner_squares = np.zeros_like(trees.weights)
         n = 0
         for batch in batches:
             for _, _, flat, lengths in chunks(batch.column("text").cast(pa.binary()).to_pylist(), codes):
                 rows, classes = features(flat, lengths), flat >> 17 & 63
+                before, leaves = histories(flat, lengths), trees.leaves(flat)
                 for at in range(0, len(flat), STEP_TOKENS):
                     learn(weights, squares, rows[:, at : at + STEP_TOKENS], classes[at : at + STEP_TOKENS])
+                    learn_leaves(trees, inner_squares, before[:, at : at + STEP_TOKENS], leaves[at : at + STEP_TOKENS])
                 n += len(flat)
         if n:
-            move = (weights - model.weights) * np.float32(n)
-            parts = [move[i : i + BLOCK_ROWS].astype(np.float32).tobytes() for i in range(0, len(move), BLOCK_ROWS)]
+            moved = ((weights - model.weights).ravel(), (trees.weights - model.trees.weights).ravel())
+            move = np.concatenate(moved) * np.float32(n)
+            parts = [move[i : i + BLOCK_WEIGHTS].tobytes() for i in range(0, len(move), BLOCK_WEIGHTS)]
             size = len(parts)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -287,23 +484,25 @@ def one_round(docs: DataFrame, model: Model) -> np.ndarray:
             )
 
     moves = docs.select("text").mapInArrow(train, "block int, part int, move binary, n long")
-    weights = model.weights.copy()
+    weights = np.concatenate((model.weights.ravel(), model.trees.weights.ravel()))
     for row in summed(summed(moves, ["block", "part"]), ["block"]).collect():
-        at = row["block"] * BLOCK_ROWS
-        move = np.frombuffer(bytes(row["move"]), np.float32).reshape(-1, CLASSES)
+        at = row["block"] * BLOCK_WEIGHTS
+        move = np.frombuffer(bytes(row["move"]), np.float32)
         weights[at : at + len(move)] += move / np.float32(row["n"])
-    return weights
+    return weights[: model.weights.size].reshape(-1, CLASSES), weights[model.weights.size :].reshape(-1, WAYS)
 
 
 def fit(docs: DataFrame, counts: DataFrame) -> Model:
     """Classes from the counts, then the rounds, each over its part of the training rows."""
-    model = choose_classes(counts)
+    top = head_of(counts)
+    model = choose_classes(top)
     size, words = class_masses(counts, model)
     model.log_mass = np.log10(size + words + 1)
     model.weights[-1] = np.log((size + 1) / (size.sum() + CLASSES))
+    model.trees = grow_trees(counts, model, top, words)
     for k in range(ROUNDS):
         part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k
-        model.weights = one_round(docs.where(~held_out() & part), model)
+        model.weights, model.trees.weights = one_round(docs.where(~held_out() & part), model)
     return model
 
 
@@ -320,11 +519,13 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for first, words, flat, lengths in chunks(texts, codes):
                 rows, classes, place = features(flat, lengths), flat >> 17 & 63, flat & HEAD
+                before, leaves = histories(flat, lengths), model.trees.leaves(flat)
                 chance = np.empty(len(flat))
                 for i in range(0, len(flat), 1 << 15):
                     own = classes[i : i + (1 << 15)]
-                    chance[i : i + (1 << 15)] = log_softmax(model.weights, rows[:, i : i + (1 << 15)])[np.arange(len(own)), own]
-                chance = chance / np.log(10) - model.log_mass[classes]
+                    inside = log_leaf(model.trees, before[:, i : i + (1 << 15)], leaves[i : i + (1 << 15)])
+                    chance[i : i + (1 << 15)] = log_softmax(model.weights, rows[:, i : i + (1 << 15)])[np.arange(len(own)), own] + inside
+                chance = chance / np.log(10) - model.trees.log_mass[leaves]
                 starts = np.cumsum(lengths) - lengths
                 sums = [np.add.reduceat(v, starts) for v in (model.log_head[place], chance, (place > 0).astype(np.int64))]
                 ids = batch.column("doc_id").slice(first, len(words))

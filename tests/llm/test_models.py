@@ -163,3 +163,29 @@ def test_grades_against_the_fit_without_spark(documents, rated):
         want.add((i, round(float(above.sum()), 9), round(float(above[-1]), 9), bool(above[-1] >= qc.KEEP_FROM)))
     close = lambda a, b: a[0] == b[0] and a[3] == b[3] and abs(a[1] - b[1]) < 1e-5 and abs(a[2] - b[2]) < 1e-5
     assert len(got) == len(want) and all(any(close(a, b) for b in want) for a in got)
+
+
+def test_history_tells_words_of_one_class_apart(spark, documents, monkeypatch):
+    monkeypatch.setattr(lm, "STEP_TOKENS", 256)
+    rng = random.Random(9)
+
+    def pairs():
+        return " ".join(f"x{k}ab y{k}ab" for k in (rng.randrange(30) for _ in range(rng.randrange(10, 40))))
+
+    docs = documents([(k, pairs()) for k in range(1500)])
+    counts = lm.count_words(docs.where(~lm.held_out()))
+    rare = [f"r{k}ab".encode() for k in range(40)]
+    more = spark.createDataFrame([(w, 1) for w in rare], "word binary, c long")
+    counts = counts.unionByName(more).localCheckpoint()
+    model = lm.fit(docs, counts)
+    # The leaves of a class add up to one, whatever the history; so do masses of leaves to that of the class.
+    trees = model.trees
+    place = {model.head[bytes(r["word"])]: model.class_of(bytes(r["word"])) for r in counts.collect() if bytes(r["word"]) in model.head}
+    for k in set(range(lm.CLASSES)) - set(model.own.values()):
+        leaves = np.array([p for p, c in place.items() if c == k] + list(range(trees.first[k], trees.first[k] + trees.mask[k] + 1)))
+        before = np.repeat(np.random.default_rng(k).integers(0, 1 << 32, (2, 1), np.uint32), len(leaves), axis=1)
+        assert abs(np.exp(lm.log_leaf(trees, before, leaves)).sum() - 1) < 1e-4
+        assert abs((10 ** trees.log_mass[leaves]).sum() - 10 ** model.log_mass[k]) < 1e-6 * 10 ** model.log_mass[k]
+    # Every y follows its x, and all of them may be of one class or single: the next word has to be told by the history.
+    rows = [r for r in lm.score_all(docs).collect() if r.held_out]
+    assert len(rows) > 100 and sum(r.score for r in rows) > 0.75 * sum(r.base_score for r in rows)
