@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 shared folder and read again as the next stage's documents. The first drops what the quality
 classifier rejects; the second takes duplicate lines out, and documents that lose their last word; the third
 keeps, of each group of near duplicates, one document, that of the smallest id; the fourth puts the
-documents in the order of the mixture; the last packs them. All but the last return the columns
+documents in the order of the mixture; the last packs them, so that the sequences follow that order. All but the last return the columns
 of the documents. Empty tables, nulls and repeated rows fare as the operators' docstrings say.
 """
 
@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack_in_order(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

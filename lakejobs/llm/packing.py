@@ -23,11 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lakejobs.llm.shared import saved
+from lakejobs.operators.skew import stored_rows
 
 CAPACITY = 2048
 END = np.array([0], "<u4").tobytes()
@@ -103,29 +104,31 @@ def words_of_worker(path: str) -> Words:
     return _WORDS[path]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every document."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, place: Column | None = None) -> DataFrame:
+    """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every document; with ``place`` that too."""
     step = 4 * capacity
+    carried = [] if place is None else [place.cast("long").alias("place")]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["place"] if carried else [])]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words_of_worker(path)
         for batch in batches:
             rows: list[tuple] = []
-            ids = batch.column("doc_id").to_pylist()
-            for doc_id, text in zip(ids, batch.column("text").cast(pa.binary()).to_pylist()):
+            kept = zip(*[batch.column(c).to_pylist() for c in ["doc_id", *names[5:]]])
+            for (doc_id, *own), text in zip(kept, batch.column("text").cast(pa.binary()).to_pylist()):
                 text = text or b""
                 # A special token may hold no white space but stand anywhere: then the whole text is read at once.
                 tokens = known.ids(text.decode()) if b"<|" in text else b"".join(map(known.__getitem__, text.split()))
                 tokens += END
                 for k, at in enumerate(range(0, len(tokens), step)):
                     part = tokens[at : at + step]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows)) or [()] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *own))
+            columns = list(zip(*rows)) or [()] * len(names)
+            types = [pa.int32() if c == "piece" else pa.int64() for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
+    return rows.mapInArrow(cut, ", ".join(f"{c} {'int' if c == 'piece' else 'long'}" for c in names))
 
 
 class Capacities:
@@ -200,22 +203,67 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
 
 
 def ranked(cut: DataFrame, total: int) -> DataFrame:
-    """The pieces with their ``rank`` among those of their length.
+    """The pieces with their ``rank`` among those of their length, which follows ``place`` where they have one.
 
-    A length that many pieces have is numbered in parts: counts of the parts come first.
+    A length that many pieces have is numbered in parts: counts of the parts come first. Places are numbers from 0
+    without gaps, one a document, so ranges of them are parts.
     """
     parts = max(64, total // 100_000)
-    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
+    part, order = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)), ["doc_id", "piece", "ids_crc32"]
+    if "place" in cut.columns:
+        part, order = F.floor(F.col("place") / max(1, -(-total // parts))), ["place", "piece"]
+    dealt = cut.withColumn("part", part.cast("int"))
     counted = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "part").orderBy(*order)
     return dealt.join(starts, ["length", "part"]).withColumn("rank", F.col("before") + F.row_number().over(inside) - 1).drop("part", "before")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``. The token pass is run once and stored, without texts."""
-    cut = saved(pieces(docs, path or public_tokenizers.path("word_bpe_49k.json"), capacity), "pieces")
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The rows with their number from 0 in this order, which no two share; stored.
+
+    They are sorted in ranges, and what stands before a range is the sum of the ranges before.
+    """
+    ordered = saved(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each shuffle partition.
+    starts = ordered.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    made = ordered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
+    return made.drop("_part", "_start")
+
+
+def stored_places(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """The documents as they are stored, and the place of each in the order of the files' names and of the rows in them."""
+    stored = stored_rows(docs)
+    file = F.col("_metadata.file_name")
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each file.
+    files = stored.groupBy(file.alias("file")).agg(F.count("*").alias("n")).select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    rows = stored.select("doc_id", "text", file.alias("file"), F.col("_metadata.row_index").alias("at"))
+    return rows.join(F.broadcast(files), "file"), F.col("first") + F.col("at")
+
+
+def pack_in_order(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """``pack`` for documents whose order in the stored files counts, such as that of a mixture.
+
+    There are as few sequences. Pieces of one length go to places in the order of their documents, and
+    sequences are numbered in the order of their first documents.
+    """
+    rows, place = stored_places(docs)
+    packed = saved(pack(rows, path, capacity, place), "packed")
+    first = packed.groupBy("sequence_id").agg(F.min(F.struct("place", "piece")).alias("first"))
+    turns = numbered(first, ["first"], "turn").select("sequence_id", "turn")
+    return packed.join(turns, "sequence_id").withColumn("sequence_id", F.col("turn")).select(*[c for c in packed.columns if c != "place"])
+
+
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, place_of: Column | None = None) -> DataFrame:
+    """The pieces with ``sequence_id`` and ``offset``. The token pass is run once and stored, without texts.
+
+    With ``place_of`` it comes as ``place``, and pieces of one length are placed in that order.
+    """
+    cut = saved(pieces(docs, path or public_tokenizers.path("word_bpe_49k.json"), capacity, place_of), "pieces")
     counts = {row["length"]: row["count"] for row in cut.groupBy("length").count().collect()}
     plan = np.array(best_fit(counts, capacity), np.int64).reshape(-1, 5)
     # The runs of a length follow each other in rank, so a piece finds its run by bisection.
@@ -238,7 +286,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
             kept = [batch.column(c) for c in cut_names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(plan[run, 4])], [*cut_names, "sequence_id", "offset"])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    schema = ", ".join(f"{c} {'int' if c == 'piece' else 'long'}" for c in [*cut_names, "sequence_id", "offset"])
     rows = ranked(cut, sum(counts.values())).select(*cut_names, F.col("rank").cast("long").alias("rank"))
     return rows.mapInArrow(place, schema)
 

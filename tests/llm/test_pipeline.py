@@ -94,3 +94,37 @@ def test_extra_columns_of_any_name(spark, tmp_path):
         assert made.columns == docs.columns
     assert {(r["doc_id"], r["my col"], r["a-b:c"], r["a.b"][0]) for r in made.collect()} <= {(k, "x", k, k) for k in range(60)}
     assert cp.run(spark, sf).count() >= made.count() > 0
+
+
+def test_sequences_follow_the_mixture(spark, documents, tmp_path):
+    rng = random.Random(8)
+    # Sources of unlike size, in long runs as they came; most documents fill more than half a sequence.
+    rows = [(k, " ".join(rng.choices(["one", "two", "three"], k=rng.choice([1500, 1500, 300, 2500])))) for k in range(240)]
+    docs = saved(documents(rows, ["small" if k >= 200 else "large" for k in range(240)]), "mixed")
+    mixed = saved(cp.mix_sources(spark, docs, ""), "mixed")
+    place = {}
+    names = sorted({r.f for r in mixed.selectExpr("_metadata.file_name AS f").distinct().collect()})
+    for r in mixed.selectExpr("doc_id", "_metadata.file_name AS f", "_metadata.row_index AS i").collect():
+        place[r.doc_id] = (names.index(r.f), r.i)
+    got = [r.asDict() for r in cp.pack_sequences(spark, mixed, "").collect()]
+    plain = cp.packing.pack(mixed).collect()
+    key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, got)) == sorted(map(key, plain))
+    members = defaultdict(list)
+    for r in got:
+        members[r["sequence_id"]].append(r)
+    assert sorted(members) == list(range(len({r.sequence_id for r in plain})))
+    for own in members.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+    firsts = [min((place[r["doc_id"]], r["piece"]) for r in members[k]) for k in sorted(members)]
+    assert firsts == sorted(firsts)
+    # Pieces of one length are placed in the order of the mixture, so another order gives other sequences.
+    turned = docs.repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id")
+    other = cp.pack_sequences(spark, saved(turned, "turned"), "").collect()
+    assert sorted((*key(r), r["sequence_id"]) for r in other) != sorted((*key(r), r["sequence_id"]) for r in got)
+    small = [k for k in sorted(members) if any(r["doc_id"] >= 200 for r in members[k])]
+    assert small[len(small) // 2] < len(members) * 3 // 4
