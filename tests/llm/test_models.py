@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.conftest import prose
 
@@ -189,3 +190,42 @@ def test_history_tells_words_of_one_class_apart(spark, documents, monkeypatch):
     # Every y follows its x, and all of them may be of one class or single: the next word has to be told by the history.
     rows = [r for r in lm.score_all(docs).collect() if r.held_out]
     assert len(rows) > 100 and sum(r.score for r in rows) > 0.75 * sum(r.base_score for r in rows)
+
+
+def test_stored_moves_do_not_grow_with_the_partitions(spark, documents, monkeypatch):
+    stored, summed = [], lm.summed
+    monkeypatch.setattr(lm, "summed", lambda moves, keys: (stored.append((keys, moves.rdd.getNumPartitions())), summed(moves, keys))[1])
+    rng = random.Random(11)
+    docs = documents([(k, prose(rng, 20, 300)) for k in range(400)]).repartition(97)
+    assert lm.op4_maxent_scoring(docs).count() == 400
+    learned = [n for keys, n in stored if keys == ["block", "part"]]
+    assert len(learned) == lm.ROUNDS and max(learned) <= spark.sparkContext.defaultParallelism
+
+
+def test_codes_and_histories_against_plain_python(monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 40)
+    rng = random.Random(12)
+    texts = [None, "", " \x0b\r", "  A\x1cB \x85c\x0c\tZed  ", "É é", "x"] + [prose(rng, rng.randrange(0, 30), 60) for _ in range(30)]
+    model = lm.Model({lm.END: 0, b"zed": 1}, {lm.ending(w.encode()): 2 + k for k, w in enumerate(["ab", "n.", "e!"])}, {lm.END: 2, b"x": 1})
+    got = list(lm.chunks(pa.array(texts), lm.Codes(model)))
+    told = [[words[int(k)].as_py().encode() for k in which] for _, words, which, _, _ in got]
+    assert [w for some in told for w in some] == [w for t in texts for w in words(t)]
+    assert [n for c in got for n in c[4].tolist()] == [len(words(t)) for t in texts]
+    for (_, _, _, flat, lengths), some in zip(got, told):
+        assert flat.tolist() == [lm.hashed(w) << 23 | model.class_of(w) << 17 | model.head.get(w, 0) for w in some]
+        one, two = lm.earlier(flat, lengths)
+        starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        assert one.tolist() == [flat[i - 1] if i - 1 >= starts[i] else -1 for i in range(len(flat))]
+        assert two.tolist() == [flat[i - 2] if i - 2 >= starts[i] else -1 for i in range(len(flat))]
+
+
+def test_moves_are_by_the_sums_of_misses():
+    rng = np.random.default_rng(13)
+    rows = np.minimum(rng.geometric(0.02, (3, 3000)), 999) * (rng.random((3, 3000)) < 0.8)
+    miss = rng.normal(size=(3000, 8)).astype(np.float32)
+    weights, squares = np.zeros((1000, 8), np.float32), np.zeros((1000, 8), np.float32)
+    lm.move(weights, squares, rows, miss)
+    slope = np.zeros((1000, 8))
+    np.add.at(slope, rows.ravel(), np.tile(miss, (3, 1)))
+    assert np.allclose(squares, slope**2, rtol=1e-3, atol=1e-3)
+    assert np.allclose(weights, -lm.STEP_SIZE * slope / np.sqrt(slope**2 + 1e-6), atol=1e-3)
