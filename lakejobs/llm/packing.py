@@ -18,62 +18,73 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lakejobs.llm.shared import saved
+from lakejobs.llm.shared import listed_bytes, numbered_words, saved, text_slices
 from lakejobs.operators.skew import stored_rows
 
 CAPACITY = 2048
 END = np.array([0], "<u4").tobytes()
-# Kept ids of words and of their parts in a worker; beyond that the store starts anew.
-KEPT_WORDS, KEPT_RUNS = 800_000, 400_000
+# Kept ids of parts of words, and of words that are read alone, in a worker; beyond that the store starts anew.
+KEPT_PARTS, KEPT_WORDS = 800_000, 400_000
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-# How the tokenizer cuts a lower-case word of ASCII without white space; its vocabulary has these characters as they are.
-ASCII_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PRINTED = re.compile(rb"[!-~]+")
+# Characters that are composed and have one lower-case form wherever they stand, and how the tokenizer cuts words of them,
+# lower-case, with the spaces between the words.
+LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+LATIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 ]+| ")
+# What stands for a space among ids, which are all below 65,536.
+SPACE = b"\xff\xff\xff\xff"
 # The vocabulary writes a byte as its own character where that can be seen, the others in order from 256 on.
 _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = dict(zip([b for b in range(256) if b not in _SEEN], range(256, 512)))
 
 
-class Words(dict):
+class Parts(dict):
+    """The ids of one part of a word, lower-case and composed, by the merges alone."""
+
+    def __init__(self, model: object) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, text: str) -> bytes:
+        seen = text if text.isascii() else text.encode().decode("latin-1").translate(BYTES)
+        ids = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes() if text != " " else SPACE
+        if len(self) >= KEPT_PARTS:
+            self.clear()
+        self[text] = ids
+        return ids
+
+
+class Words:
     """The ids of a word between white space, as bytes of little-endian 32-bit numbers.
 
     White space ends a word for the tokenizer too, so a text's ids are those of its words. A word of
-    printable ASCII is cut into parts as the tokenizer does, and the parts go to its merges alone. So do
+    printable ASCII and Latin letters is cut into parts as the tokenizer does, and the parts go to its merges alone. So do
     other letters and the punctuation around them, unless composing or lower-casing the letters leaves a mark
     behind, which would join the punctuation; all else is read by the tokenizer as it stands.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.runs: dict[str, bytes] = {}
+        self.parts = Parts(self.tokenizer.model)
+        self.others: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def part(self, text: str) -> bytes:
-        """The ids of one part, lower-case and composed, by the merges alone."""
-        ids = self.runs.get(text)
-        if ids is None:
-            if len(self.runs) >= KEPT_RUNS:
-                self.runs.clear()
-            seen = text if text.isascii() else text.encode().decode("latin-1").translate(BYTES)
-            self.runs[text] = ids = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
-        return ids
-
-    def ascii(self, text: str) -> bytes:
-        """The ids of a lower-case word of printable ASCII."""
-        return b"".join(map(self.part, ASCII_PARTS.findall(text)))
+    def latin(self, text: str) -> bytes:
+        """The ids of words of LATIN, with SPACE between them."""
+        return b"".join(map(self.parts.__getitem__, LATIN_PARTS.findall(text.lower())))
 
     def mixed(self, text: str) -> bytes:
         """The ids of another word."""
@@ -83,15 +94,25 @@ class Words(dict):
         # A final capital sigma is lower-cased by its place in the word.
         if not letters.isalpha() or not inner.isalpha() or "\u03a3" in inner or "<|" in text:
             return self.ids(text)
-        return self.ascii(text[: len(right) - len(inner)]) + self.part(letters) + self.ascii(text[len(right) :])
+        return self.latin(text[: len(right) - len(inner)]) + self.parts[letters] + self.latin(text[len(right) :])
 
-    def __missing__(self, word: bytes) -> bytes:
-        plain = PRINTED.fullmatch(word) and b"<|" not in word
-        found = self.ascii(word.lower().decode()) if plain else self.mixed(word.decode())
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = found
-        return found
+    def other(self, text: str) -> bytes:
+        ids = self.others.get(text)
+        if ids is None:
+            if len(self.others) >= KEPT_WORDS:
+                self.others.clear()
+            self.others[text] = ids = self.mixed(text)
+        return ids
+
+    def __getitem__(self, word: bytes) -> bytes:
+        return self.of([word])[0]
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, those of LATIN read together."""
+        texts = b" ".join(words).decode().split(" ")
+        plain = [LATIN.fullmatch(text) is not None and "<|" not in text for text in texts]
+        read = iter(self.latin(" ".join(compress(texts, plain))).split(SPACE))
+        return [next(read) if p else self.other(text) for text, p in zip(texts, plain)]
 
 
 _WORDS: dict[str, Words] = {}
@@ -114,15 +135,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, place: Column |
         known = words_of_worker(path)
         for batch in batches:
             rows: list[tuple] = []
-            kept = zip(*[batch.column(c).to_pylist() for c in ["doc_id", *names[5:]]])
-            for (doc_id, *own), text in zip(kept, batch.column("text").cast(pa.binary()).to_pylist()):
-                text = text or b""
+            kept = list(zip(*[batch.column(c).to_pylist() for c in ["doc_id", *names[5:]]]))
+            for first, texts in text_slices(batch.column("text")):
+                words, which, sizes = numbered_words(texts)
+                ids = known.of(listed_bytes(words))
+                numbers, ends = which.tolist(), np.cumsum(sizes).tolist()
                 # A special token may hold no white space but stand anywhere: then the whole text is read at once.
-                tokens = known.ids(text.decode()) if b"<|" in text else b"".join(map(known.__getitem__, text.split()))
-                tokens += END
-                for k, at in enumerate(range(0, len(tokens), step)):
-                    part = tokens[at : at + step]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *own))
+                special = pc.match_substring(texts, "<|").to_pylist()
+                for i, (begin, end) in enumerate(zip([0, *ends], ends)):
+                    tokens = known.ids(texts[i].as_py()) if special[i] else b"".join(map(ids.__getitem__, numbers[begin:end]))
+                    tokens += END
+                    doc_id, *own = kept[first + i]
+                    for k, at in enumerate(range(0, len(tokens), step)):
+                        part = tokens[at : at + step]
+                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *own))
             columns = list(zip(*rows)) or [()] * len(names)
             types = [pa.int32() if c == "piece" else pa.int64() for c in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)

@@ -95,3 +95,18 @@ def test_ids_of_every_character():
     whole = "BELEDİYESİ, क़क, (ড়ন). ΟΔΟΣ, ΤΗΣ! I'LL DON'T 'S x'Re"
     got = b"".join(map(words.__getitem__, whole.encode().split()))
     assert got == np.array(tokenizer.encode(whole, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_words_read_together_keep_the_tokenizers_ids(monkeypatch):
+    """Words of all kinds in one list, with stores that overflow; only those that are not Latin are read one by one."""
+    monkeypatch.setattr(packing, "KEPT_PARTS", 7)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 2)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known, tokenizer = packing.Words(path), Tokenizer.from_file(path)
+    words = "Straße's ÀÉ,'LL óar.boa ½x ÿ×÷ ΟΔΟΣ x<|endoftext|>y áb İz µm 12a3 <|x д'Re (ção) ª ΟΔΟΣ \x85 é".split(" ")
+    alone = []
+    monkeypatch.setattr(known, "mixed", lambda text, read=known.mixed: (alone.append(text), read(text))[1])
+    got = known.of([w.encode() for w in words])
+    assert got == [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert not {"Straße's", "ÀÉ,'LL", "óar.boa", "12a3", "(ção)", "é"} & set(alone)
+    assert known.of([]) in ([], [b""]) and known[b"12a3"] == got[words.index("12a3")]
