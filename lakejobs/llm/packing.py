@@ -36,7 +36,9 @@ from lakejobs.operators.skew import stored_rows
 CAPACITY = 2048
 END = np.array([0], "<u4").tobytes()
 # Kept ids of parts of words, and of words that are read alone, in a worker; beyond that the store starts anew.
-KEPT_PARTS, KEPT_WORDS = 800_000, 400_000
+KEPT_PARTS, KEPT_WORDS = 200_000, 50_000
+# Bytes of texts whose words and ids a worker holds at once, besides a longer text.
+SLICE_BYTES = 1 << 22
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # Characters that are composed and have one lower-case form wherever they stand, and how the tokenizer cuts words of them,
 # lower-case, with the spaces between the words.
@@ -125,6 +127,19 @@ def words_of_worker(path: str) -> Words:
     return _WORDS[path]
 
 
+def tokens_of(texts: pa.Array, known: Words) -> Iterator[bytes]:
+    """The ids of each text and the end id, as bytes; a null text has the end id alone."""
+    for _, some in text_slices(texts, SLICE_BYTES):
+        words, which, sizes = numbered_words(some)
+        ids = known.of(listed_bytes(words))
+        ends = np.cumsum(sizes).tolist()
+        # A special token may hold no white space but stand anywhere: then the whole text is read at once.
+        special = pc.match_substring(some, "<|").to_pylist()
+        for i, (begin, end) in enumerate(zip([0, *ends], ends)):
+            tokens = known.ids(some[i].as_py()) if special[i] else b"".join(map(ids.__getitem__, which[begin:end].tolist()))
+            yield tokens + END
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, place: Column | None = None) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every document; with ``place`` that too."""
     step = 4 * capacity
@@ -135,20 +150,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, place: Column |
         known = words_of_worker(path)
         for batch in batches:
             rows: list[tuple] = []
-            kept = list(zip(*[batch.column(c).to_pylist() for c in ["doc_id", *names[5:]]]))
-            for first, texts in text_slices(batch.column("text")):
-                words, which, sizes = numbered_words(texts)
-                ids = known.of(listed_bytes(words))
-                numbers, ends = which.tolist(), np.cumsum(sizes).tolist()
-                # A special token may hold no white space but stand anywhere: then the whole text is read at once.
-                special = pc.match_substring(texts, "<|").to_pylist()
-                for i, (begin, end) in enumerate(zip([0, *ends], ends)):
-                    tokens = known.ids(texts[i].as_py()) if special[i] else b"".join(map(ids.__getitem__, numbers[begin:end]))
-                    tokens += END
-                    doc_id, *own = kept[first + i]
-                    for k, at in enumerate(range(0, len(tokens), step)):
-                        part = tokens[at : at + step]
-                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *own))
+            kept = zip(*[batch.column(c).to_pylist() for c in ["doc_id", *names[5:]]])
+            for (doc_id, *own), tokens in zip(kept, tokens_of(batch.column("text"), known)):
+                for k, at in enumerate(range(0, len(tokens), step)):
+                    part = tokens[at : at + step]
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *own))
             columns = list(zip(*rows)) or [()] * len(names)
             types = [pa.int32() if c == "piece" else pa.int64() for c in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)

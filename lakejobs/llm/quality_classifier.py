@@ -48,7 +48,8 @@ STEMS = range(4, 9)
 FULL_VALUE = 8
 KEEP_FROM = 0.5
 # Words a task keeps the features of, when it needs all features and when it needs those in use.
-KEPT_ALL, KEPT_USED = 60_000, 600_000
+KEPT_ALL, KEPT_USED = 60_000, 300_000
+NOTHING: tuple[tuple[int, ...], tuple[int, ...]] = ((), ())
 EDGES = b".,;:!?\"'()[]{}#*$%&|<>-_/\\"
 CAPITALS = bytes(range(65, 91))
 
@@ -74,7 +75,8 @@ class Words(dict):
             stems = [h for h in stems if not self.used.isdisjoint(several(h, 4))]
         if len(self) >= self.most:
             self.clear()
-        self[word] = value = tuple(own), tuple(stems)
+        # Words without features share one value.
+        self[word] = value = (tuple(own), tuple(stems)) if own or stems else NOTHING
         return value
 
 
@@ -231,13 +233,15 @@ def fit(found: list[np.ndarray], values: np.ndarray, told: np.ndarray) -> tuple[
 def score(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, keep: bool = False) -> DataFrame:
     """``doc_id``, ``expected_grade``, ``p_top`` and ``kept``; with ``keep`` also the document as ``row``."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([whole] if keep else []))
+    # The text goes to the workers once, within the row if that is kept.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole if keep else F.col("text"))
+    place = min(range(len(docs.columns)), key=lambda k: (docs.columns[k] != "text", docs.columns[k].lower() != "text"))
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(weights != 0)
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            scores = np.fromiter((float(weights[f].sum()) * v for f, v in (of_text(t, known) for t in texts)), float, len(texts))
+            texts = (batch.column("row").field(place) if keep else batch.column("text")).cast(pa.binary())
+            scores = np.fromiter((float(weights[f].sum()) * v for f, v in (of_text(t.as_py(), known) for t in texts)), float, len(texts))
             above = sigmoid(scores[:, None] - thresholds)
             columns = [batch.column("doc_id"), pa.array(above.sum(axis=1)), pa.array(above[:, -1]), pa.array(above[:, -1] >= KEEP_FROM)]
             names = ["doc_id", "expected_grade", "p_top", "kept"]

@@ -39,12 +39,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first text, texts) of at most SLICE_BYTES, or one text."""
+def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first text, texts) of at most so many bytes, or one text."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(texts):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
         yield at, texts.slice(at, stop - at)
         at = stop
 

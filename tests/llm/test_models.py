@@ -229,3 +229,9 @@ def test_moves_are_by_the_sums_of_misses():
     np.add.at(slope, rows.ravel(), np.tile(miss, (3, 1)))
     assert np.allclose(squares, slope**2, rtol=1e-3, atol=1e-3)
     assert np.allclose(weights, -lm.STEP_SIZE * slope / np.sqrt(slope**2 + 1e-6), atol=1e-3)
+
+
+def test_words_without_features_share_a_value():
+    """A worker keeps hundreds of thousands of words, most of them without a feature in use."""
+    known = qc.Words(np.zeros(qc.BUCKETS, bool))
+    assert known[b"mountain"] is known[b"river"] == ((), ())

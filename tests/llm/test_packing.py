@@ -1,10 +1,12 @@
 import random
+import tracemalloc
 import unicodedata
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from llm.conftest import prose
 from tokenizers import Tokenizer
 
@@ -110,3 +112,21 @@ def test_words_read_together_keep_the_tokenizers_ids(monkeypatch):
     assert got == [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
     assert not {"Straße's", "ÀÉ,'LL", "óar.boa", "12a3", "(ção)", "é"} & set(alone)
     assert known.of([]) in ([], [b""]) and known[b"12a3"] == got[words.index("12a3")]
+
+
+def test_many_texts_are_read_by_parts():
+    """What a worker holds beside the texts does not grow with their number."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join(["".join(rng.choices(letters, k=3)) for _ in range(250)]) for _ in range(200)]
+    many = pa.array(texts * 160)
+    known = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    once = [tokens for tokens in packing.tokens_of(pa.array(texts), known)]
+    tracemalloc.start()
+    for k, tokens in enumerate(packing.tokens_of(many, known)):
+        assert tokens == once[k % len(texts)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert k + 1 == len(many) and many.nbytes > 30e6
+    # All of the texts at once took over 100 MB.
+    assert most < 50e6
