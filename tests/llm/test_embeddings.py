@@ -86,3 +86,75 @@ def test_copies_reach_every_cell_they_must():
     for a, b in np.argwhere(points @ points.T >= 0.98):
         assert home[a] in cells[b]
     assert sum(map(len, cells)) < len(points) * len(pivots) / 2
+
+
+def met(spark, rows, monkeypatch):
+    """The result, and how many rows went into each step that compares or deals out vectors."""
+    df = vectors(rows, spark)
+    steps, plain = [], type(df).mapInArrow
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, *a, **b: (steps.append(self), plain(self, *a, **b))[1])
+        got = sorted((tuple(r) for r in embeddings.op9_embedding_range_join(df).collect()), key=str)
+    return got, {tuple(s.columns): s.count() for s in steps}, steps
+
+
+def test_vectors_that_pivots_do_not_part_are_copied_little(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "ENTRIES_PER_PIVOT", 20)
+    monkeypatch.setattr(embeddings, "LEAST_UNIT", 30)
+    rng = np.random.default_rng(8)
+    rows = [(k, [float(x) for x in rng.normal(size=64).astype(np.float32)], k % 2) for k in range(800)]
+    rows += [(1000 + k, [float(np.float32(x + d)) for x, d in zip(rows[k][1], rng.normal(size=64) * 0.1)], k % 2) for k in range(0, 800, 5)]
+    got, counts, _ = met(spark, rows, monkeypatch)
+    assert got == expected(rows)
+    assert max(counts.values()) <= 2.5 * len(rows)
+
+
+def test_every_two_pieces_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "LEAST_UNIT", 20)
+    rows = make(500, [0.02, 0.1, 0.15, 0.2, 1.0], 4)
+    rows += [(1000 + k, rows[k % 7][1], rows[k % 7][2]) for k in range(40)] + [(None, rows[9][1], rows[9][2]), (None, rows[50][1], rows[50][2])]
+    want = expected(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for most in (4000, 2200, 1300):
+            monkeypatch.setattr(embeddings, "PIECE_BYTES", most)
+            got, _, steps = met(spark, rows, monkeypatch)
+            assert got == want
+            pieces = steps[-1].select("unit").distinct().count()
+            assert pieces >= 10_000 // most
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_vectors_in_clusters_are_parted_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "ENTRIES_PER_PIVOT", 6)
+    monkeypatch.setattr(embeddings, "LEAST_UNIT", 50)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(8, 16))
+    rows = [(k, [float(x) for x in (centres[k % 8] + rng.normal(size=16) * rng.choice([0.03, 0.1])).astype(np.float32)], 1) for k in range(600)]
+    got, counts, steps = met(spark, rows, monkeypatch)
+    assert got == expected(rows)
+    assert steps[-1].select("cell").distinct().count() > 3
+    assert max(counts.values()) <= 2.5 * len(rows)
+
+
+def test_pairs_of_blocks(monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", (16, 32))
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 48))
+    a, b = (np.where(rng.random((n, 1)) < 0.3, centres[rng.integers(6, size=n)] + rng.normal(size=(n, 48)) * 0.12, rng.normal(size=(n, 48))) for n in (150, 90))
+    # Some are nearer to the bound than single precision tells.
+    at = rng.normal(size=(40, 48))
+    at -= (at @ a[0])[:, None] * a[0] / (a[0] @ a[0])
+    at /= np.linalg.norm(at, axis=1)[:, None]
+    cos = 0.98 + np.linspace(-1e-7, 1e-7, 40)[:, None]
+    b = np.concatenate([b, cos * a[0] / np.linalg.norm(a[0]) + np.sqrt(1 - cos**2) * at])
+    for least in (32, 1000):
+        monkeypatch.setattr(embeddings, "LEAST_HEADED", least)
+        for x, y, same in ((a, b, False), (a, a, True), (b, b, True)):
+            found = [(i.start + p, j.start + q) for i, j, ps, qs in embeddings.near_pairs(x, y, 0.98, same) for p, q in zip(ps.tolist(), qs.tolist())]
+            near = embeddings.unit(x) @ embeddings.unit(y).T >= 0.98
+            want = np.argwhere(np.triu(near, 1) if same else near).tolist()
+            assert sorted(found) == sorted(map(tuple, want))
+            assert len(found) > 20
