@@ -275,13 +275,13 @@ def units_of(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     alone = F.array(meets(F.lit(0), F.lit(0), False))
     placed = rows.join(large, CELL, "left").withColumn("meets", F.when(p > 1, F.concat(kept, passed)).otherwise(alone))
     each = placed.select(*rows.columns, F.inline("meets"))
-    # So many tasks as the pairs or the rows are worth, but no more than four for each unit.
+    # So many tasks as the pairs or the rows are worth, but no more than eight for each unit, so that few units share one.
     work = sizes.select(
         F.sum(F.col("rows") * F.col("rows") / 2).alias("pairs"), F.sum(F.col("rows") * (F.col("pieces") + 1) / 2).alias("rows"),
         F.sum("pieces").alias("units"),
     ).first()
     tasks = max((work["pairs"] or 0) // TASK_PAIRS, (work["rows"] or 0) // TASK_ROWS)
-    tasks = int(min(tasks, 4 * (work["units"] or 0))) + 1
+    tasks = int(min(tasks, 8 * (work["units"] or 0))) + 1
     return each.repartition(tasks, *CELL, *UNIT).sortWithinPartitions(*CELL, *UNIT, "streamed")
 
 
